@@ -1,0 +1,63 @@
+"""Versioned table folders: write a new version, then flip a pointer.
+
+A reader sees the old version until the new one is complete, and a failed job changes nothing.
+Paths go through the Hadoop file system API, so any store Spark can write to works.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+POINTER = "CURRENT"
+
+
+def _files(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    fs, path = _files(spark, root)
+    pointer = path(f"{root}/{POINTER}")
+    if not fs.exists(pointer):
+        return None
+    return spark.read.text(f"{root}/{POINTER}").first()[0]
+
+
+def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
+    version = current_version(spark, root)
+    return None if version is None else spark.read.parquet(f"{root}/{version}")
+
+
+def write_snapshot(df: DataFrame, root: str, partition_by: list[str] | None = None, keep: int = 2) -> str:
+    """Write ``df`` as the next version and make it current; drops all but the ``keep`` newest."""
+    spark = df.sparkSession
+    fs, path = _files(spark, root)
+    previous = current_version(spark, root)
+    number = 1 if previous is None else int(previous.split("-")[1]) + 1
+    version = f"v-{number:08d}-{uuid.uuid4().hex[:8]}"
+    writer = df.write.mode("errorifexists")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(f"{root}/{version}")
+    staged = path(f"{root}/.{POINTER}-{uuid.uuid4().hex}")
+    stream = fs.create(staged, True)
+    try:
+        stream.write(bytearray(version.encode("utf-8")))
+    finally:
+        stream.close()
+    pointer = path(f"{root}/{POINTER}")
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        pointer.toUri(), spark._jsc.hadoopConfiguration())
+    overwrite = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    options = spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = overwrite
+    context.rename(fs.makeQualified(staged), fs.makeQualified(pointer), options)
+    versions = sorted(s.getPath().getName() for s in fs.listStatus(path(root)) if s.getPath().getName().startswith("v-"))
+    for old in versions[:-keep]:
+        if old != version:
+            fs.delete(path(f"{root}/{old}"), True)
+    return version
