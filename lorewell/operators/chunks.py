@@ -18,7 +18,7 @@ CHUNK_SIZE, CHUNK_OVERLAP = 800, 100
 SIZE_RANGE, OVERLAP_RANGE = (500, 1000), (0, 250)
 HEADER = ("文件名：%s\n来源：%s\n分类：%s\n页码：%d\n正文：\n%s", "未分类")
 
-CHUNKS = T.ArrayType(T.StructType().add("text", "string").add("start", "int"))
+CHUNKS = T.ArrayType(T.StructType().add("text", "string").add("start", "integer"))
 
 
 def enrich_text(filename: Column, source: Column, category: Column, page: Column, text: Column) -> Column:

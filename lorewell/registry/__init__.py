@@ -1 +1,16 @@
+"""Registered queries over the given tables."""
 
+from __future__ import annotations
+
+from importlib import import_module
+
+FAMILIES = ("sources_and_text",)
+
+
+def load():
+    """(queries, comparison SQL) of all families."""
+    from lorewell.registry import core
+
+    for family in FAMILIES:
+        import_module(f"lorewell.registry.{family}")
+    return core.QUERIES, core.ORACLES

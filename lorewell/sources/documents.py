@@ -17,7 +17,7 @@ from lorewell.functions.text import clean_document_text
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 CELL_JOIN = " | "
 PAGES = T.StructType().add(
-    "pages", T.ArrayType(T.StructType().add("page", "int").add("text", "string"))).add("error", "string")
+    "pages", T.ArrayType(T.StructType().add("page", "integer").add("text", "string"))).add("error", "string")
 Extractor = Callable[[bytes], list[tuple[int, str]]]
 
 
