@@ -5,37 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lorewell.scale import let
-
 # Han ranges used for indexing and for file-name matching.
 HAN = r"[\x{3400}-\x{9fff}]"
 HAN_COMMON = r"[\x{4e00}-\x{9fff}]"
-_NONE = "array<string>"
 
 
-def pairs(symbols: Column) -> Column:
-    """Adjacent symbols joined two by two; empty below two symbols."""
-    return F.when(F.size(symbols) < 2, F.array().cast(_NONE)).otherwise(F.transform(
-        F.sequence(F.lit(1), F.size(symbols) - 1),
-        lambda i: F.concat(F.get(symbols, i - 1), F.get(symbols, i))))
+def _every(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def _pairs(text: Column, symbol: str) -> Column:
+    """Overlapping pairs of neighbouring symbols; the lookahead finds them in one pass."""
+    return _every(text, f"(?=({symbol}{{2}}))", 1)
+
+
+def _only(text: Column, symbol: str) -> Column:
+    return F.regexp_replace(text, symbol.replace("[", "[^", 1), "")
 
 
 def hash_tokens(text: Column) -> Column:
     """Latin words, Han characters, then Han bigrams that run across gaps."""
-    return let(F.lower(text), lambda t: let(
-        F.regexp_extract_all(t, F.lit(HAN), F.lit(0)),
-        lambda han: F.concat(F.regexp_extract_all(t, F.lit("[a-z0-9]+"), F.lit(0)), han, pairs(han))))
+    lower = F.lower(text)
+    return F.concat(_every(lower, "[a-z0-9]+"), _every(lower, HAN), _pairs(_only(lower, HAN), HAN))
 
 
 def gap_closed_bigrams(text: Column, symbol: str = HAN_COMMON) -> Column:
     """Distinct bigrams of the matching characters with everything between them removed."""
-    return F.array_distinct(let(F.regexp_extract_all(text, F.lit(symbol), F.lit(0)), pairs))
+    return F.array_distinct(_pairs(_only(text, symbol), symbol))
 
 
 def run_bigrams(text: Column, symbol: str = HAN) -> Column:
     """Distinct bigrams inside each unbroken run of matching characters."""
-    def of_run(run: Column) -> Column:
-        return F.when(F.length(run) < 2, F.array().cast(_NONE)).otherwise(F.transform(
-            F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2))))
-
-    return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(symbol + "+"), F.lit(0)), of_run)))
+    return F.array_distinct(_pairs(text, symbol))

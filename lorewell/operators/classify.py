@@ -210,9 +210,9 @@ def keyword_hits(df: DataFrame, key: str, text: str, keywords: DataFrame,
         hits = F.filter(table, lambda k: F.contains(F.col(text), k["keyword"]))
         return df.select(key, F.explode(hits).alias("hit")).select(key, "hit.*")
     width = keywords.where(F.length("keyword") > 0).agg(F.min(F.length("keyword"))).first()[0]
-    positions = F.sequence(F.lit(1), F.greatest(F.length(text) - width + 1, F.lit(1)))
-    grams = df.select(key, F.explode(F.array_distinct(F.transform(
-        positions, lambda p: F.substring(F.col(text), p, F.lit(width))))).alias("__gram"))
+    # A lookahead yields every window of ``width`` characters in one pass over the text.
+    windows = F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(?=(.{{{width}}}))"), F.lit(1))
+    grams = df.select(key, F.explode(F.array_distinct(windows)).alias("__gram"))
     listed = keywords.where(F.length("keyword") > 0).withColumn("__gram", F.substring("keyword", 1, width))
     candidates = grams.join(listed, "__gram").drop("__gram")
     return (candidates.join(df.select(key, F.col(text).alias("__text")), key)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorewell.functions.text import is_blank, trim_controls
-from lorewell.scale import first_per_key, following_row
+from lorewell.scale import first_per_key, following_row, top_per_key
 
 # Title length and default, retention, the shape of a stored source.
 TITLE_CHARS, ELLIPSIS, NEW_TITLE = 30, "…", "新对话"
@@ -28,6 +28,11 @@ def session_history(answers: DataFrame, session: str, n: int | None = None) -> D
     return own if n is None else own.limit(n)
 
 
+def recent_answers(answers: DataFrame, n: int = RECENT) -> DataFrame:
+    """The ``n`` newest answers of every session, as the short list shows them."""
+    return top_per_key(answers, ["session"], [F.desc("created_time"), F.desc("id")], n)
+
+
 def pair_turns(messages: DataFrame, slice_messages: int = 4096) -> DataFrame:
     """(conversation_id, ord, question, answer) from a user message and the assistant message after it.
 

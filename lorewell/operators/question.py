@@ -123,7 +123,9 @@ def transfer_intent(question: Column, institution: Sequence[str] = ()) -> Column
                 ~is_blank(s["target"]) & ~s["target"].isin(*excluded),
                 F.struct(F.when(s["source"] != s["target"], s["source"]).alias("source"), s["target"].alias("target"))))
 
-        barred = F.lit(False)
+        # Every pattern needs one of these words; most texts have none and skip the patterns.
+        possible = F.contains(normal, F.lit("转")) | normal.rlike(_DETAIL)
+        barred = ~possible
         for phrase in NOT_A_TRANSFER:
             barred = barred | F.contains(normal, F.lit(phrase))
         return F.when(~barred, F.coalesce(

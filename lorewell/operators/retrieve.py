@@ -65,7 +65,7 @@ class _Best:
         vectors = _unit(vectors)
         for start in range(0, len(self.vectors), 1024):
             rows = slice(start, start + 1024)
-            distance = np.round(1.0 - self.vectors[rows] @ vectors.T, DIGITS)
+            distance = np.round(1.0 - self.vectors[rows] @ vectors.T, DIGITS) + 0.0  # no negative zero
             near = distance <= self.worst[rows, None]
             if self.groups is not None:
                 near &= self.groups[rows, None] == groups[None, :]
@@ -163,7 +163,7 @@ def _grid_topk(queries, index, k, query_id, query_vector, index_id, vector, same
     right = (
         index.select(*columns).where(F.size(vector) > 0)
         .withColumn("__shard", F.pmod(F.xxhash64(index_id), F.lit(shards)).cast("int"))
-        .withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")))
+        .withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))))
 
     def match(some: pa.Table, rows: pa.Table) -> pa.Table:
         groups = _query_groups(some.column(same).to_pylist()) if same else None
@@ -254,8 +254,7 @@ def target_bonus(question: Column, filename: Column, content: Column) -> Column:
         general = F.lit(False)
         for words in TARGET_GENERAL:
             general = general | F.contains(name, F.lit(words))
-        bigrams = F.when(F.length(goal) < 2, F.array().cast("array<string>")).otherwise(F.transform(
-            F.sequence(F.lit(1), F.length(goal) - 1), lambda i: F.substring(goal, i, F.lit(2))))
+        bigrams = F.regexp_extract_all(goal, F.lit("(?s)(?=(..))"), F.lit(1))
         return (
             F.when((goal == "") | ~F.contains(name, F.lit(TARGET_TOPIC)), F.lit(0.0))
             .when(F.contains(text, goal), F.lit(0.35))

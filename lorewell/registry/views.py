@@ -193,4 +193,5 @@ SQL = {
 
 
 def with_views(body: str, *names: str) -> str:
-    return "with " + ",\n".join(f"{n} as ({SQL[n]})" for n in names) + "\n" + body
+    """``body`` over the named views; a body that starts with a comma adds more of them."""
+    return "with " + ",\n".join(f"{n} as ({SQL[n]})" for n in names) + "\n" + body.strip()
