@@ -98,20 +98,20 @@ def number_chunks(pages: DataFrame, slice_pages: int = 4096) -> DataFrame:
     """
     offset = running_total(
         cut_lineage(pages), ["document_id"], [F.col("page")], F.floor(F.col("page") / slice_pages),
-        F.size("chunks"), "__before")
-    return _unfold(offset).drop("__before")
+        F.size("chunks"), "__offset")
+    return _unfold(offset).drop("__offset")
 
 
 def number_single_pages(pages: DataFrame) -> DataFrame:
     """As ``number_chunks`` for documents of exactly one page: the position is the index, no shuffle."""
-    return _unfold(pages.withColumn("__before", F.lit(0))).drop("__before")
+    return _unfold(pages.withColumn("__offset", F.lit(0))).drop("__offset")
 
 
 def _unfold(pages: DataFrame) -> DataFrame:
     rest = [c for c in pages.columns if c != "chunks"]
     return (
         pages.select(*rest, F.posexplode("chunks").alias("pos", "chunk"))
-        .withColumn("chunk_index", (F.col("__before") + F.col("pos")).cast("int"))
+        .withColumn("chunk_index", (F.col("__offset") + F.col("pos")).cast("int"))
         .select(*rest, "chunk_index", F.col("chunk")["text"].alias("content"), F.col("chunk")["start"].alias("start")))
 
 

@@ -11,6 +11,7 @@ from lorewell.functions.text import nfkc_lower, strip
 from lorewell.operators import question as Q
 from lorewell.operators import retrieve as R
 from lorewell.operators.embed import hash_embedding
+from lorewell.scale import cut_lineage
 
 
 def understand(questions: DataFrame, aliases: DataFrame | None = None, name: str | None = None,
@@ -51,25 +52,29 @@ def search_job(questions: DataFrame, index: DataFrame, top_k: int = R.CANDIDATE_
     and vectors take part in the search; the display columns join the few candidates after it.
     """
     embed = embed or hash_embedding()
+    # The understood texts feed the search and the scoring; settle them once.
+    questions = cut_lineage(questions)
     queries = questions.withColumn("query_vector", embed(strip(F.col("planned"))))
     found = retrieve(queries, index, top_k)
     details = index.select("chunk_key", "filename", "page", "source", "source_url", "source_type", "category", "content")
     texts = questions.select("query_id", F.col("planned").alias("__planned"), nfkc_lower("planned").alias("__folded"))
-    rows = found.join(details, "chunk_key").join(texts, "query_id")
+    rows = found.join(details, "chunk_key").join(texts, "query_id").withColumn(
+        "__searchable", nfkc_lower(R.search_text(F.col("filename"), F.col("content"))))
     scored = rows.withColumns({
         "filename_bonus": R.filename_bonus(F.col("__planned"), F.col("filename")),
-        "lexical_bonus": R.lexical_bonus(F.col("__folded"), nfkc_lower(R.search_text(F.col("filename"), F.col("content")))),
+        "lexical_bonus": R.lexical_bonus(F.col("__folded"), F.col("__searchable")),
         "curated_bonus": R.curated_bonus(F.col("source_type")),
         "target_bonus": R.target_bonus(F.col("__planned"), F.col("filename"), F.col("content")),
     })
     ranked = R.hybrid_rerank(scored, top_k, identity="chunk_key")
-    return R.project_results(ranked).drop("__planned", "__folded")
+    return R.project_results(ranked).drop("__planned", "__folded", "__searchable")
 
 
 def answer_job(questions: DataFrame, results: DataFrame, history: DataFrame | None = None,
                minimum: float = R.MIN_SCORE, k: int = R.TOP_K) -> DataFrame:
     """One row per question: prompt, sources, confidence, and the fallback text when nothing fits."""
-    kept = R.relevance_cut(results, minimum, k)
+    # A few rows per question, read three times below: settle them so the search runs once.
+    kept = cut_lineage(R.relevance_cut(results, minimum, k))
     prompts = R.prompt_rows(questions, kept, history)
     answered = R.answerability(prompts, R.citations(kept))
     return R.answer_confidence(answered, kept)

@@ -14,6 +14,7 @@ from lorewell.registry import views as V
 from lorewell.registry.core import query
 from lorewell.registry.rules_and_crawl import TEST_RULES, TEST_RULES_SQL
 from lorewell.registry.sources_and_text import sql_blank, sql_strip
+from lorewell.scale import cut_lineage
 from lorewell.sources import tables
 
 
@@ -442,7 +443,7 @@ def answerability(spark, sf):
     from kept k join (select query_id, max(score) b from kept group by 1) using (query_id)""", "v_chunks"))
 def search_job(spark, sf):
     """Candidates, merge, re-ranking, cut and confidence for every vector asked as a question."""
-    kept = R.relevance_cut(_ranked(spark, sf))
+    kept = cut_lineage(R.relevance_cut(_ranked(spark, sf)))
     questions = V.vector_questions(spark, sf).select("query_id")
     return kept.join(R.answer_confidence(questions, kept), "query_id").select(
         "query_id", "rank", "chunk_key", F.col("chunk_category").alias("category"), "score", "confidence")
