@@ -57,7 +57,8 @@ def frequent_questions(answers: DataFrame, n: int = TOP_QUESTIONS) -> DataFrame:
 
 def frequent_questions_approximate(answers: DataFrame, n: int = TOP_QUESTIONS, tracked: int = 10000) -> DataFrame:
     """Sketch-based variant for question logs whose distinct texts do not fit an exact aggregate."""
-    top = answers.agg(F.approx_top_k(trim_controls(F.col("question")), F.lit(n), F.lit(tracked)).alias("top"))
+    top = answers.agg(F.call_function(
+        "approx_top_k", trim_controls(F.col("question")), F.lit(n), F.lit(tracked)).alias("top"))
     return top.select(F.inline("top")).select(F.col("item").alias("question"), F.col("count").alias("occurrences"))
 
 

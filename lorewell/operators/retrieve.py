@@ -54,23 +54,17 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 class _Best:
     """The k nearest rows seen so far for every query of a block, ties by id."""
 
-    def __init__(self, vectors: np.ndarray, groups: np.ndarray | None, k: int):
-        self.vectors, self.groups, self.k = _unit(vectors), groups, k
-        self.worst = np.full(len(vectors), np.inf)
+    def __init__(self, queries: int, k: int):
+        self.queries, self.k = queries, k
+        self.worst = np.full(queries, np.inf)
         self.query = np.empty(0, dtype=np.int64)
         self.ids: np.ndarray | None = None
         self.distance = np.empty(0)
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray, groups: np.ndarray | None) -> None:
-        vectors = _unit(vectors)
-        for start in range(0, len(self.vectors), 1024):
-            rows = slice(start, start + 1024)
-            distance = np.round(1.0 - self.vectors[rows] @ vectors.T, DIGITS) + 0.0  # no negative zero
-            near = distance <= self.worst[rows, None]
-            if self.groups is not None:
-                near &= self.groups[rows, None] == groups[None, :]
-            query, row = np.nonzero(near)
-            self._merge(query + start, ids[row], distance[query, row])
+    def offer(self, first: int, distance: np.ndarray, ids: np.ndarray, fits: np.ndarray | None) -> None:
+        near = distance <= self.worst[first:first + len(distance), None]
+        query, row = np.nonzero(near if fits is None else near & fits)
+        self._merge(query + first, ids[row], distance[query, row])
 
     def _merge(self, query: np.ndarray, ids: np.ndarray, distance: np.ndarray) -> None:
         if self.ids is not None:
@@ -78,110 +72,125 @@ class _Best:
                 (self.query, query), (self.ids, ids), (self.distance, distance)))
         order = np.lexsort((ids, distance, query))
         query, ids, distance = query[order], ids[order], distance[order]
-        first = np.searchsorted(query, np.arange(len(self.vectors)))
+        first = np.searchsorted(query, np.arange(self.queries))
         keep = np.arange(len(query)) - first[query] < self.k
         self.query, self.ids, self.distance = query[keep], ids[keep], distance[keep]
-        counts = np.bincount(self.query, minlength=len(self.vectors))
-        full = counts >= self.k
-        last = np.searchsorted(self.query, np.arange(len(self.vectors)), side="right") - 1
+        full = np.bincount(self.query, minlength=self.queries) >= self.k
+        last = np.searchsorted(self.query, np.arange(self.queries), side="right") - 1
         self.worst[full] = self.distance[last[full]]
 
 
-def _groups(table, name: str | None) -> np.ndarray | None:
-    if name is None:
-        return None
-    return np.array(["" if v is None else f"={v}" for v in table.column(name).to_pylist()])
+class _Block:
+    """A block of queries that reads index rows and remembers the best overall and per group."""
 
+    def __init__(self, vectors: np.ndarray, groups: np.ndarray | None, k: int, modes: tuple[bool, ...]):
+        self.vectors, self.groups, self.modes = _unit(vectors), groups, modes
+        self.best = [_Best(len(vectors), k) for _ in modes]
 
-def _query_groups(values: list) -> np.ndarray:
-    # A query without a group matches nothing.
-    return np.array(["#" if v is None else f"={v}" for v in values])
+    def read(self, ids: np.ndarray, vectors: np.ndarray, groups: np.ndarray | None) -> None:
+        vectors = _unit(vectors)
+        for first in range(0, len(self.vectors), 1024):
+            rows = slice(first, first + 1024)
+            # Adding zero turns a negative zero into zero.
+            distance = np.round(1.0 - self.vectors[rows] @ vectors.T, DIGITS) + 0.0
+            for grouped, best in zip(self.modes, self.best):
+                fits = self.groups[rows, None] == groups[None, :] if grouped else None
+                best.offer(first, distance, ids, fits)
 
+    def emit(self, query_ids: pa.Array, names: list[str]) -> Iterator[pa.RecordBatch]:
+        for grouped, best in zip(self.modes, self.best):
+            if best.ids is not None and len(best.ids):
+                flags = pa.array(np.full(len(best.ids), grouped))
+                yield pa.RecordBatch.from_arrays(
+                    [query_ids.take(pa.array(best.query)), pa.array(best.ids), pa.array(best.distance), flags], names=names)
 
-def vector_topk(queries: DataFrame, index: DataFrame, k: int, query_id: str = "query_id",
-                query_vector: str = "query_vector", index_id: str = "chunk_key", vector: str = "vector",
-                same: str | None = None, max_query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """(query_id, index_id, distance) of the ``k`` nearest index rows by cosine distance.
 
-    Exact. The index is scanned once and never shuffled: each task multiplies its rows with the
-    broadcast query block and emits only its own top k, then a limited rank merges them. Query
-    blocks above ``max_query_bytes`` go through ``_grid_topk``. With ``same`` a row only
-    competes for queries that carry the same value in that column.
-    """
-    fields = [query_id, query_vector] + ([same] if same else [])
-    sample = queries.select(F.size(query_vector)).first()
-    width = max(1, sample[0]) if sample else 1
-    max_rows = max(1, max_query_bytes // (width * 8))
-    block = queries.select(*fields).where(F.size(query_vector) > 0).limit(max_rows + 1).toArrow()
-    if block.num_rows > max_rows:
-        local = _grid_topk(queries.select(*fields), index, k, query_id, query_vector, index_id, vector, same, max_rows)
-    else:
-        local = _broadcast_topk(block, queries, index, k, query_id, query_vector, index_id, vector, same)
-    return top_per_key(local, [query_id], [F.col("distance"), F.col(index_id)], k)
+def _row_groups(batch, name: str | None) -> np.ndarray | None:
+    return None if name is None else np.array(["" if v is None else f"={v}" for v in batch.column(name).to_pylist()])
+
+
+def _query_groups(block: pa.Table, name: str | None) -> np.ndarray | None:
+    # A query without a group matches no row, not even one without a group.
+    return None if name is None else np.array(["#" if v is None else f"={v}" for v in block.column(name).to_pylist()])
+
 
+def vector_candidates(queries: DataFrame, index: DataFrame, k: int, modes: tuple[bool, ...], query_id: str = "query_id",
+                      query_vector: str = "query_vector", index_id: str = "chunk_key", vector: str = "vector",
+                      same: str | None = "category", max_query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(query_id, index_id, distance, grouped): the ``k`` nearest rows by cosine, for every mode.
 
-def _result_type(queries: DataFrame, index: DataFrame, query_id: str, index_id: str) -> str:
-    return (f"{query_id} {queries.schema[query_id].dataType.simpleString()}, "
-            f"{index_id} {index.schema[index_id].dataType.simpleString()}, distance double")
+    Mode ``False`` searches all rows, mode ``True`` only rows that share the query's value in
+    ``same``. Exact, and both modes share one scan. The index is never shuffled: each task
+    multiplies its rows with the broadcast query block and emits only its own top k, then a
+    limited rank merges them. Queries above ``max_query_bytes`` go through ``_grid``.
+    """
+    same = same if True in modes else None
+    queries = queries.select(query_id, query_vector, *([same] if same else [])).where(F.size(query_vector) > 0)
+    index = index.select(index_id, vector, *([same] if same else [])).where(F.size(vector) > 0)
+    sample = queries.select(F.size(query_vector)).first()
+    max_rows = max(1, max_query_bytes // (max(1, sample[0] if sample else 1) * 8))
+    block = queries.limit(max_rows + 1).toArrow()
+    plan = _grid if block.num_rows > max_rows else _broadcast
+    local = plan(block, queries, index, k, modes, query_id, query_vector, index_id, vector, same, max_rows)
+    return top_per_key(local, [query_id, "grouped"], [F.col("distance"), F.col(index_id)], k).drop("rank")
 
 
-def _emit(best: _Best, query_ids: pa.Array, query_id: str, index_id: str) -> pa.RecordBatch:
-    ids = best.ids if best.ids is not None else np.empty(0, dtype=np.int64)
-    return pa.RecordBatch.from_arrays(
-        [query_ids.take(pa.array(best.query)), pa.array(ids), pa.array(best.distance)],
-        names=[query_id, index_id, "distance"])
+def _result(queries: DataFrame, index: DataFrame, query_id: str, index_id: str) -> tuple[list[str], str]:
+    names = [query_id, index_id, "distance", "grouped"]
+    types = [queries.schema[query_id].dataType.simpleString(), index.schema[index_id].dataType.simpleString(), "double", "boolean"]
+    return names, ", ".join(f"{n} {t}" for n, t in zip(names, types))
 
 
-def _broadcast_topk(block: pa.Table, queries, index, k, query_id, query_vector, index_id, vector, same) -> DataFrame:
-    ids = block.column(query_id).combine_chunks()
+def _broadcast(block: pa.Table, queries, index, k, modes, query_id, query_vector, index_id, vector, same, max_rows) -> DataFrame:
+    names, schema = _result(queries, index, query_id, index_id)
     shipped = index.sparkSession.sparkContext.broadcast((
-        ids, _matrix(block.column(query_vector)), _query_groups(block.column(same).to_pylist()) if same else None))
+        block.column(query_id).combine_chunks(), _matrix(block.column(query_vector)), _query_groups(block, same)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, vectors, groups = shipped.value
-        best = _Best(vectors, groups, k)
+        asked = _Block(vectors, groups, k, modes)
         for batch in batches:
             if batch.num_rows and len(vectors):
-                best.add(np.array(batch.column(index_id).to_pylist()), _matrix(batch.column(vector)), _groups(batch, same))
-        if best.ids is not None and len(best.ids):
-            yield _emit(best, query_ids, query_id, index_id)
+                asked.read(np.array(batch.column(index_id).to_pylist()), _matrix(batch.column(vector)), _row_groups(batch, same))
+        yield from asked.emit(query_ids, names)
 
-    columns = [index_id, vector] + ([same] if same else [])
-    return index.select(*columns).where(F.size(vector) > 0).mapInArrow(
-        scan, _result_type(queries, index, query_id, index_id))
+    return index.mapInArrow(scan, schema)
 
 
-def _grid_topk(queries, index, k, query_id, query_vector, index_id, vector, same, block_rows: int,
-               shard_rows: int = 200_000) -> DataFrame:
+def _grid(block: pa.Table, queries, index, k, modes, query_id, query_vector, index_id, vector, same, max_rows,
+          shard_rows: int = 200_000) -> DataFrame:
     """Blocks of queries against shards of the index; every task holds one of each."""
-    blocks = max(1, math.ceil(queries.count() / (block_rows * 0.5)))
+    names, schema = _result(queries, index, query_id, index_id)
+    blocks = max(1, math.ceil(queries.count() / (max_rows * 0.5)))
     shards = max(1, math.ceil(index.count() / shard_rows))
-    left = (
-        queries.withColumn("__block", F.pmod(F.xxhash64(query_id), F.lit(blocks)))
-        .withColumn("__shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
-    columns = [index_id, vector] + ([same] if same else [])
-    right = (
-        index.select(*columns).where(F.size(vector) > 0)
-        .withColumn("__shard", F.pmod(F.xxhash64(index_id), F.lit(shards)).cast("int"))
-        .withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))))
+    def cells(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    left = queries.withColumn("__block", F.pmod(F.xxhash64(query_id), F.lit(blocks))).withColumn("__shard", cells(shards))
+    right = index.withColumn("__shard", F.pmod(F.xxhash64(index_id), F.lit(shards))).withColumn("__block", cells(blocks))
 
     def match(some: pa.Table, rows: pa.Table) -> pa.Table:
-        groups = _query_groups(some.column(same).to_pylist()) if same else None
-        best = _Best(_matrix(some.column(query_vector)), groups, k)
+        asked = _Block(_matrix(some.column(query_vector)), _query_groups(some, same), k, modes)
         for start in range(0, rows.num_rows if some.num_rows else 0, 4096):
             part = rows.slice(start, 4096)
-            best.add(np.array(part.column(index_id).to_pylist()), _matrix(part.column(vector)), _groups(part, same))
-        if best.ids is None:
-            best.ids = np.empty(0, dtype=np.array(rows.column(index_id).to_pylist() or [0]).dtype)
-        return pa.Table.from_batches([_emit(best, some.column(query_id).combine_chunks(), query_id, index_id)])
+            asked.read(np.array(part.column(index_id).to_pylist()), _matrix(part.column(vector)), _row_groups(part, same))
+        found = list(asked.emit(some.column(query_id).combine_chunks(), names))
+        if found:
+            return pa.Table.from_batches(found)
+        return pa.table({query_id: some.column(query_id).slice(0, 0), index_id: rows.column(index_id).slice(0, 0),
+                         "distance": pa.array([], pa.float64()), "grouped": pa.array([], pa.bool_())})
+
+    return left.groupBy("__block", "__shard").cogroup(right.groupBy("__block", "__shard")).applyInArrow(match, schema)
 
-    return left.groupBy("__block", "__shard").cogroup(right.groupBy("__block", "__shard")).applyInArrow(
-        match, _result_type(queries, index, query_id, index_id))
+
+def vector_topk(queries: DataFrame, index: DataFrame, k: int, **names) -> DataFrame:
+    """Nearest ``k`` index rows of every query."""
+    return vector_candidates(queries, index, k, (False,), **names).drop("grouped")
 
 
 def vector_topk_filtered(queries: DataFrame, index: DataFrame, k: int, same: str = "category", **names) -> DataFrame:
-    """``vector_topk`` inside the query's category; queries without one find nothing."""
-    return vector_topk(queries, index, k, same=same, **names)
+    """Nearest ``k`` rows inside the query's category; queries without one find nothing."""
+    return vector_candidates(queries, index, k, (True,), same=same, **names).drop("grouped")
 
 
 # --- candidates ------------------------------------------------------------------------------
@@ -196,6 +205,11 @@ def merge_candidates(preferred: DataFrame, general: DataFrame, query_id: str = "
                      identity: str = "identity") -> DataFrame:
     """One row per query and chunk with its smallest distance; ``preferred`` when in that set."""
     both = preferred.withColumn("preferred", F.lit(True)).unionByName(general.withColumn("preferred", F.lit(False)))
+    return collapse_candidates(both, query_id, identity)
+
+
+def collapse_candidates(both: DataFrame, query_id: str = "query_id", identity: str = "identity") -> DataFrame:
+    """``merge_candidates`` for rows that already carry the ``preferred`` flag."""
     rest = [c for c in both.columns if c not in (query_id, identity, "preferred")]
     return (
         both.groupBy(query_id, identity)

@@ -31,15 +31,13 @@ def understand(questions: DataFrame, aliases: DataFrame | None = None, name: str
         "category", Q.classify_question(F.col("planned"), name, institution)).drop("__text", "__intent")
 
 
-def candidates(queries: DataFrame, index: DataFrame, top_k: int, query_columns: Sequence[str] = ()) -> DataFrame:
-    """Nearest rows overall and inside the query's category, one row per chunk.
+def candidates(queries: DataFrame, index: DataFrame, top_k: int) -> DataFrame:
+    """Nearest rows overall and inside the query's category, one row per chunk, from one scan.
 
     ``queries``: query_id, query_vector, category. ``index``: chunk_key, vector, category.
     """
-    k = R.candidate_count(top_k)
-    general = R.vector_topk(queries, index, k)
-    preferred = R.vector_topk_filtered(queries, index, k)
-    return R.merge_candidates(preferred.drop("rank"), general.drop("rank"), identity="chunk_key")
+    both = R.vector_candidates(queries, index, R.candidate_count(top_k), (False, True))
+    return R.collapse_candidates(both.withColumnRenamed("grouped", "preferred"), identity="chunk_key")
 
 
 def search_job(questions: DataFrame, index: DataFrame, top_k: int = R.CANDIDATE_K,

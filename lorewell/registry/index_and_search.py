@@ -266,19 +266,19 @@ _PAIRS_SQL = """pairs as (select q.vec_id query_id, q.label ql, c.*, round(1 - l
 
 @query("vector_topk", V.with_views(f", {_PAIRS_SQL} select query_id, chunk_key, distance from general", "v_chunks"))
 def vector_topk(spark, sf):
-    return R.vector_topk(V.vector_questions(spark, sf), V.chunks(spark, sf), R.candidate_count(20)).drop("rank")
+    return R.vector_topk(V.vector_questions(spark, sf), V.chunks(spark, sf), R.candidate_count(20))
 
 
 @query("vector_topk_filtered", V.with_views(f", {_PAIRS_SQL} select query_id, chunk_key, distance from inside", "v_chunks"))
 def vector_topk_filtered(spark, sf):
-    return R.vector_topk_filtered(V.vector_questions(spark, sf), V.chunks(spark, sf), R.candidate_count(20)).drop("rank")
+    return R.vector_topk_filtered(V.vector_questions(spark, sf), V.chunks(spark, sf), R.candidate_count(20))
 
 
 @query("vector_topk_many_queries", V.with_views(f", {_PAIRS_SQL} select query_id, chunk_key, distance from inside", "v_chunks"))
 def vector_topk_many_queries(spark, sf):
     """The block-by-shard plan that serves query sets too large to broadcast."""
     return R.vector_topk_filtered(
-        V.vector_questions(spark, sf), V.chunks(spark, sf), R.candidate_count(20), max_query_bytes=64 * 8 * 200).drop("rank")
+        V.vector_questions(spark, sf), V.chunks(spark, sf), R.candidate_count(20), max_query_bytes=64 * 8 * 200)
 
 
 _MERGED_SQL = """merged as (select query_id, chunk_key, min(distance) distance, bool_or(preferred) preferred from (
@@ -287,7 +287,8 @@ _MERGED_SQL = """merged as (select query_id, chunk_key, min(distance) distance,
 
 @query("merge_candidates", V.with_views(f", {_PAIRS_SQL}, {_MERGED_SQL} select * from merged", "v_chunks"))
 def merge_candidates(spark, sf):
-    return search.candidates(V.vector_questions(spark, sf), V.chunks(spark, sf), 20)
+    queries, rows, k = V.vector_questions(spark, sf), V.chunks(spark, sf), R.candidate_count(20)
+    return R.merge_candidates(R.vector_topk_filtered(queries, rows, k), R.vector_topk(queries, rows, k), identity="chunk_key")
 
 
 @query("chunk_identity", """
@@ -452,7 +453,9 @@ def search_job(spark, sf):
 @query("answer_job", None)
 def answer_job(spark, sf):
     """User messages answered from the documents: aliases, intent, category, embedding, search, citations."""
-    index_rows = web_index.web_index_job(V.catalog(spark, sf), embed.hash_embedding(128)).withColumn("chunk_key", F.col("chunk_id"))
+    # Stands for the stored index: built once, read by the search and by the display join.
+    index_rows = cut_lineage(
+        web_index.web_index_job(V.catalog(spark, sf), embed.hash_embedding(128)).withColumn("chunk_key", F.col("chunk_id")))
     users = V.messages(spark, sf).where("role = 'USER'")
     questions = users.select(
         F.concat_ws("-", F.col("conversation_id").cast("string"), F.col("ord").cast("string")).alias("query_id"), "conversation_id",

@@ -345,11 +345,11 @@ def question_distribution(spark, sf):
 # --- batch twins of the streams --------------------------------------------------------------
 
 @query("usage_per_day", V.with_views("""
-    select date_trunc('day', created_time) day, model, count(*) requests, count(*) filter (status = 'SUCCESS') successes, cast(sum(total_tokens) as bigint) total_tokens
+    select date_trunc('day', created_time) usage_day, model, count(*) requests, count(*) filter (status = 'SUCCESS') successes, cast(sum(total_tokens) as bigint) total_tokens
     from v_usage group by 1, 2""", "v_usage"))
 def usage_per_day(spark, sf):
     rows = windows.usage_per_window(V.usage(spark, sf), "1 day", ["model"])
-    return rows.select(F.col("window_start").alias("day"), "model", "requests", "successes", "total_tokens")
+    return rows.select(F.col("window_start").alias("usage_day"), "model", "requests", "successes", "total_tokens")
 
 
 @query("session_activity", """
