@@ -32,14 +32,18 @@ def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
     return None if version is None else spark.read.parquet(f"{root}/{version}")
 
 
-def write_snapshot(df: DataFrame, root: str, partition_by: list[str] | None = None, keep: int = 2) -> str:
-    """Write ``df`` as the next version and make it current; drops all but the ``keep`` newest."""
+def write_snapshot(df: DataFrame, root: str, partition_by: list[str] | None = None, keep: int = 2,
+                   tag: str | None = None) -> str:
+    """Write ``df`` as the next version and make it current; drops all but the ``keep`` newest.
+
+    A ``tag`` names the version, so that a repeated writer can tell its own work.
+    """
     spark = df.sparkSession
     fs, path = _files(spark, root)
     previous = current_version(spark, root)
     number = 1 if previous is None else int(previous.split("-")[1]) + 1
-    version = f"v-{number:08d}-{uuid.uuid4().hex[:8]}"
-    writer = df.write.mode("errorifexists")
+    version = f"v-{number:08d}-{tag or uuid.uuid4().hex[:8]}"
+    writer = df.write.mode("overwrite" if tag else "errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{root}/{version}")
