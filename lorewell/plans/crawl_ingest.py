@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,14 +26,19 @@ WRITTEN = ("CREATED", "UPDATED", "REINDEXED")
 class CrawlRules:
     """What a crawl run is told: clock, date limit, names, permissions."""
 
-    now: Column
-    since: Column | None = None
+    now: datetime
+    since: datetime | None = None
     name: str | None = None
     library_host: str | None = None
     agent: str = "*"
     force: bool = False
 
 
+def moment(value: datetime | None) -> Column:
+    """A clock value as timestamp without zone, independent of the session's zone."""
+    return F.lit(None if value is None else value.isoformat()).cast("timestamp_ntz")
+
+
 def assess_pages(pages: DataFrame, state: DataFrame, catalog: DataFrame, exclusions: DataFrame, source_names: DataFrame,
                  robots: DataFrame | None, rules: CrawlRules) -> DataFrame:
     """One outcome row per fetched page: parsed fields, ``status`` and, for admitted ones, ``action``.
@@ -49,7 +55,7 @@ def assess_pages(pages: DataFrame, state: DataFrame, catalog: DataFrame, exclusi
     verdict = classify_page(F.col("title"), F.col("content"), F.col("url"), rules.name, rules.library_host)
     parsed = source_name(parsed, "url", source_names).withColumn("v", verdict)
     evergreen = trusted_evergreen(F.col("v"))
-    since = F.lit(None).cast("timestamp_ntz") if rules.since is None else rules.since
+    now, since = moment(rules.now), moment(rules.since)
     judged = parsed.withColumns({
         "category": F.col("v.category"),
         "content_hash": content_hash(F.col("title"), F.col("content"), iso_date_text(F.col("published_time"))),
@@ -57,8 +63,8 @@ def assess_pages(pages: DataFrame, state: DataFrame, catalog: DataFrame, exclusi
             F.col("allowed"), F.col("http_status"), F.col("v.category"), evergreen, F.col("published_time"), since,
             F.col("is_detail"), static_list_page(F.col("title"), F.col("v.category"), F.col("url"), rules.name),
             F.col("content"))),
-        "crawl_time": rules.now,
-        "last_updated": F.coalesce("published_time", http_date(F.col("last_modified")), rules.now),
+        "crawl_time": now,
+        "last_updated": F.coalesce("published_time", http_date(F.col("last_modified")), now),
         "source_url": F.col("url"), "fetched": readable | (F.col("allowed") & (F.col("route") == "UNCHANGED")),
     })
     compared = detect_change(judged, state, rules.force)
@@ -78,12 +84,13 @@ def assess_pages(pages: DataFrame, state: DataFrame, catalog: DataFrame, exclusi
         "etag", "last_modified", "http_status", "fetched", "status", "action", "links", "content_links")
 
 
-def next_catalog(catalog: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
-    return C.apply_ingest(catalog, outcomes.where(F.col("action").isNotNull()), now)
+def next_catalog(catalog: DataFrame, outcomes: DataFrame, rules: CrawlRules) -> DataFrame:
+    return C.apply_ingest(catalog, outcomes.where(F.col("action").isNotNull()), moment(rules.now))
 
 
-def next_state(state: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+def next_state(state: DataFrame, outcomes: DataFrame, rules: CrawlRules) -> DataFrame:
     """Crawl records after the run; a page answered with 304 keeps its record as it is."""
+    now = moment(rules.now)
     read = F.col("status").isin("FAILED", "ROBOTS_DENIED")
     records = outcomes.where(~((F.col("status") == "UNCHANGED") & (F.col("http_status") == 304))).select(
         "url", "title", "category", "content_hash", F.when(~read, F.col("etag")).alias("etag"),

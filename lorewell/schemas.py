@@ -30,6 +30,11 @@ CRAWL_RECORD_DDL = (
     "last_status string, crawled_at timestamp_ntz, indexed_at timestamp_ntz")
 PAGE_DDL = (
     "url string, http_status int, content_type string, etag string, last_modified string, html string")
+OUTCOME_DDL = (
+    "url string, source_url string, title string, content string, source string, category string, content_hash string, "
+    "published_time timestamp_ntz, crawl_time timestamp_ntz, last_updated timestamp_ntz, etag string, last_modified string, "
+    "http_status int, fetched boolean, status string, action string, links array<struct<url:string,anchor:string>>, "
+    "content_links array<struct<url:string,anchor:string>>")
 ROBOTS_DDL = "origin string, status int, body string"
 CHUNK_DDL = (
     "chunk_id string, document_id string, chunk_index int, filename string, source string, source_url string, "

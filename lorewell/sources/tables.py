@@ -38,6 +38,7 @@ def route_pages(pages: DataFrame) -> DataFrame:
 
 
 def read_uploads(spark: SparkSession, folder: str) -> DataFrame:
+    """Checked files of a folder tree; the reader itself already leaves out empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return check_uploads(files)
 

@@ -21,6 +21,7 @@ from lorewell.operators.ratelimit import FULL, MINUTE
 from lorewell.plans.crawl_ingest import WRITTEN, CrawlRules, assess_pages, next_catalog, next_state
 from lorewell.plans.web_index import web_index_job
 from lorewell.scale import first_per_key
+from lorewell.streaming.windows import with_lateness
 from lorewell.sources.snapshots import current_version, read_snapshot, write_snapshot
 
 
@@ -59,8 +60,8 @@ def stream_ingest(spark: SparkSession, pages: str, root: str, source_names: Data
             latest = first_per_key(batch, ["url"], [F.desc_nulls_last("etag"), F.desc_nulls_last("last_modified")])
             assess_pages(latest, state, catalog, exclusions, source_names, robots, rules).write.mode("overwrite").parquet(stored)
         outcomes = session.read.parquet(stored)
-        _write_once(session, lambda: next_catalog(catalog, outcomes, rules.now), f"{root}/catalog", number)
-        _write_once(session, lambda: next_state(state, outcomes, rules.now), f"{root}/state", number)
+        _write_once(session, lambda: next_catalog(catalog, outcomes, rules), f"{root}/catalog", number)
+        _write_once(session, lambda: next_state(state, outcomes, rules), f"{root}/state", number)
 
     return run_batches(read_folder(spark, pages, S.PAGE_DDL, files_per_batch), f"{root}/ingest-checkpoint", each)
 
@@ -70,7 +71,7 @@ def _complete(spark: SparkSession, folder: str) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
-def stream_index(spark: SparkSession, root: str, outcome_ddl: str, embed: Callable[[Column], Column] | None = None,
+def stream_index(spark: SparkSession, root: str, embed: Callable[[Column], Column] | None = None,
                  files_per_batch: int = 1000) -> StreamingQuery:
     """Index created and updated pages as their outcomes arrive; the index lives in ``root``/index."""
     def each(batch: DataFrame, number: int) -> None:
@@ -81,13 +82,15 @@ def stream_index(spark: SparkSession, root: str, outcome_ddl: str, embed: Callab
         stored = read_snapshot(session, f"{root}/index")
         _write_once(session, lambda: rows if stored is None else replace_index(stored, rows), f"{root}/index", number)
 
-    stream = spark.readStream.schema(outcome_ddl).option("maxFilesPerTrigger", files_per_batch).parquet(f"{root}/outcomes/batch=*")
+    stream = read_folder(spark, f"{root}/outcomes/batch=*", S.OUTCOME_DDL, files_per_batch)
     return run_batches(stream, f"{root}/index-checkpoint", each)
 
 
 def stream_dedupe(pages: DataFrame, time: str = "crawled_at", horizon: str = "7 days") -> DataFrame:
     """Drop repeats of a page with unchanged content within the horizon."""
-    return pages.withWatermark(time, horizon).dropDuplicatesWithinWatermark(["url", "content_hash"])
+    return (
+        with_lateness(pages, time, horizon).dropDuplicatesWithinWatermark(["url", "content_hash"])
+        .withColumn(time, F.col(time).cast("timestamp_ntz")))
 
 
 def stream_rate_limit(requests: DataFrame, period: int = MINUTE) -> DataFrame:

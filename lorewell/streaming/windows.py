@@ -10,17 +10,24 @@ from pyspark.sql import functions as F
 from lorewell.operators.usage import usage_counters
 
 
+def with_lateness(rows: DataFrame, time: str, lateness: str | None) -> DataFrame:
+    """Add a watermark; it needs a timestamp with zone, so the column becomes one."""
+    if lateness is None:
+        return rows
+    return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
+
+
 def usage_per_window(usage: DataFrame, width: str = "1 day", by: Sequence[str] = (), lateness: str | None = None) -> DataFrame:
     """Usage counters per tumbling window. On a stream, ``lateness`` is the watermark."""
-    rows = usage.withWatermark("created_time", lateness) if lateness else usage
     return (
-        rows.groupBy(F.window("created_time", width), *by).agg(*usage_counters())
-        .withColumn("window_start", F.col("window.start")).withColumn("window_end", F.col("window.end")).drop("window"))
+        with_lateness(usage, "created_time", lateness).groupBy(F.window("created_time", width), *by).agg(*usage_counters())
+        .withColumn("window_start", F.col("window.start").cast("timestamp_ntz"))
+        .withColumn("window_end", F.col("window.end").cast("timestamp_ntz")).drop("window"))
 
 
 def session_activity(messages: DataFrame, gap: str = "90 days", lateness: str | None = None) -> DataFrame:
     """Activity periods of each session: every message extends the expiry by ``gap``."""
-    rows = messages.withWatermark("created_time", lateness) if lateness else messages
     return (
-        rows.groupBy(F.session_window("created_time", gap), "session").agg(F.count("*").alias("messages"))
-        .select("session", F.col("session_window.start").alias("first_seen"), F.col("session_window.end").alias("expires"), "messages"))
+        with_lateness(messages, "created_time", lateness).groupBy(F.session_window("created_time", gap), "session").agg(F.count("*").alias("messages"))
+        .select("session", F.col("session_window.start").cast("timestamp_ntz").alias("first_seen"),
+                F.col("session_window.end").cast("timestamp_ntz").alias("expires"), "messages"))
