@@ -37,18 +37,21 @@ def admission_status(allowed: Column, http_status: Column, category: Column, eve
         .otherwise(F.lit("ADMITTED")))
 
 
+def change_status(http_status: Column, new_hash: Column, old_hash: Column, indexed_at: Column, force: bool = False) -> Column:
+    """``UNCHANGED`` for an indexed page that answered 304 or has the hash it had, else ``CHANGED``."""
+    same = indexed_at.isNotNull() & ((http_status == 304) | (new_hash == old_hash))
+    return F.when(F.lit(not force) & F.coalesce(same, F.lit(False)), F.lit("UNCHANGED")).otherwise(F.lit("CHANGED"))
+
+
 def detect_change(new: DataFrame, state: DataFrame, force: bool = False) -> DataFrame:
     """Add ``change``: ``UNCHANGED`` when an indexed page comes back the same, else ``CHANGED``.
 
     ``new``: url, http_status, content_hash. ``state``: url, content_hash, indexed_at; one row per url.
     """
     known = state.select("url", F.col("content_hash").alias("__old_hash"), F.col("indexed_at").alias("__indexed"))
-    same = F.col("__indexed").isNotNull() & (
-        (F.col("http_status") == 304) | (F.col("content_hash") == F.col("__old_hash")))
-    unchanged = F.lit(False) if force else F.coalesce(same, F.lit(False))
+    change = change_status(F.col("http_status"), F.col("content_hash"), F.col("__old_hash"), F.col("__indexed"), force)
     return (
-        new.join(known, "url", "left")
-        .withColumn("change", F.when(unchanged, F.lit("UNCHANGED")).otherwise(F.lit("CHANGED")))
+        new.join(known, "url", "left").withColumn("change", change)
         .drop("__old_hash", "__indexed"))
 
 

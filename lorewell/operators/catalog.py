@@ -26,17 +26,21 @@ def newest_per_url(new: DataFrame, order: str = "crawl_time") -> DataFrame:
     return first_per_key(new, ["source_url"], [F.desc(order)])
 
 
+def ingest_action(exists: Column, new_hash: Column, old_hash: Column, barred: Column, force: bool = False) -> Column:
+    """What the catalog does with a crawled document."""
+    return (
+        F.when(barred, "EXCLUDED")
+        .when(exists & (new_hash == old_hash) & F.lit(not force), "UNCHANGED")
+        .when(~exists, "CREATED")
+        .otherwise("REINDEXED" if force else "UPDATED"))
+
+
 def ingest_actions(new: DataFrame, catalog: DataFrame, exclusions: DataFrame, force: bool = False) -> DataFrame:
     """Add ``action`` (and the matched ``catalog_id``) to crawled documents."""
     known = catalog.where(F.col("source_url").isNotNull()).select(
         "source_url", F.col("id").alias("catalog_id"), F.col("content_hash").alias("__hash"))
     barred = exclusions.select("source_url").distinct().withColumn("__barred", F.lit(True))
-    exists = F.col("catalog_id").isNotNull()
-    action = (
-        F.when(F.col("__barred"), "EXCLUDED")
-        .when(exists & (F.col("content_hash") == F.col("__hash")) & F.lit(not force), "UNCHANGED")
-        .when(~exists, "CREATED")
-        .otherwise("REINDEXED" if force else "UPDATED"))
+    action = ingest_action(F.col("catalog_id").isNotNull(), F.col("content_hash"), F.col("__hash"), F.col("__barred"), force)
     return (
         new.join(known, "source_url", "left").join(barred, "source_url", "left")
         .withColumn("action", action).drop("__hash", "__barred"))

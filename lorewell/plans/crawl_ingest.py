@@ -12,7 +12,7 @@ from lorewell.functions.dates import http_date
 from lorewell.functions.hashing import content_hash, iso_date_text
 from lorewell.functions.urls import source_name
 from lorewell.operators import catalog as C
-from lorewell.operators.admission import admission_status, detect_change, page_outcome
+from lorewell.operators.admission import admission_status, change_status, page_outcome
 from lorewell.operators.classify import classify_page, static_list_page, trusted_evergreen
 from lorewell.operators.crawlstate import merge_crawl_state
 from lorewell.operators.html import parse_pages
@@ -39,21 +39,38 @@ def moment(value: datetime | None) -> Column:
     return F.lit(None if value is None else value.isoformat()).cast("timestamp_ntz")
 
 
+def known_facts(pages: DataFrame, state: DataFrame, catalog: DataFrame, exclusions: DataFrame, source_names: DataFrame,
+                robots: DataFrame | None, rules: CrawlRules) -> DataFrame:
+    """What is already known about each fetched url: permission, site name, old hashes, exclusion.
+
+    All of it is joined to bare urls. A host with very many pages only skews rows of a few
+    bytes here, and the pages themselves are shuffled once, when this table joins them.
+    """
+    urls = source_name(pages.select("url"), "url", source_names)
+    if robots is not None:
+        urls = robots_allowed(urls, "url", robots, rules.agent)
+    else:
+        urls = urls.withColumn("allowed", F.lit(True))
+    records = state.select("url", F.col("content_hash").alias("old_hash"), F.col("indexed_at").alias("old_indexed_at"))
+    listed = catalog.where(F.col("source_url").isNotNull()).select(
+        F.col("source_url").alias("url"), F.col("content_hash").alias("catalog_hash"), F.lit(True).alias("in_catalog"))
+    barred = exclusions.select(F.col("source_url").alias("url")).distinct().withColumn("barred", F.lit(True))
+    return urls.join(records, "url", "left").join(listed, "url", "left").join(barred, "url", "left")
+
+
 def assess_pages(pages: DataFrame, state: DataFrame, catalog: DataFrame, exclusions: DataFrame, source_names: DataFrame,
                  robots: DataFrame | None, rules: CrawlRules) -> DataFrame:
     """One outcome row per fetched page: parsed fields, ``status`` and, for admitted ones, ``action``.
 
-    ``pages`` holds one row per url. Only rows that need parsing enter the Python stage.
+    ``pages`` holds one row per url. Only pages that may and need to be read enter the Python stage;
+    everything after the one join is a narrow stage.
     """
-    routed = route_pages(pages)
-    if robots is not None:
-        routed = robots_allowed(routed, "url", robots, rules.agent)
-    else:
-        routed = routed.withColumn("allowed", F.lit(True))
+    facts = known_facts(pages, state, catalog, exclusions, source_names, robots, rules)
+    routed = route_pages(pages).join(facts, "url")
     readable = F.col("allowed") & (F.col("route") == "PARSE")
     parsed = parse_pages(routed.withColumn("html", F.when(readable, F.col("html"))))
-    verdict = classify_page(F.col("title"), F.col("content"), F.col("url"), rules.name, rules.library_host)
-    parsed = source_name(parsed, "url", source_names).withColumn("v", verdict)
+    parsed = parsed.withColumn("v", classify_page(
+        F.col("title"), F.col("content"), F.col("url"), rules.name, rules.library_host))
     evergreen = trusted_evergreen(F.col("v"))
     now, since = moment(rules.now), moment(rules.since)
     judged = parsed.withColumns({
@@ -67,19 +84,18 @@ def assess_pages(pages: DataFrame, state: DataFrame, catalog: DataFrame, exclusi
         "last_updated": F.coalesce("published_time", http_date(F.col("last_modified")), now),
         "source_url": F.col("url"), "fetched": readable | (F.col("allowed") & (F.col("route") == "UNCHANGED")),
     })
-    compared = detect_change(judged, state, rules.force)
-    acted = C.ingest_actions(compared, catalog, exclusions, rules.force)
-    admitted = (F.col("admission") == "ADMITTED") & (F.col("change") == "CHANGED")
-    old_hash = state.select("url", F.col("content_hash").alias("old_hash"))
-    known = F.col("admission").isin("FAILED", "ROBOTS_DENIED")
-    outcome = acted.join(old_hash, "url", "left").withColumns({
+    change = change_status(F.col("http_status"), F.col("content_hash"), F.col("old_hash"), F.col("old_indexed_at"), rules.force)
+    action = C.ingest_action(
+        F.coalesce("in_catalog", F.lit(False)), F.col("content_hash"), F.col("catalog_hash"), F.col("barred"), rules.force)
+    judged = judged.withColumns({"change": change, "action": action})
+    unread = F.col("admission").isin("FAILED", "ROBOTS_DENIED")
+    return judged.withColumns({
         "status": page_outcome(F.col("admission"), F.col("change"), F.col("action")),
-        "action": F.when(admitted, F.col("action")),
-        "title": F.when(~known, F.col("title")), "category": F.when(~known, F.col("category")),
+        "action": F.when((F.col("admission") == "ADMITTED") & (F.col("change") == "CHANGED"), F.col("action")),
+        "title": F.when(~unread, F.col("title")), "category": F.when(~unread, F.col("category")),
         "content_hash": F.when(F.col("admission") == "FAILED", F.col("old_hash"))
         .when(F.col("admission") != "ROBOTS_DENIED", F.col("content_hash")),
-    })
-    return outcome.select(
+    }).select(
         "url", "source_url", "title", "content", "source", "category", "content_hash", "published_time", "crawl_time", "last_updated",
         "etag", "last_modified", "http_status", "fetched", "status", "action", "links", "content_links")
 
