@@ -14,6 +14,9 @@ from lorewell.scale import let
 
 # What counts as a blank, as a line end, and the menu words dropped from pages.
 BLANKS = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+BLANK_CHARS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200b), 0x2028, 0x2029, 0x202f, 0x205f, 0x3000)))
+CONTROL_CHARS = "".join(map(chr, range(0x21)))
+IN_LINE_BLANKS = r" \t\x{1f}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}"
 LINE_ENDS = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 MENU_WORDS = ("首页", "更多", "返回", "关闭")
 CONVERSION_SUFFIX = (
@@ -23,12 +26,12 @@ CONVERSION_SUFFIX = (
 
 
 def strip(value: Column) -> Column:
-    return F.regexp_replace(value, rf"^[{BLANKS}]+|[{BLANKS}]+\z", "")
+    return F.btrim(value, F.lit(BLANK_CHARS))
 
 
 def trim_controls(value: Column) -> Column:
     """Drop blanks and control characters up to U+0020 at both ends."""
-    return F.regexp_replace(value, r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
+    return F.btrim(value, F.lit(CONTROL_CHARS))
 
 
 def is_blank(value: Column) -> Column:
@@ -45,8 +48,9 @@ def fold_blanks(value: Column) -> Column:
 
 def clean_lines(value: Column, menu_words: tuple[str, ...] = MENU_WORDS) -> Column:
     """Fold blanks per line, drop empty and menu lines, then repeats of the line kept before."""
+    folded = F.regexp_replace(value, rf"[{IN_LINE_BLANKS}]+", " ")
     lines = F.filter(
-        F.transform(F.split(value, LINE_ENDS), fold_blanks),
+        F.transform(F.split(folded, LINE_ENDS), strip),
         lambda line: (line != "") & ~line.isin(*menu_words),
     )
     kept = let(lines, lambda kept: F.filter(

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.functions.text import none_if_blank, strip
@@ -23,6 +23,7 @@ LEXICAL_CHARS, TARGET_CHARS = 4000, 1600
 STOP_BIGRAMS = ("哪些", "什么", "怎么", "如何", "一下", "请问", "是否")
 MARKER = r"(?<![a-z0-9])([a-z][a-z0-9-]{0,5}\s*类)"
 TARGET = r"转专业目标[：:]\s*([^\n；;]+)"
+TARGET_MOST = 0.35
 TARGET_TOPIC = "转专业"
 TARGET_GENERAL = ("管理办法", "工作安排", "转专业安排")
 TOP_K, CANDIDATE_K, MIN_SCORE = 5, 20, 0.35
@@ -62,8 +63,13 @@ class _Best:
         self.distance = np.empty(0)
 
     def offer(self, first: int, distance: np.ndarray, ids: np.ndarray, fits: np.ndarray | None) -> None:
-        near = distance <= self.worst[first:first + len(distance), None]
-        query, row = np.nonzero(near if fits is None else near & fits)
+        if fits is not None:
+            distance = np.where(fits, distance, np.inf)
+        limit = self.worst[first:first + len(distance)]
+        if distance.shape[1] > self.k:
+            # Nothing behind the k-th of this batch can be among the k best; ties stay in.
+            limit = np.minimum(limit, np.partition(distance, self.k - 1, axis=1)[:, self.k - 1])
+        query, row = np.nonzero((distance <= limit[:, None]) & (distance < np.inf))
         self._merge(query + first, ids[row], distance[query, row])
 
     def _merge(self, query: np.ndarray, ids: np.ndarray, distance: np.ndarray) -> None:
@@ -228,7 +234,11 @@ def _found(bigrams: Column, text: Column) -> Column:
 
 
 def filename_bonus(question: Column, filename: Column, symbol: str = HAN_COMMON) -> Column:
-    found = _found(gap_closed_bigrams(question, symbol), F.coalesce(filename, F.lit("")))
+    return filename_bonus_of(gap_closed_bigrams(question, symbol), filename)
+
+
+def filename_bonus_of(bigrams: Column, filename: Column) -> Column:
+    found = _found(bigrams, F.coalesce(filename, F.lit("")))
     return F.least(F.lit(FILENAME_CAP), found * F.lit(FILENAME_STEP))
 
 
@@ -240,10 +250,20 @@ def search_text(filename: Column, content: Column, chars: int | None = LEXICAL_C
 
 def lexical_bonus(question: Column, searchable: Column, symbol: str = HAN, marker: str = MARKER) -> Column:
     """Exact words shared by question and chunk; both sides already ``nfkc_lower``."""
-    words = F.array_except(run_bigrams(question, symbol), F.array(*[F.lit(w) for w in STOP_BIGRAMS]))
-    shared = F.least(F.lit(LEXICAL_CAP), _found(words, searchable) * F.lit(LEXICAL_STEP))
-    markers = F.array_distinct(F.transform(
+    return lexical_bonus_of(lexical_words(question, symbol), class_markers(question, marker), searchable)
+
+
+def lexical_words(question: Column, symbol: str = HAN) -> Column:
+    return F.array_except(run_bigrams(question, symbol), F.array(*[F.lit(w) for w in STOP_BIGRAMS]))
+
+
+def class_markers(question: Column, marker: str = MARKER) -> Column:
+    return F.array_distinct(F.transform(
         F.regexp_extract_all(question, F.lit(marker), F.lit(1)), lambda m: F.regexp_replace(m, r"\s+", "")))
+
+
+def lexical_bonus_of(words: Column, markers: Column, searchable: Column) -> Column:
+    shared = F.least(F.lit(LEXICAL_CAP), _found(words, searchable) * F.lit(LEXICAL_STEP))
     compact = F.regexp_replace(searchable, r"\s+", "")
     marked = F.when(F.size(markers) == 0, F.lit(0.0)).when(
         F.exists(markers, lambda m: F.contains(compact, m)), F.lit(MARKER_BONUS)).otherwise(F.lit(0.0))
@@ -271,7 +291,7 @@ def target_bonus(question: Column, filename: Column, content: Column) -> Column:
         bigrams = F.regexp_extract_all(goal, F.lit("(?s)(?=(..))"), F.lit(1))
         return (
             F.when((goal == "") | ~F.contains(name, F.lit(TARGET_TOPIC)), F.lit(0.0))
-            .when(F.contains(text, goal), F.lit(0.35))
+            .when(F.contains(text, goal), F.lit(TARGET_MOST))
             .when(F.exists(bigrams, lambda b: F.contains(name, b)), F.lit(0.30))
             .when(general, F.lit(0.08)).otherwise(F.lit(0.02)))
 
@@ -285,6 +305,21 @@ def result_score(raw: Column, *bonuses: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
 
 
+def drop_hopeless(candidates: DataFrame, top_k: int, query_id: str = "query_id") -> DataFrame:
+    """Candidates that can still reach the first ``top_k``, whatever their text adds.
+
+    ``candidates`` carries ``floor`` (what is known of its ranking value) and ``ceiling`` (floor plus the
+    most its text can add). A row whose ceiling is below the k-th best floor cannot be ranked, so
+    dropping it changes nothing; far fewer texts have to be fetched.
+    """
+    window = Window.partitionBy(query_id)
+    ordered = window.orderBy(F.desc("floor"))
+    return (
+        candidates.withColumn("__place", F.row_number().over(ordered))
+        .withColumn("__bar", F.min(F.when(F.col("__place") <= top_k, F.col("floor"))).over(window))
+        .where(F.col("ceiling") >= F.col("__bar") - 1e-9).drop("__place", "__bar", "floor", "ceiling"))
+
+
 def hybrid_rerank(candidates: DataFrame, top_k: int, query_id: str = "query_id",
                   identity: str = "identity") -> DataFrame:
     """Best ``top_k`` candidates of each query as ``rank`` 1.. with the exposed ``score``.

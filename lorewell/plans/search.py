@@ -46,26 +46,39 @@ def search_job(questions: DataFrame, index: DataFrame, top_k: int = R.CANDIDATE_
     """Ranked results of understood questions (query_id, planned, category).
 
     ``index`` rows need chunk_key, vector, category and the display columns filename, page,
-    source, source_url, source_type, content. ``retrieve`` is the retrieval strategy. Only ids
-    and vectors take part in the search; the display columns join the few candidates after it.
+    source, source_url, source_type, content, and may carry ``searchable`` (the folded text of
+    the lexical bonus). ``retrieve`` is the retrieval strategy. Only ids and vectors take part in
+    the search; short columns join the candidates after it, texts only those that can be ranked.
     """
     embed = embed or hash_embedding()
+    folded = nfkc_lower("planned")
     # The understood texts feed the search and the scoring; settle them once.
-    questions = cut_lineage(questions)
+    questions = cut_lineage(questions.withColumn("__folded", folded))
     queries = questions.withColumn("query_vector", embed(strip(F.col("planned"))))
     found = retrieve(queries, index, top_k)
-    details = index.select("chunk_key", "filename", "page", "source", "source_url", "source_type", "category", "content")
-    texts = questions.select("query_id", F.col("planned").alias("__planned"), nfkc_lower("planned").alias("__folded"))
-    rows = found.join(details, "chunk_key").join(texts, "query_id").withColumn(
-        "__searchable", nfkc_lower(R.search_text(F.col("filename"), F.col("content"))))
+    asked = questions.select(
+        "query_id", F.col("planned").alias("__planned"), R.gap_closed_bigrams(F.col("planned")).alias("__names"),
+        R.lexical_words(F.col("__folded")).alias("__words"), R.class_markers(F.col("__folded")).alias("__markers"))
+    # First the short columns: they bound what the texts can still change.
+    short = index.select("chunk_key", "filename", "page", "source", "source_url", "source_type", "category")
+    rows = found.join(short, "chunk_key").join(asked, "query_id").withColumns({
+        "filename_bonus": R.filename_bonus_of(F.col("__names"), F.col("filename")),
+        "curated_bonus": R.curated_bonus(F.col("source_type"))})
+    floor = (R.similarity(F.col("distance")) + R.category_bonus(F.col("preferred")) + F.col("filename_bonus") + F.col("curated_bonus"))
+    by_text = F.least(F.lit(R.LEXICAL_TOTAL), F.least(F.lit(R.LEXICAL_CAP), F.size("__words") * F.lit(R.LEXICAL_STEP)) + F.when(
+        F.size("__markers") > 0, F.lit(R.MARKER_BONUS)).otherwise(F.lit(0.0)))
+    by_target = F.when(F.col("__planned").rlike(R.TARGET), F.lit(R.TARGET_MOST)).otherwise(F.lit(0.0))
+    rows = R.drop_hopeless(rows.withColumn("floor", floor).withColumn("ceiling", F.col("floor") + by_text + by_target), top_k)
+    stored = "searchable" in index.columns
+    texts = index.select("chunk_key", "content", *(["searchable"] if stored else []))
+    rows = rows.join(texts, "chunk_key")
+    if not stored:
+        rows = rows.withColumn("searchable", nfkc_lower(R.search_text(F.col("filename"), F.col("content"))))
     scored = rows.withColumns({
-        "filename_bonus": R.filename_bonus(F.col("__planned"), F.col("filename")),
-        "lexical_bonus": R.lexical_bonus(F.col("__folded"), F.col("__searchable")),
-        "curated_bonus": R.curated_bonus(F.col("source_type")),
-        "target_bonus": R.target_bonus(F.col("__planned"), F.col("filename"), F.col("content")),
-    })
+        "lexical_bonus": R.lexical_bonus_of(F.col("__words"), F.col("__markers"), F.col("searchable")),
+        "target_bonus": R.target_bonus(F.col("__planned"), F.col("filename"), F.col("content"))})
     ranked = R.hybrid_rerank(scored, top_k, identity="chunk_key")
-    return R.project_results(ranked).drop("__planned", "__folded", "__searchable")
+    return R.project_results(ranked).drop("__planned", "__names", "__words", "__markers", "searchable")
 
 
 def answer_job(questions: DataFrame, results: DataFrame, history: DataFrame | None = None,

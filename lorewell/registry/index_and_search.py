@@ -30,7 +30,7 @@ def enrich_text(spark, sf):
 def chunk_text(spark, sf):
     """Every chunk within the size and found at its offset; no visible character outside all chunks."""
     split = C.chunk_text(500, 50)
-    rows = V.table(spark, sf, "documents").select("doc_id", "text", split(F.col("text")).alias("chunks"))
+    rows = V.table(spark, sf, "documents", heavy=True).select("doc_id", "text", split(F.col("text")).alias("chunks"))
     ends = F.transform("chunks", lambda c: c["start"] + F.length(c["text"]))
     gaps = F.transform(F.sequence(F.lit(0), F.size("chunks")), lambda i: F.substring(
         F.col("text"), F.coalesce(F.get(ends, i - 1), F.lit(0)) + 1,
@@ -105,7 +105,7 @@ def delete_index_rows(spark, sf):
     select doc_id, case when regexp_matches(lower(text), '[a-z0-9]') then 1.0 else 0.0 end norm, 128 dimensions from documents""")
 def hash_embedding(spark, sf):
     vector = embed.hash_embedding(128)(F.col("text"))
-    rows = V.table(spark, sf, "documents").select("doc_id", vector.alias("v"))
+    rows = V.table(spark, sf, "documents", heavy=True).select("doc_id", vector.alias("v"))
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return rows.select("doc_id", F.round(norm, 4).alias("norm"), F.size("v").alias("dimensions"))
 
@@ -114,7 +114,7 @@ def hash_embedding(spark, sf):
     select doc_id, sha256(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')) digest, len(regexp_extract_all(lower(text), '[a-z0-9]+')) n
     from documents""")
 def hash_tokens(spark, sf):
-    rows = V.table(spark, sf, "documents").select("doc_id", tokens.hash_tokens(F.col("text")).alias("t"))
+    rows = V.table(spark, sf, "documents", heavy=True).select("doc_id", tokens.hash_tokens(F.col("text")).alias("t"))
     return rows.select("doc_id", F.sha2(F.array_join("t", " "), 256).alias("digest"), F.size("t").alias("n"))
 
 
@@ -128,7 +128,7 @@ def index_summary(spark, sf):
 @query("web_index_job", V.with_views(
     "select sha256(source_url || chr(0) || content_hash) document_id, title filename, category, true has_vectors from v_catalog", "v_catalog"))
 def web_index_job(spark, sf):
-    rows = web_index.web_index_job(V.catalog(spark, sf).withColumn("title", F.regexp_replace("title", r"[\x00-\x20]+", " ")), embed.hash_embedding(64))
+    rows = web_index.web_index_job(V.catalog(spark, sf, heavy=True).withColumn("title", F.regexp_replace("title", r"[\x00-\x20]+", " ")), embed.hash_embedding(64))
     return rows.groupBy("document_id").agg(
         F.min("filename").alias("filename"), F.min("category").alias("category"), F.bool_and(F.size("vector") == 64).alias("has_vectors"))
 
@@ -140,7 +140,7 @@ def web_index_job(spark, sf):
 def upload_index_job(spark, sf):
     """Documents as files; French ones have the wrong type."""
     extension = F.when(F.col("lang") == "fr", ".txt").otherwise(".docx")
-    files = V.table(spark, sf, "documents").select(
+    files = V.table(spark, sf, "documents", heavy=True).select(
         F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), extension).alias("path"),
         F.concat(F.expr("X'504B0304'"), F.col("text").cast("binary")).alias("content"), "source", F.lit("2024-01-01").alias("upload_time"))
     checked = tables.check_uploads(files.withColumn("length", F.octet_length("content").cast("long")))
@@ -186,13 +186,13 @@ def _expanded(rows):
 
 @query("expand_aliases", _ALIAS_SQL)
 def expand_aliases(spark, sf):
-    return _expanded(Q.expand_aliases(V.table(spark, sf, "documents"), "doc_id", "text", _aliases(spark, sf)))
+    return _expanded(Q.expand_aliases(V.table(spark, sf, "documents", heavy=True), "doc_id", "text", _aliases(spark, sf)))
 
 
 @query("expand_aliases_by_join", _ALIAS_SQL)
 def expand_aliases_by_join(spark, sf):
     """The same through the join that serves dictionaries too large to inline."""
-    return _expanded(Q.expand_aliases(V.table(spark, sf, "documents"), "doc_id", "text", _aliases(spark, sf), inline=0))
+    return _expanded(Q.expand_aliases(V.table(spark, sf, "documents", heavy=True), "doc_id", "text", _aliases(spark, sf), inline=0))
 
 
 def _event_questions(spark, sf):
@@ -455,7 +455,7 @@ def answer_job(spark, sf):
     """User messages answered from the documents: aliases, intent, category, embedding, search, citations."""
     # Stands for the stored index: built once, read by the search and by the display join.
     index_rows = cut_lineage(
-        web_index.web_index_job(V.catalog(spark, sf), embed.hash_embedding(128)).withColumn("chunk_key", F.col("chunk_id")))
+        web_index.web_index_job(V.catalog(spark, sf, heavy=True), embed.hash_embedding(128)).withColumn("chunk_key", F.col("chunk_id")))
     users = V.messages(spark, sf).where("role = 'USER'")
     questions = users.select(
         F.concat_ws("-", F.col("conversation_id").cast("string"), F.col("ord").cast("string")).alias("query_id"), "conversation_id",

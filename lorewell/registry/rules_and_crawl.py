@@ -37,7 +37,7 @@ def keyword_hits_by_table(spark, sf):
     words = V.table(spark, sf, "benchmark").select(
         F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).where(F.length("w") >= 8)
     keywords = words.select(F.lower("w").alias("keyword")).distinct()
-    return classify.keyword_hits(V.table(spark, sf, "documents"), "doc_id", "text", keywords, inline=0)
+    return classify.keyword_hits(V.table(spark, sf, "documents", heavy=True), "doc_id", "text", keywords, inline=0)
 
 
 @query("classify_first_match", f"""
@@ -491,4 +491,4 @@ def apply_index_results(spark, sf):
     with found as (select url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) href from pages)
     select url src, count(distinct href) targets from found group by 1""")
 def link_edges(spark, sf):
-    return edge_table(parse_pages(V.table(spark, sf, "pages"))).groupBy("src").agg(F.count("*").alias("targets"))
+    return edge_table(parse_pages(V.table(spark, sf, "pages", heavy=True))).groupBy("src").agg(F.count("*").alias("targets"))

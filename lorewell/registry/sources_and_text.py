@@ -193,14 +193,14 @@ def last_updated(spark, sf):
     from (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '{LINE_ENDS}'), lambda x: {sql_fold('x')}),
         lambda x: x <> '' and x not in ('首页', '更多', '返回', '关闭')) kept from documents)""")
 def clean_lines(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", text.clean_lines(F.col("text")).alias("cleaned"))
+    return V.table(spark, sf, "documents", heavy=True).select("doc_id", text.clean_lines(F.col("text")).alias("cleaned"))
 
 
 @query("clean_document_text", "select doc_id, " + sql_strip(
     "regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(0), ' '), chr(13) || chr(10), chr(10)), "
     "'[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')") + " cleaned from documents")
 def clean_document_text(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", text.clean_document_text(F.col("text")).alias("cleaned"))
+    return V.table(spark, sf, "documents", heavy=True).select("doc_id", text.clean_document_text(F.col("text")).alias("cleaned"))
 
 
 @query("is_detail", r"""
@@ -214,7 +214,7 @@ def is_detail(spark, sf):
     select id, sha256(concat({sql_strip('title')}, chr(10), {sql_strip('content')}, chr(10), strftime(last_updated, '%Y-%m-%dT%H:%M:%S'))) digest
     from v_catalog""", "v_catalog"))
 def content_hash(spark, sf):
-    return V.catalog(spark, sf).select("id", hashing.content_hash(
+    return V.catalog(spark, sf, heavy=True).select("id", hashing.content_hash(
         F.col("title"), F.col("content"), hashing.iso_date_text(F.col("last_updated"))).alias("digest"))
 
 
@@ -242,14 +242,14 @@ def display_title(spark, sf):
 def filename_stem(spark, sf):
     name = F.concat(F.upper("source"), F.lit(" "), F.col("lang"), F.lit(" ｖ１."), F.col("doc_id").cast("string"),
                     F.lit("的副本 (原 DOCX 文件转换 ).docx"))
-    return V.table(spark, sf, "documents").select("doc_id", text.filename_stem(name).alias("stem"))
+    return V.table(spark, sf, "documents", heavy=True).select("doc_id", text.filename_stem(name).alias("stem"))
 
 
 @query("first_page_heading", f"""
     select doc_id, substr(array_to_string(list_slice(list_filter(list_transform(regexp_split_to_array(text, '{LINE_ENDS}'),
         lambda x: {sql_strip('x')}), lambda x: x <> ''), 1, 6), chr(10)), 1, 480) heading from documents""")
 def first_page_heading(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", text.first_lines(F.col("text")).alias("heading"))
+    return V.table(spark, sf, "documents", heavy=True).select("doc_id", text.first_lines(F.col("text")).alias("heading"))
 
 
 @query("file_size_label", """
@@ -263,12 +263,12 @@ def file_size_label(spark, sf):
 
 @query("extract_title", None)
 def extract_title(spark, sf):
-    return html.parse_pages(V.table(spark, sf, "pages")).select("page_id", "title", "is_detail")
+    return html.parse_pages(V.table(spark, sf, "pages", heavy=True)).select("page_id", "title", "is_detail")
 
 
 @query("extract_main_text", None)
 def extract_main_text(spark, sf):
-    return html.parse_pages(V.table(spark, sf, "pages"), content_chars=None).select(
+    return html.parse_pages(V.table(spark, sf, "pages", heavy=True), content_chars=None).select(
         "page_id", F.sha2("content", 256).alias("digest"), F.length("content").alias("chars"), "published_time")
 
 
@@ -278,6 +278,6 @@ def extract_main_text(spark, sf):
     select page_id, dst, row_number() over (partition by page_id order by pos) - 1 pos from (
         select page_id, concat(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), href) dst, min(pos) pos from found group by 1, 2)""")
 def extract_links(spark, sf):
-    parsed = html.parse_pages(V.table(spark, sf, "pages"))
+    parsed = html.parse_pages(V.table(spark, sf, "pages", heavy=True))
     return parsed.select("page_id", F.posexplode("links").alias("pos", "link")).select(
         "page_id", F.col("link")["url"].alias("dst"), "pos")

@@ -11,12 +11,16 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorewell.scale import spread
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf, f"{name}.parquet"))
+def table(spark: SparkSession, sf: str, name: str, heavy: bool = False) -> DataFrame:
+    """A given table; ``heavy`` spreads it over all cores for costly row work."""
+    rows = spark.read.parquet(os.path.join(sf, f"{name}.parquet"))
+    return spread(rows) if heavy else rows
 
 
 def payload_number() -> Column:
@@ -57,10 +61,10 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
         F.col("text").alias("content"))
 
 
-def catalog(spark: SparkSession, sf: str) -> DataFrame:
+def catalog(spark: SparkSession, sf: str, heavy: bool = False) -> DataFrame:
     """Documents as catalog rows: the language gives the status, the length the kind of source."""
     lang, n = F.col("lang"), F.col("n_chars")
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", heavy).select(
         F.col("doc_id").alias("id"), F.split("text", "\n")[0].alias("title"),
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
         "source", F.lit("HTML").alias("type"), F.col("text").alias("content"),
@@ -78,7 +82,7 @@ def catalog(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select(
+    return table(spark, sf, "embeddings", heavy=True).select(
         F.col("vec_id").alias("chunk_key"), F.floor(F.col("vec_id") / 5).alias("document_id"),
         (F.col("vec_id") % 5).cast("int").alias("chunk_index"), F.col("label").cast("string").alias("category"),
         F.col("embedding").alias("vector"))

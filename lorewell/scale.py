@@ -33,6 +33,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A freshly read table over at least as many partitions as there are cores.
+
+    For row work that is heavy (parsing, chunking, embedding) on tables stored in few files. Large
+    tables already have more partitions and pass through untouched. Not for derived plans.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
                 rank: str = "rank") -> DataFrame:
     """First ``n`` rows of each key. Spark limits the groups before and after the shuffle."""

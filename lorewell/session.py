@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    # Rule expressions have hundreds of nodes; do not record a stack trace for each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -13,6 +13,7 @@ from lorewell.plans.crawl_ingest import CrawlRules, assess_pages, next_catalog,
 from lorewell.plans.upload_index import upload_index_job
 from lorewell.plans.web_index import web_index_job
 from lorewell.operators.embed import hash_embedding
+from lorewell.scale import cut_lineage
 from lorewell.sources import snapshots
 from lorewell.sources.tables import check_uploads, question_set, read_uploads
 from lorewell.streaming import jobs, windows
@@ -48,8 +49,8 @@ def side_tables(spark):
 
 def crawl(spark, pages, state, catalog):
     robots, names, barred = side_tables(spark)
-    outcomes = assess_pages(spark.createDataFrame(pages, S.PAGE_DDL), state, catalog, barred, names, robots, RULES).cache()
-    return outcomes, next_state(state, outcomes, RULES).cache(), next_catalog(catalog, outcomes, RULES).cache()
+    outcomes = cut_lineage(assess_pages(spark.createDataFrame(pages, S.PAGE_DDL), state, catalog, barred, names, robots, RULES))
+    return outcomes, cut_lineage(next_state(state, outcomes, RULES)), cut_lineage(next_catalog(catalog, outcomes, RULES))
 
 
 def statuses(outcomes):
