@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorewell.scale import let
+
 # File endings that are never pages, and tracking parameters.
 BLOCKED_EXTENSIONS = (
     "jpg", "jpeg", "png", "gif", "svg", "zip", "rar", "7z", "mp4", "mp3",
@@ -49,23 +51,46 @@ def _query_item(item: Column) -> Column:
     return F.struct(decoded[0].alias("name"), decoded[1].alias("value"))
 
 
-def normalize_url(url: Column) -> Column:
-    """Canonical page address, or null when the address is not a web page."""
-    raw = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-    items = F.transform(
-        F.filter(F.split(F.regexp_extract(raw, _PARTS, 4), "&"), lambda item: item != ""), _query_item)
+def _parts(url: Column) -> Column:
+    return F.struct(*[F.regexp_extract(url, _PARTS, group).alias(name) for group, name in enumerate(
+        ("scheme", "authority", "path", "query"), 1)])
+
+
+def _host_of(authority_text: Column) -> Column:
+    return F.lower(F.regexp_extract(authority_text, r"^(?:.*@)?([^:@]*)", 1))
+
+
+def _clean_query(query: Column) -> Column:
+    items = F.transform(F.filter(F.split(query, "&"), lambda item: item != ""), _query_item)
     tracking = "|".join(TRACKING_PREFIXES)
     kept = F.filter(items, lambda item: ~F.lower(item["name"]).rlike(rf"^(?:{tracking})"))
-    query = F.array_join(
+    return F.array_join(
         F.transform(kept, lambda i: F.concat(_form_encode(i["name"]), F.lit("="), _form_encode(i["value"]))), "&")
-    page = path(raw)
-    blocked = F.lower(page).rlike(rf"\.(?:{'|'.join(BLOCKED_EXTENSIONS)})\z")
-    address = F.concat(
-        scheme(raw), F.lit("://"), F.lower(authority(raw)),
-        F.when(page == "", F.lit("/")).otherwise(page),
-        F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)),
-    )
-    return F.when(scheme(raw).isin("http", "https") & (host(raw) != "") & ~blocked, address)
+
+
+def normalize_url(url: Column) -> Column:
+    """Canonical page address, or null when the address is not a web page."""
+    raw = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    blocked = rf"(?i)\.(?:{'|'.join(BLOCKED_EXTENSIONS)})\z"
+
+    def rebuilt(p: Column) -> Column:
+        web = F.lower(p["scheme"]).isin("http", "https") & (_host_of(p["authority"]) != "") & ~p["path"].rlike(blocked)
+        query = F.when(p["query"] == "", F.lit("")).otherwise(_clean_query(p["query"]))
+        return F.when(web, F.concat(
+            F.lower(p["scheme"]), F.lit("://"), F.lower(p["authority"]),
+            F.when(p["path"] == "", F.lit("/")).otherwise(p["path"]),
+            let(query, lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))))
+
+    return let(_parts(raw), rebuilt)
+
+
+def base_of(base: Column) -> Column:
+    """The pieces of a page address its links are resolved against; bind once per page."""
+    root = F.concat(scheme(base), F.lit("://"), authority(base))
+    directory = F.regexp_extract(path(base), r"(?s)^(.*/)", 1)
+    return F.struct(
+        base.alias("url"), scheme(base).alias("scheme"), root.alias("root"), path(base).alias("path"),
+        F.when(directory == "", F.lit("/")).otherwise(directory).alias("directory"))
 
 
 def resolve_url(base: Column, href: Column) -> Column:
@@ -74,20 +99,20 @@ def resolve_url(base: Column, href: Column) -> Column:
     Absolute, protocol-relative, root-relative, query-only, fragment-only and
     directory-relative links are covered; ``.`` and ``..`` segments are folded.
     """
-    root = F.concat(scheme(base), F.lit("://"), authority(base))
-    base_path = path(base)
-    directory = F.regexp_extract(base_path, r"(?s)^(.*/)", 1)
-    directory = F.when(directory == "", F.lit("/")).otherwise(directory)
+    return let(base_of(base), lambda b: resolve_against(b, href))
+
+
+def resolve_against(b: Column, href: Column) -> Column:
     tail = F.regexp_extract(href, r"(?s)^[^?#]*(.*)\z", 1)
     relative = F.regexp_extract(href, r"(?s)^([^?#]*)", 1)
-    joined = F.when(relative.startswith("/"), relative).otherwise(F.concat(directory, relative))
+    joined = F.when(href.startswith("/"), relative).otherwise(F.concat(b["directory"], relative))
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href == "", base)
-        .when(href.startswith("#"), F.concat(F.regexp_replace(base, r"(?s)#.*\z", ""), href))
-        .when(href.startswith("?"), F.concat(root, base_path, href))
-        .otherwise(F.concat(root, _fold_dots(joined), tail))
+        .when(href.startswith("//"), F.concat(b["scheme"], F.lit(":"), href))
+        .when(href == "", b["url"])
+        .when(href.startswith("#"), F.concat(F.regexp_replace(b["url"], r"(?s)#.*\z", ""), href))
+        .when(href.startswith("?"), F.concat(b["root"], b["path"], href))
+        .otherwise(F.concat(b["root"], let(joined, _fold_dots), tail))
     )
 
 
@@ -102,7 +127,7 @@ def _fold_dots(value: Column) -> Column:
     )
     text = F.array_join(folded, "/")
     text = F.when(value.rlike(r"/\.{1,2}\z"), F.concat(text, F.lit("/"))).otherwise(text)
-    return F.when(value.rlike(r"(^|/)\.{1,2}(/|\z)"), text).otherwise(value)
+    return F.when(F.contains(value, F.lit("/.")) & value.rlike(r"/\.{1,2}(/|\z)"), text).otherwise(value)
 
 
 def official_url(url: Column, hosts: Sequence[str] = (), suffixes: Sequence[str] = ()) -> Column:

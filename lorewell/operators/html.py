@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from lorewell.functions.dates import published_time
 from lorewell.functions.text import clean_lines, fold_blanks
-from lorewell.functions.urls import is_detail_page, normalize_url, resolve_url
+from lorewell.functions.urls import base_of, is_detail_page, normalize_url, resolve_against
 from lorewell.scale import let
 
 # Where pages keep their text, title and date, and what is thrown away first.
@@ -156,8 +156,8 @@ def page_links(raw: Column, url: Column, content_only: bool = False) -> Column:
     """Ordered array of distinct (url, anchor); the first anchor of a target counts."""
     links = F.filter(raw["links"], lambda k: k["in_content"]) if content_only else raw["links"]
     resolved = F.filter(
-        F.transform(links, lambda k: F.struct(
-            normalize_url(resolve_url(url, F.trim(k["href"]))).alias("url"), fold_blanks(k["anchor"]).alias("anchor"))),
+        let(base_of(url), lambda base: F.transform(links, lambda k: F.struct(
+            normalize_url(resolve_against(base, F.trim(k["href"]))).alias("url"), fold_blanks(k["anchor"]).alias("anchor")))),
         lambda k: k["url"].isNotNull())
     # Keep a link when no earlier one has the same target.
     return let(resolved, lambda every: let(

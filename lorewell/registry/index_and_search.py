@@ -412,18 +412,18 @@ def citations(spark, sf):
 
 
 @query("prompt_rows", V.with_views(f"""
-    , {_CUT_SQL} select e.vec_id query_id, sha256(concat('<knowledge_context>', chr(10), coalesce(c, ''), '</knowledge_context>', chr(10), chr(10), '<conversation_history>', chr(10),
+    , {_HISTORY_SQL}, {_CUT_SQL} select e.vec_id query_id, sha256(concat('<knowledge_context>', chr(10), coalesce(c, ''), '</knowledge_context>', chr(10), chr(10), '<conversation_history>', chr(10),
         coalesce(h, ''), '</conversation_history>', chr(10), chr(10), '当前问题：', chr(10), 'q', cast(e.vec_id as varchar))) digest
     from embeddings e left join (select query_id, string_agg(concat('[片段 ', cast(rank as varchar), ']', chr(10), '文件：f', cast(chunk_key as varchar), chr(10), '页码：1', chr(10),
         '来源部门：s', chr(10), '内容：', category, chr(10), chr(10)), '' order by rank) c from kept group by 1) k on k.query_id = e.vec_id
-    left join (select conversation_id, string_agg(concat(role, '：', {sql_strip('content')}, chr(10)), '' order by ord) h from v_messages group by 1) m on m.conversation_id = e.vec_id""",
+    left join (select conversation_id, string_agg(concat(role, '：', {sql_strip('content')}, chr(10)), '' order by ord) h from h group by 1) m on m.conversation_id = e.vec_id""",
     "v_chunks", "v_messages"))
 def prompt_rows(spark, sf):
     kept = R.relevance_cut(_ranked(spark, sf)).withColumns({
         "filename": F.concat(F.lit("f"), F.col("chunk_key").cast("string")), "page": F.lit(1), "source": F.lit("s"),
         "content": F.concat(F.lit(" "), "chunk_category", F.lit("\n"))})
     questions = V.vector_questions(spark, sf).select("query_id", F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("question"))
-    history = V.messages(spark, sf).withColumnRenamed("conversation_id", "query_id")
+    history = Q.bounded_history(V.messages(spark, sf), 3, 400).withColumnRenamed("conversation_id", "query_id")
     return R.prompt_rows(questions, kept, history).select("query_id", F.sha2("prompt", 256).alias("digest"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from lorewell.operators import dialogue as D
@@ -358,4 +360,4 @@ def usage_per_day(spark, sf):
     select cast(user_id as varchar) session, min(ts) first_seen, max(ts) + interval 12 hour expires, count(*) messages from grouped group by user_id, grp""")
 def session_activity(spark, sf):
     rows = V.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("session"), F.col("ts").alias("created_time"))
-    return windows.session_activity(rows, "12 hours")
+    return windows.session_activity(rows, timedelta(hours=12))

@@ -1,6 +1,6 @@
 import io
 import zipfile
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,8 +187,8 @@ def test_window_streams(spark, tmp_path):
     drain(windows.usage_per_window(stream, "1 day", ["model"], "1 hour"), "usage_stream", "complete")
     assert sorted(map(str, spark.table("usage_stream").collect())) == sorted(map(str, windows.usage_per_window(usage, "1 day", ["model"]).collect()))
     seen = usage.select(F.col("model").alias("session"), "created_time")
-    drain(windows.session_activity(stream.select(F.col("model").alias("session"), "created_time"), "5 hours", "1 hour"), "activity", "complete")
-    assert sorted(map(str, spark.table("activity").collect())) == sorted(map(str, windows.session_activity(seen, "5 hours").collect()))
+    drain(windows.session_activity(stream.select(F.col("model").alias("session"), "created_time"), timedelta(hours=5), "1 hour"), "activity", "complete")
+    assert sorted(map(str, spark.table("activity").collect())) == sorted(map(str, windows.session_activity(seen, timedelta(hours=5)).collect()))
 
 
 def test_dedupe_stream(spark, tmp_path):
