@@ -261,12 +261,39 @@ def file_size_label(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", numbers.file_size_label(size).alias("size_label"))
 
 
-@query("extract_title", None)
+def sql_unescape(value: str) -> str:
+    for entity, character in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©")):
+        value = f"replace({value}, '{entity}', '{character}')"
+    return f"regexp_replace({value}, '&amp;?', '&', 'g')"
+
+
+# The pages keep their text in one article; a short one gives way to the body without its frame.
+def _sql_pieces(source: str) -> str:
+    return (f"list_filter(list_transform(regexp_split_to_array({source}, '<[^>]*>'), lambda p: {sql_strip(sql_unescape('p'))}), "
+            "lambda p: p <> '')")
+
+
+_BODY = "regexp_extract(html, '(?s)<body[^>]*>(.*)', 1)"
+for _frame in ("<!--.*?-->", "<nav.*?</nav>", "<footer.*?</footer>", "<script.*?</script>", "<style.*?</style>"):
+    _BODY = f"regexp_replace({_BODY}, '(?s){_frame}', '<br>', 'g')"
+_ARTICLE_SQL = f"""
+    with parts as (select page_id, html, {_sql_pieces("regexp_extract(html, '(?s)<article>(.*)</article>', 1)")} article from pages),
+    chosen as (select page_id, html, length(array_to_string(article, ' ')) >= 80 selected,
+        case when length(array_to_string(article, ' ')) >= 80 then article else {_sql_pieces(_BODY)} end pieces from parts),
+    lines as (select page_id, html, selected, list_filter(list_transform(flatten(list_transform(pieces, lambda p: regexp_split_to_array(p, '{LINE_ENDS}'))),
+        lambda x: {sql_fold('x')}), lambda x: x <> '') kept from chosen),
+    body as (select page_id, html, selected, array_to_string(list_filter(kept, lambda line, i: i = 1 or line <> kept[i - 1]), chr(10)) content from lines)"""
+
+
+@query("extract_title", _ARTICLE_SQL + f"""
+    select page_id, substr({sql_fold(sql_unescape("regexp_extract(html, '<h1>([^<]*)</h1>', 1)"))}, 1, 255) title, selected is_detail from body""")
 def extract_title(spark, sf):
     return html.parse_pages(V.table(spark, sf, "pages", heavy=True)).select("page_id", "title", "is_detail")
 
 
-@query("extract_main_text", None)
+@query("extract_main_text", _ARTICLE_SQL + r"""
+    select page_id, sha256(content) digest, length(content) chars, try_cast(regexp_replace(regexp_extract(content, '20\d{2}[-./年]\d{1,2}[-./月]\d{1,2}'),
+        '^(\d+).(\d+).(\d+)$', '\1-\2-\3') as timestamp) published_time from body""")
 def extract_main_text(spark, sf):
     return html.parse_pages(V.table(spark, sf, "pages", heavy=True), content_chars=None).select(
         "page_id", F.sha2("content", 256).alias("digest"), F.length("content").alias("chars"), "published_time")
