@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.functions.numbers import half_up
-from lorewell.scale import first_per_key
+from lorewell.scale import first_per_key, side_by_side
 
 RECORD = ("title", "category", "content_hash", "etag", "last_modified", "last_status", "crawled_at", "indexed_at")
 KEPT_WHEN_MISSING = ("etag", "last_modified", "indexed_at")
@@ -54,15 +54,10 @@ def run_summary(events: DataFrame) -> DataFrame:
 
 
 def crawl_status(runs: DataFrame, state: DataFrame) -> DataFrame:
-    """Latest run, number of known pages and last finish time in one row.
-
-    Both sides are single-row aggregates, joined on a constant.
-    """
-    latest = runs.agg(F.max_by(F.struct(*runs.columns), F.col("id")).alias("latest_run")).withColumn("one", F.lit(1))
-    pages = state.agg(F.count("*").alias("total_webpages")).withColumn("one", F.lit(1))
-    return (
-        pages.join(latest, "one").drop("one")
-        .withColumn("last_updated", F.col("latest_run")["finished_at"]))
+    """Latest run, number of known pages and last finish time in one row."""
+    latest = runs.agg(F.max_by(F.struct(*runs.columns), F.col("id")).alias("latest_run"))
+    pages = state.agg(F.count("*").alias("total_webpages"))
+    return side_by_side(pages, latest).withColumn("last_updated", F.col("latest_run")["finished_at"])
 
 
 def run_rates(total: Column, success: Column, failed: Column, denied: Column) -> tuple[Column, Column]:

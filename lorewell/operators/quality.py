@@ -9,6 +9,7 @@ from lorewell.functions import rulesets as R
 from lorewell.functions.numbers import half_up, percentage
 from lorewell.functions.text import trim_controls
 from lorewell.operators.classify import catalog_label
+from lorewell.scale import side_by_side
 
 LOW_CONFIDENCE = 70
 TOP_QUESTIONS = 10
@@ -41,11 +42,8 @@ def quality_totals(answers: DataFrame, feedback: DataFrame, approximate: bool =
     low = answers.where(is_low(F.col("confidence"))).select("id")
     wrong = feedback.where(F.col("user_feedback") == "INCORRECT").select(F.col("chat_history_id").alias("id"))
     both = low.join(wrong, "id", "left_semi").agg(F.count("*").alias("low_confidence_incorrect"))
-    joined = per_answer.withColumn("one", F.lit(1))
-    for part in (marks, both):
-        joined = joined.join(part.withColumn("one", F.lit(1)), "one")
     count = F.col("helpful") + F.col("incorrect")
-    return joined.drop("one").withColumns({
+    return side_by_side(per_answer, marks, both).withColumns({
         "feedback_count": count, "helpful_rate": percentage(F.col("helpful"), count)})
 
 

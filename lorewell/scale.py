@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,6 +98,12 @@ def following_row(df: DataFrame, keys: Sequence[str], order: str, slice_of: Colu
     )
 
 
+def side_by_side(*single_rows: DataFrame) -> DataFrame:
+    """One-row frames with different columns as one row; a union and an aggregate, no join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), single_rows)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
+
+
 def rows_within(df: DataFrame, limit: int) -> list | None:
     """The rows of a table that is meant to be small, or ``None`` when it is larger than ``limit``."""
     rows = df.limit(limit + 1).collect()

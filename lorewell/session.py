@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -19,6 +22,20 @@ SETTINGS = {
 }
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context, wherever it was imported from."""
+    context = spark.sparkContext
+    if getattr(context, "_lorewell_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="lorewell-package-")) / "lorewell.zip"
+    with zipfile.ZipFile(archive, "w") as target:
+        for source in sorted(root.rglob("*.py")):
+            target.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._lorewell_shipped = True
+
+
 def build_session(app: str = "lorewell", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the settings above. ``extra`` uses ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
@@ -36,4 +53,5 @@ def build_session(app: str = "lorewell", master: str | None = None, **extra: str
         builder = builder.config(key.replace("__", "."), value)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     return session
