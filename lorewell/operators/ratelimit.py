@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.functions.text import is_blank, trim_controls
+from lorewell.scale import cut_lineage
 
 MINUTE = 60_000_000
 FULL = 2**62
@@ -159,7 +160,8 @@ def rate_limit_replay(requests: DataFrame, limits: dict[str, int] | None = None,
             F.col(f"{kind}_capacity").alias("capacity"))
         return token_bucket(charged, period).withColumnRenamed("allowed", f"__{kind}")
 
-    by_ip = keyed.join(through(keyed, "ip"), "request_id", "left").withColumn("__ip", F.coalesce("__ip", F.lit(True)))
+    # The first pass feeds the second and the result: settle its two small columns once.
+    by_ip = keyed.join(cut_lineage(through(keyed, "ip")), "request_id", "left").withColumn("__ip", F.coalesce("__ip", F.lit(True)))
     passed = by_ip.where("__ip")
     by_session = by_ip.join(through(passed, "session"), "request_id", "left")
     return by_session.withColumn("allowed", F.col("__ip") & F.coalesce("__session", F.lit(True))).select(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lorewell.functions.text import none_if_blank, strip
 from lorewell.functions.tokens import HAN, HAN_COMMON, gap_closed_bigrams, run_bigrams
 from lorewell.functions.numbers import half_up
-from lorewell.scale import let, top_per_key
+from lorewell.scale import cut_lineage, let, top_per_key
 
 # Weights, caps and limits of the ranking, and the texts it looks for.
 CURATED_BONUS, CATEGORY_BONUS = 0.15, 0.03
@@ -167,6 +167,7 @@ def _grid(block: pa.Table, queries, index, k, modes, query_id, query_vector, ind
           shard_rows: int = 200_000) -> DataFrame:
     """Blocks of queries against shards of the index; every task holds one of each."""
     names, schema = _result(queries, index, query_id, index_id)
+    queries = cut_lineage(queries)  # counted and joined; their vectors may come from a model
     blocks = max(1, math.ceil(queries.count() / (max_rows * 0.5)))
     shards = max(1, math.ceil(index.count() / shard_rows))
     def cells(n: int) -> Column:

@@ -43,6 +43,12 @@ def read_uploads(spark: SparkSession, folder: str) -> DataFrame:
     return check_uploads(files)
 
 
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Paths of existing files, without reading them; local paths lose their scheme."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select(F.regexp_replace("path", r"^file:(?://)?", "").alias("path"))
+
+
 def check_uploads(files: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
     """Add filename, extension and ``rejected`` (null for usable files) to (path, length, content)."""
     name = F.regexp_extract("path", r"([^/]*)\z", 1)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorewell import schemas as S
+from lorewell.operators import catalog as catalog_ops
 from lorewell.operators import dialogue, evaluate
 from lorewell.operators.index import publish_index, replace_index
 from lorewell.operators.ratelimit import token_bucket
@@ -15,7 +16,7 @@ from lorewell.plans.web_index import web_index_job
 from lorewell.operators.embed import hash_embedding
 from lorewell.scale import cut_lineage
 from lorewell.sources import snapshots
-from lorewell.sources.tables import check_uploads, question_set, read_uploads
+from lorewell.sources.tables import catalog_detail, catalog_scan, check_uploads, dry_run, list_files, question_set, read_uploads
 from lorewell.streaming import jobs, windows
 
 RULES = CrawlRules(now=datetime(2026, 7, 1), since=datetime(2024, 1, 1), agent="bot")
@@ -159,6 +160,27 @@ def test_sources_json_round_trip(spark):
     assert row.s[0].title == "t" and row.s[0].page == 2 and row.s[0].url is None and row.e == []
 
 
+def test_reindex_needs_the_file(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF")
+    path = str(tmp_path / "a.pdf")
+    rows = [(1, "COMPLETED", "UPLOADED_FILE", path), (2, "COMPLETED", "UPLOADED_FILE", path + "x"), (3, "FAILED", "UPLOADED_FILE", path),
+            (4, "COMPLETED", "UPLOADED_FILE", None), (5, "COMPLETED", "OFFICIAL_WEBSITE", path)]
+    df = spark.createDataFrame(rows, "id int, status string, source_type string, storage_path string")
+    decided = catalog_ops.select_reindex(df, list_files(spark, str(tmp_path)))
+    assert {r.id: r.decision for r in decided.collect()} == {1: "SCHEDULED", 2: "SKIPPED", 3: "SKIPPED", 4: "SKIPPED"}
+    assert tuple(catalog_ops.reindex_counts(decided).first()) == (1, 3)
+
+
+def test_lists_and_dry_run(spark):
+    rows = [(1, "b", datetime(2024, 1, 1)), (2, "b", datetime(2024, 1, 3)), (3, "a", datetime(2024, 1, 2))]
+    df = spark.createDataFrame(rows, "id int, session string, created_time timestamp_ntz").withColumn("content", F.lit("text"))
+    assert [r.id for r in dialogue.session_history(df, "b").collect()] == [2, 1]
+    assert [r.id for r in dialogue.session_history(df, "b", 1).collect()] == [2]
+    assert [r.id for r in catalog_scan(df).collect()] == [2, 3, 1] and "content" not in catalog_scan(df).columns
+    assert catalog_detail(df, 3).first().content == "text"
+    assert {r.action for r in dry_run(df).collect()} == {"DRY_RUN"}
+
+
 def events(spark, n=60):
     rows = [(i, f"k{i % 3}", i * 400 + (i % 5), 2) for i in range(n)]
     return spark.createDataFrame(rows, "request_id long, bucket_key string, micros long, capacity int")
