@@ -145,9 +145,11 @@ def token_bucket(requests: DataFrame, period: int = MINUTE, slice_micros: int |
         .mapInPandas(_replay(period), f"request_id {requests.schema['request_id'].dataType.simpleString()}, allowed boolean"))
 
 
-def rate_limit_replay(requests: DataFrame, limits: dict[str, int] | None = None, period: int = MINUTE) -> DataFrame:
+def rate_limit_replay(requests: DataFrame, limits: dict[str, int] | None = None, period: int = MINUTE,
+                      slice_micros: int | None = None) -> DataFrame:
     """Add ``allowed`` to requests (request_id, ts, path, ip, session).
 
+    ``slice_micros`` bounds what one task replays of a bucket; make it smaller for busier buckets.
     The address bucket is charged first; a session bucket only sees what passed it.
     """
     keyed = requests.withColumns({
@@ -158,7 +160,7 @@ def rate_limit_replay(requests: DataFrame, limits: dict[str, int] | None = None,
         charged = rows.where(F.col(f"{kind}_key").isNotNull()).select(
             "request_id", F.col(f"{kind}_key").alias("bucket_key"), F.col("__micros").alias("micros"),
             F.col(f"{kind}_capacity").alias("capacity"))
-        return token_bucket(charged, period).withColumnRenamed("allowed", f"__{kind}")
+        return token_bucket(charged, period, slice_micros).withColumnRenamed("allowed", f"__{kind}")
 
     # The first pass feeds the second and the result: settle its two small columns once.
     by_ip = keyed.join(cut_lineage(through(keyed, "ip")), "request_id", "left").withColumn("__ip", F.coalesce("__ip", F.lit(True)))

@@ -155,7 +155,7 @@ def upload_index_job(spark, sf):
 @query("validate_aliases", """
     select distinct p_type as alias, 'category_invalid' problem from part where p_size > 40
     union all select p_type, 'alias_conflict' from part group by p_type having count(distinct p_brand) > 1""")
-def validate_aliases(spark, sf):
+def validate_aliases(spark):
     rows = V.table(spark, sf, "part").select(
         F.col("p_brand").alias("canonical"), F.col("p_type").alias("alias"), F.when(F.col("p_size") > 40, "ODD").otherwise("LIFE").alias("category"))
     return Q.alias_violations(rows)
@@ -164,10 +164,8 @@ def validate_aliases(spark, sf):
 ALIASES = [("tion", "ation"), ("tion", "ati"), ("there", "the"), ("und", "und"), ("lich", "licht"), ("que", "qu")]
 
 
-def _aliases(spark, sf):
-    """The alias list, carried by the smallest given table."""
-    rows = F.array(*[F.struct(F.lit(c).alias("canonical"), F.lit(a).alias("alias"), F.lit(i).alias("seq")) for i, (c, a) in enumerate(ALIASES)])
-    return V.table(spark, sf, "region").where("r_regionkey = 0").select(F.inline(rows))
+def _aliases(spark):
+    return spark.createDataFrame([(c, a, i) for i, (c, a) in enumerate(ALIASES)], "canonical string, alias string, seq long")
 
 
 _ALIAS_SQL = """
@@ -185,14 +183,14 @@ def _expanded(rows):
 
 
 @query("expand_aliases", _ALIAS_SQL)
-def expand_aliases(spark, sf):
-    return _expanded(Q.expand_aliases(V.table(spark, sf, "documents", heavy=True), "doc_id", "text", _aliases(spark, sf)))
+def expand_aliases(spark):
+    return _expanded(Q.expand_aliases(V.table(spark, sf, "documents", heavy=True), "doc_id", "text", _aliases(spark)))
 
 
 @query("expand_aliases_by_join", _ALIAS_SQL)
 def expand_aliases_by_join(spark, sf):
     """The same through the join that serves dictionaries too large to inline."""
-    return _expanded(Q.expand_aliases(V.table(spark, sf, "documents", heavy=True), "doc_id", "text", _aliases(spark, sf), inline=0))
+    return _expanded(Q.expand_aliases(V.table(spark, sf, "documents", heavy=True), "doc_id", "text", _aliases(spark), inline=0))
 
 
 def _event_questions(spark, sf):
@@ -460,7 +458,7 @@ def answer_job(spark, sf):
     questions = users.select(
         F.concat_ws("-", F.col("conversation_id").cast("string"), F.col("ord").cast("string")).alias("query_id"), "conversation_id",
         F.col("content").alias("question"))
-    understood = search.understand(questions, _aliases(spark, sf))
+    understood = search.understand(questions, _aliases(spark))
     results = search.search_job(understood, index_rows, embed=embed.hash_embedding(128))
     rows = search.answer_job(understood, results)
     return rows.select("query_id", "category", "answerable", "confidence", F.size("sources").alias("sources"))

@@ -275,7 +275,7 @@ _BUCKETS_SQL = f"""
 @query("rate_limit_replay", _BUCKETS_SQL)
 def rate_limit_replay(spark, sf):
     """Limits per day instead of per minute, so that the sparse events run into them."""
-    return ratelimit.rate_limit_replay(requests(spark, sf), RATE_LIMITS, DAY).select("request_id", "allowed")
+    return ratelimit.rate_limit_replay(requests(spark, sf), RATE_LIMITS, DAY, slice_micros=DAY // 2).select("request_id", "allowed")
 
 
 # --- evaluation ------------------------------------------------------------------------------

@@ -223,8 +223,8 @@ def _channel_links(spark, sf):
     links = o.select("o_orderkey", F.concat(F.lit("https://p"), F.substring("o_orderpriority", 1, 1), F.lit(".example.org"), shape).alias("url"))
     seeds = V.table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(
         F.lit("https://p1.example.org/news/"), F.col("c_custkey").cast("string"), F.lit("/list.htm")).alias("url"))
-    more = V.table(spark, sf, "region").select(F.lit("https://p2.example.org/news/list.htm").alias("url"))
-    return links, seeds.unionByName(more)
+    open_seed = spark.createDataFrame([("https://p2.example.org/news/list.htm",)], "url string")
+    return links, seeds.unionByName(open_seed)
 
 
 @query("channel_candidates", """
