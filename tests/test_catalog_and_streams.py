@@ -221,3 +221,16 @@ def test_dedupe_stream(spark, tmp_path):
     drain(jobs.stream_dedupe(stream), "once")
     batch = data.dropDuplicates(["url", "content_hash"]).select("url", "content_hash")
     assert sorted(spark.table("once").select("url", "content_hash").collect()) == sorted(batch.collect())
+
+
+def test_repeated_batch_changes_nothing(spark, tmp_path):
+    pages, root = tmp_path / "pages", tmp_path / "root"
+    robots, names, barred = side_tables(spark)
+    spark.createDataFrame(FIRST[:2], S.PAGE_DDL).coalesce(1).write.parquet(str(pages / "a"))
+    jobs.stream_ingest(spark, str(pages / "*"), str(root), names, barred, RULES, robots).awaitTermination(120)
+    before = [snapshots.current_version(spark, str(root / n)) for n in ("catalog", "state")]
+    for marker in (root / "ingest-checkpoint" / "commits").iterdir():
+        marker.unlink()  # as if the job had died before the batch was committed
+    jobs.stream_ingest(spark, str(pages / "*"), str(root), names, barred, RULES, robots).awaitTermination(120)
+    assert [snapshots.current_version(spark, str(root / n)) for n in ("catalog", "state")] == before
+    assert {r.last_status for r in snapshots.read_snapshot(spark, str(root / "state")).collect()} == {"CREATED", "OUT_OF_RANGE"}
