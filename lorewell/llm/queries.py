@@ -8,9 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorewell.llm import langid
+from lorewell.llm.batches import fold
 from lorewell.llm.decontaminate import contamination
 from lorewell.llm.linededup import dedup_lines
 from lorewell.llm.neardup import near_duplicates
+from lorewell.llm.packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +33,27 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op1_best_fit_packing")
+def op1(spark, sf):
+    packed = pack(table(spark, sf, "documents").select("doc_id", "text"), tokenizer_file())
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op9_language_id")
+def op9(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(True))
+    model = langid.train(docs.where(~held_out))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 DECONTAMINATE_SQL = f"""
