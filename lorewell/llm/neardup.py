@@ -2,12 +2,14 @@
 
 1. One pass turns each text into its set of word shingles (64-bit hashes), a 128-bit fingerprint of the set and a
    MinHash signature. Documents with equal sets are one class, stood for by its smallest id.
-2. Signatures are cut into bands; classes that share a band are candidates. Each bucket is first tried as a star
-   around its smallest member. Bands that are settled that way (all members linked) need nothing more; in
-   the others each member outside the bucket's main component is compared with the rest, block against block
-   inside a task, so no pairs are written out.
-3. A candidate pair is judged batch by batch of signature values: as soon as the posterior probability that its
-   similarity reaches the threshold falls below ``miss`` it is dropped. Survivors are checked on their full sets.
+2. Signatures are cut into bands; classes that share a band are candidates, first as a star around the bucket's
+   smallest member. A pair is judged batch by batch of signature values: as soon as the posterior probability that
+   its similarity reaches the threshold falls below ``miss`` it is dropped. Survivors form families.
+3. Families are verified exactly on their full sets, block against block inside a task. A large family is first
+   linked within blocks and with its first block; only members that this leaves outside its main component
+   are then compared with all others. Members of one bucket that belong to different families are judged in
+   the same way on their signatures, and the survivors on their sets. Only links that join components are
+   written out, so a group of copies never turns into its pairs.
 4. Links are joined into components by alternating star steps.
 """
 
@@ -18,7 +20,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +34,7 @@ ROWS = 4
 BATCH = 32
 MISS = 1e-9
 CHUNK = 256
+DENSE_CELLS = 1 << 23
 
 
 def _coefficients(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,10 +139,80 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         links = cut_lineage(small.where("u > v").union(least.select("u", F.col("m").alias("v"))).distinct())
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
-            return links.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            own = links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+            return links.select(F.col("u").alias("id"), F.col("v").alias("component")).union(own)
         state = now
 
 
+def _links_within(left: list[np.ndarray], right: list[np.ndarray], near: tuple[np.ndarray, np.ndarray], whole: int) -> np.ndarray:
+    """Which of the pairs ``near`` (rows of left, rows of right) have similar enough sets."""
+    i, j = near
+    if not len(i):
+        return np.zeros(0, bool)
+    rows, columns = np.unique(i), np.unique(j)
+    sizes_left, sizes_right = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    values = np.unique(np.concatenate([*(left[r] for r in rows), *(right[c] for c in columns)]))
+    if len(values) * (len(rows) + len(columns)) <= DENSE_CELLS and len(i) > 4:
+        def dense(sets, chosen):
+            out = np.zeros((len(chosen), len(values)), np.float32)
+            for n, r in enumerate(chosen):
+                out[n, np.searchsorted(values, sets[r])] = 1
+            return out
+
+        shared = (dense(left, rows) @ dense(right, columns).T)[np.searchsorted(rows, i), np.searchsorted(columns, j)].round().astype(np.int64)
+    else:
+        shared = np.array([len(left[p]) + len(right[q]) - len(np.union1d(left[p], right[q])) for p, q in zip(i, j, strict=True)], np.int64)
+    return 100 * shared >= whole * (sizes_left[i] + sizes_right[j] - shared)
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of the links that join two components, one after the other."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    out = []
+    for n, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append(n)
+    return np.array(out, np.int64)
+
+
+def _compare(verifier: Verifier, count: int, threshold: float):
+    """Exact links between the two sides of a block; members of one component are taken as linked already."""
+    whole = round(threshold * 100)
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        side = group.column("side").to_numpy()
+        left, right = group.filter(pa.array(side == 0)), group.filter(pa.array(side == 1))
+        alone = group.column("i")[0].as_py() == group.column("j")[0].as_py() and not right.num_rows  # a block with itself
+        right = left if alone else right
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        x, y = left.column("id").to_numpy(), right.column("id").to_numpy()
+        i, j = verifier.survive_all(_matrix(left.column("signature"), count), _matrix(right.column("signature"), count))
+        p, q = left.column("n").to_numpy()[i], right.column("n").to_numpy()[j]
+        keep = (left.column("component").to_numpy()[i] != right.column("component").to_numpy()[j]) & (
+            100 * np.minimum(p, q) >= whole * np.maximum(p, q)) & (x[i] != y[j])
+        if alone:
+            keep &= i < j
+        i, j = i[keep], j[keep]
+        sets = [[np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("shingles")] for t in (left, right)]
+        linked = _links_within(*sets, (i, j), whole)
+        a, b = np.minimum(x[i[linked]], y[j[linked]]), np.maximum(x[i[linked]], y[j[linked]])
+        chosen = _forest(a, b)
+        return pa.table({"a": pa.array(a[chosen], pa.int64()), "b": pa.array(b[chosen], pa.int64())})
+
+    return run
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     whole = round(threshold * 100)
@@ -189,16 +262,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     candidates = members.select(F.col("rep").alias("id")).distinct()
     signatures = cut_lineage(classes.join(candidates, classes["rep"] == candidates["id"], "left_semi")
                              .select(F.col("rep").alias("id"), "signature", "n"))
-    sets = cut_lineage(_sets(base.join(candidates, "id", "left_semi"), shingle))
 
     star = members.where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = cut_lineage(_confirmed(_likely(star, signatures, count, threshold, miss), sets, threshold))
+    likely = _likely(star, signatures, count, threshold, miss)
+    family = components(likely).withColumnRenamed("component", "family")
+    strangers = _across(members, family, signatures, count, threshold, miss, chunk)
+    strangers = cut_lineage(strangers)
+    wanted = family.select("id").union(strangers.select("a")).union(strangers.select("b")).distinct()
+    sets = cut_lineage(_sets(base.join(wanted, "id", "left_semi"), shingle))
+    links = _within(family, signatures, sets, count, threshold, miss, chunk)
+    links = links.union(cut_lineage(_confirmed(strangers, sets, threshold)))
     same_id = usable.join(classes.select("fingerprint", "rep"), "fingerprint").where("id > rep")
     same_id = same_id.select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    found = components(links)
-    rest = _across(members, found, signatures, count, threshold, miss, chunk)
-    more = _confirmed(rest, sets, threshold)
-    found = components(links.union(cut_lineage(more)).union(cut_lineage(same_id)))
+    found = components(links.union(cut_lineage(same_id)))
 
     out = known.join(found, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
     return out.select(F.col("id").alias(doc_id), "n_shingles", "component_id",
@@ -229,36 +305,79 @@ def _likely(pairs: DataFrame, signatures: DataFrame, count: int, threshold: floa
     return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, found: DataFrame, signatures: DataFrame, count: int, threshold: float,
+def _blocks(side_a: DataFrame, side_b: DataFrame | None, compare) -> DataFrame:
+    """Links found by ``compare`` in each block (owner, i, j); the sides are told apart by ``side``."""
+    rows = side_a.withColumn("side", F.lit(0))
+    if side_b is not None:
+        rows = rows.unionByName(side_b.withColumn("side", F.lit(1)))
+    return rows.groupBy("owner", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def _upto(count: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+
+
+def _within(family: DataFrame, signatures: DataFrame, sets: DataFrame, count: int, threshold: float, miss: float,
+            chunk: int) -> DataFrame:
+    """Exact links between members of one family, enough of them to hold its components together."""
+    compare = _compare(Verifier(count, threshold, miss), count, threshold)
+    sizes = family.groupBy("family").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
+    members = family.join(sizes, "family").join(signatures, "id").join(sets, "id").select(
+        F.col("family").alias("owner"), "id", "signature", "n", "shingles", "chunks",
+        F.pmod(F.xxhash64("id"), "chunks").alias("chunk"))
+    members = cut_lineage(members)
+    alone = members.withColumn("component", F.col("id"))
+    plain = ["owner", "id", "signature", "n", "shingles", "component", "i", "j"]
+    zero = F.lit(0).cast("long")
+    inner = _blocks(alone.withColumn("i", F.col("chunk")).withColumn("j", F.col("chunk")).select(plain), None, compare)
+    large = alone.where("chunks > 1")
+    hub = large.where("chunk = 0").withColumn("i", zero).withColumn("j", _upto(F.col("chunks"))).where("j > 0")
+    rest = large.where("chunk > 0").withColumn("i", zero).withColumn("j", F.col("chunk"))
+    first = cut_lineage(inner.union(_blocks(hub.select(plain), rest.select(plain), compare)))
+
+    # a family of one block is done; in the others whoever is not in the main component meets all others
+    found = components(first)
+    placed = members.where("chunks > 1").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = placed.groupBy("owner", "component").agg(F.count("*").alias("part"))
+    main = parts.groupBy("owner").agg(F.max(F.struct("part", "component")).alias("main"), F.sum("part").alias("size")).select(
+        "owner", F.col("main.component").alias("main"), F.ceil((F.col("size") - F.col("main.part")) / chunk).alias("out_chunks"))
+    placed = placed.join(main.where("out_chunks > 0"), "owner")
+    outside = placed.where("component <> main").withColumn("i", F.pmod(F.xxhash64("id", F.lit(1)), "out_chunks")).withColumn(
+        "j", _upto(F.col("chunks")))
+    every = placed.withColumn("j", F.col("chunk")).withColumn("i", _upto(F.col("out_chunks")))
+    second = _blocks(outside.select(plain), every.select(plain), compare)
+    return first.union(cut_lineage(second))
+
+
+def _across(members: DataFrame, family: DataFrame, signatures: DataFrame, count: int, threshold: float,
             miss: float, chunk: int) -> DataFrame:
-    """Likely pairs between different components that share a bucket; the stars are not tried again.
+    """Likely pairs of different families that share a bucket; the stars are not tried again.
 
-    Per bucket, members outside its main component stand against all members, in blocks of ``chunk`` by ``chunk``.
+    Per bucket, members outside its main family stand against all members, in blocks of ``chunk`` by ``chunk``.
     """
-    placed = members.join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "rep"))
-    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("part"), F.first("size").alias("size"))
+    placed = members.join(family.withColumnRenamed("id", "rep"), "rep", "left")
+    placed = placed.withColumn("component", F.coalesce("family", "rep"))
+    parts = placed.where("size > 2").groupBy("bucket", "component").agg(F.count("*").alias("part"), F.first("size").alias("size"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("part", "component")).alias("main"), F.first("size").alias("size"))
-    open_ = main.where("size > 2 and main.part < size").select(
+    mixed = main.where("main.part < size").select(
         "bucket", F.col("main.component").alias("main"), F.ceil(F.col("size") / chunk).alias("all_chunks"),
         F.ceil((F.col("size") - F.col("main.part")) / chunk).alias("out_chunks"))
-    inside = placed.select("bucket", "rep", "component").join(open_, "bucket")
+    inside = placed.select("bucket", "rep", "component").join(mixed, "bucket")
     inside = inside.join(signatures.select(F.col("id").alias("rep"), "signature", "n"), "rep")
-    number = F.xxhash64("rep")
-    column = F.pmod(number, F.col("all_chunks"))
-    row = F.pmod(number, F.col("out_chunks"))
-    every = inside.select("bucket", "rep", "component", "signature", "n", F.lit(False).alias("outside"), column.alias("j"),
-                          F.explode(F.sequence(F.lit(0).cast("long"), F.col("out_chunks") - 1)).alias("i"))
-    outside = inside.where("component <> main").select(
-        "bucket", "rep", "component", "signature", "n", F.lit(True).alias("outside"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_chunks") - 1)).alias("j"), row.alias("i"))
+    inside = inside.withColumnRenamed("bucket", "owner").withColumnRenamed("rep", "id")
+    plain = ["owner", "id", "signature", "n", "component", "i", "j"]
+    number = F.xxhash64("id")
+    every = inside.withColumn("j", F.pmod(number, "all_chunks")).withColumn("i", _upto(F.col("out_chunks")))
+    outside = inside.where("component <> main").withColumn("i", F.pmod(number, "out_chunks")).withColumn("j", _upto(F.col("all_chunks")))
     verifier, whole = Verifier(count, threshold, miss), round(threshold * 100)
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        out = group.column("outside").to_numpy()
-        left, right = group.filter(pa.array(out)), group.filter(pa.array(~out))
-        x, y = left.column("rep").to_numpy(), right.column("rep").to_numpy()
+        side = group.column("side").to_numpy()
+        left, right = group.filter(pa.array(side == 0)), group.filter(pa.array(side == 1))
+        x, y = left.column("id").to_numpy(), right.column("id").to_numpy()
+        if not len(x) or not len(y):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         i, j = verifier.survive_all(_matrix(left.column("signature"), count), _matrix(right.column("signature"), count))
         p, q = left.column("n").to_numpy()[i], right.column("n").to_numpy()[j]
         apart = left.column("component").to_numpy()[i] != right.column("component").to_numpy()[j]
@@ -266,5 +385,4 @@ def _across(members: DataFrame, found: DataFrame, signatures: DataFrame, count:
         a, b = x[i[keep]], y[j[keep]]
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
-    grouped = every.unionByName(outside).groupBy("bucket", "i", "j")
-    return grouped.applyInArrow(compare, "a long, b long").distinct()
+    return _blocks(outside.select(plain), every.select(plain), compare).distinct()

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm import langid
+from lorewell.llm import langid, toxicity
 from lorewell.llm.batches import fold
 from lorewell.llm.decontaminate import contamination
 from lorewell.llm.linededup import dedup_lines
@@ -45,6 +45,16 @@ def op1(spark, sf):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query("op5_toxicity")
+def op5(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels").select("doc_id", "toxic")
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(True))
+    model = toxicity.train(docs.where(~held_out).join(labels, "doc_id"))
+    scored = toxicity.toxicity(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query("op9_language_id")
 def op9(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
