@@ -167,7 +167,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
     idf = rarity(known, "text")
     order = [F.xxhash64("id"), F.xxhash64("text")]
-    sample = top_per_key(known, ["lang"], order, per_language).withColumn("aside", F.pmod("rank", F.lit(5)) == 0)
+    few = B.hash_sample(known, ["id", "text"], per_language, "lang")
+    sample = top_per_key(few, ["lang"], order, per_language).withColumn("aside", F.pmod("rank", F.lit(5)) == 0)
     rows = _examples(sample, "text")
     languages = sorted(set(rows.column("lang").to_pylist()))
     number = {name: i for i, name in enumerate(languages)}

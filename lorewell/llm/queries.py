@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm import langid, toxicity
+from lorewell.llm import langid, toxicity, urlfilter
+from lorewell.llm.ann import nearest
 from lorewell.llm.batches import fold
 from lorewell.llm.decontaminate import contamination
+from lorewell.llm.htmltext import extract_text
 from lorewell.llm.linededup import dedup_lines
 from lorewell.llm.neardup import near_duplicates
 from lorewell.llm.packing import pack
@@ -45,6 +47,22 @@ def op1(spark, sf):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query("op2_nearest_neighbours")
+def op2(spark, sf):
+    return nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op3_html_extraction")
+def op3(spark, sf):
+    return extract_text(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op8_url_filter")
+def op8(spark, sf):
+    judged = urlfilter.judge_urls(table(spark, sf, "pages").select("page_id", "url"), urlfilter.train())
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 @query("op5_toxicity")
 def op5(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")

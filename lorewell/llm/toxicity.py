@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorewell.llm import batches as B
+from lorewell.scale import cut_lineage
 
 DECAY = 0.7
 LONGEST = 24
@@ -233,7 +234,8 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic
     B.prepare(spark)
     known = labelled.where(F.col(toxic).isNotNull() & F.col(text).isNotNull())
     known = known.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(toxic).cast("int").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(rows)
+    few = B.hash_sample(known, ["id", "text"], rows)
+    sample = cut_lineage(few.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(rows).repartition(8))
     counts = _window_counts(sample).persist()
     total = counts.agg(F.count("*"), F.sum("toxic"), F.sum("clean")).first()
     vocabulary, in_toxic, in_clean = total[0], total[1] or 0, total[2] or 0
