@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm import langid, toxicity, urlfilter
+from lorewell.llm import langid, secretscan, toxicity, urlfilter
 from lorewell.llm.ann import nearest
 from lorewell.llm.batches import fold
 from lorewell.llm.decontaminate import contamination
@@ -57,6 +57,15 @@ def op3(spark, sf):
     return extract_text(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+@query("op7_secret_scan")
+def op7(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    model = secretscan.train(secretscan.labelled_findings(spark))
+    found = secretscan.scan(docs, model, path="source", keep=["doc_id"])
+    return found.select("doc_id", "nth", "word", F.length("value").alias("n_chars"),
+                        F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "score", "is_secret")
+
+
 @query("op8_url_filter")
 def op8(spark, sf):
     judged = urlfilter.judge_urls(table(spark, sf, "pages").select("page_id", "url"), urlfilter.train())
