@@ -35,6 +35,7 @@ BATCH = 32
 MISS = 1e-9
 CHUNK = 256
 DENSE_CELLS = 1 << 23
+DOCS_A_TASK = 20_000
 
 
 def _coefficients(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,18 +126,26 @@ def _matrix(column: pa.Array, count: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, count)
 
 
+def _few(df: DataFrame, rows: int, per: int) -> DataFrame:
+    """The rows in no more partitions than their number asks for, so that small tables don't make many small files."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per)))
+
+
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(id, component) of every linked id: the smallest id reachable. Alternates star steps until nothing moves."""
     links = links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u > v").distinct()
     links = cut_lineage(links)
-    state = None
+    state, count = None, links.count()
     while True:
+        links = _few(links, count, 200_000)
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _few(large, count, 200_000)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        links = cut_lineage(small.where("u > v").union(least.select("u", F.col("m").alias("v"))).distinct())
+        small = _few(small.where("u > v").union(least.select("u", F.col("m").alias("v"))), count, 200_000)
+        links = cut_lineage(_few(small.distinct(), count, 200_000))
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             own = links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
@@ -250,31 +259,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     count = bands * rows
     base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     known = cut_lineage(features(base, "text", shingle, count))
+    total = known.count()
     usable = known.where(F.col("id").isNotNull() & F.col("fingerprint").isNotNull())
-    classes = cut_lineage(usable.groupBy("fingerprint").agg(
-        F.min("id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")))
+    classes = usable.groupBy("fingerprint").agg(
+        F.min("id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
+    classes = cut_lineage(_few(classes, total, DOCS_A_TASK))
 
     band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")
     banded = classes.select("rep", "signature", band).select(
         "rep", F.xxhash64("band", F.expr(f"substring(signature, band * {4 * rows} + 1, {4 * rows})")).alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("leader")).where("size > 1")
-    members = cut_lineage(banded.join(shared, "bucket"))
+    members = cut_lineage(_few(banded.join(shared, "bucket"), total, DOCS_A_TASK))
     candidates = members.select(F.col("rep").alias("id")).distinct()
-    signatures = cut_lineage(classes.join(candidates, classes["rep"] == candidates["id"], "left_semi")
-                             .select(F.col("rep").alias("id"), "signature", "n"))
+    signatures = classes.join(candidates, classes["rep"] == candidates["id"], "left_semi").select(F.col("rep").alias("id"), "signature", "n")
+    signatures = cut_lineage(_few(signatures, total, DOCS_A_TASK))
 
     star = members.where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    star = _few(star, total, DOCS_A_TASK)
     likely = _likely(star, signatures, count, threshold, miss)
     family = components(likely).withColumnRenamed("component", "family")
     strangers = _across(members, family, signatures, count, threshold, miss, chunk)
-    strangers = cut_lineage(strangers)
+    strangers = cut_lineage(_few(strangers, total, DOCS_A_TASK))
     wanted = family.select("id").union(strangers.select("a")).union(strangers.select("b")).distinct()
-    sets = cut_lineage(_sets(base.join(wanted, "id", "left_semi"), shingle))
-    links = _within(family, signatures, sets, count, threshold, miss, chunk)
-    links = links.union(cut_lineage(_confirmed(strangers, sets, threshold)))
+    sets = cut_lineage(_few(_sets(base.join(wanted, "id", "left_semi"), shingle), total, DOCS_A_TASK))
+    links = _within(family, signatures, sets, total, count, threshold, miss, chunk)
+    links = links.union(cut_lineage(_few(_confirmed(strangers, sets, threshold), total, DOCS_A_TASK)))
     same_id = usable.join(classes.select("fingerprint", "rep"), "fingerprint").where("id > rep")
     same_id = same_id.select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    found = components(links.union(cut_lineage(same_id)))
+    found = components(_few(links.union(cut_lineage(_few(same_id, total, DOCS_A_TASK))), total, DOCS_A_TASK))
 
     out = known.join(found, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
     return out.select(F.col("id").alias(doc_id), "n_shingles", "component_id",
@@ -317,7 +329,7 @@ def _upto(count: Column) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
 
 
-def _within(family: DataFrame, signatures: DataFrame, sets: DataFrame, count: int, threshold: float, miss: float,
+def _within(family: DataFrame, signatures: DataFrame, sets: DataFrame, total: int, count: int, threshold: float, miss: float,
             chunk: int) -> DataFrame:
     """Exact links between members of one family, enough of them to hold its components together."""
     compare = _compare(Verifier(count, threshold, miss), count, threshold)
@@ -325,7 +337,7 @@ def _within(family: DataFrame, signatures: DataFrame, sets: DataFrame, count: in
     members = family.join(sizes, "family").join(signatures, "id").join(sets, "id").select(
         F.col("family").alias("owner"), "id", "signature", "n", "shingles", "chunks",
         F.pmod(F.xxhash64("id"), "chunks").alias("chunk"))
-    members = cut_lineage(members)
+    members = cut_lineage(_few(members, total, DOCS_A_TASK))
     alone = members.withColumn("component", F.col("id"))
     plain = ["owner", "id", "signature", "n", "shingles", "component", "i", "j"]
     zero = F.lit(0).cast("long")
@@ -333,7 +345,7 @@ def _within(family: DataFrame, signatures: DataFrame, sets: DataFrame, count: in
     large = alone.where("chunks > 1")
     hub = large.where("chunk = 0").withColumn("i", zero).withColumn("j", _upto(F.col("chunks"))).where("j > 0")
     rest = large.where("chunk > 0").withColumn("i", zero).withColumn("j", F.col("chunk"))
-    first = cut_lineage(inner.union(_blocks(hub.select(plain), rest.select(plain), compare)))
+    first = cut_lineage(_few(inner.union(_blocks(hub.select(plain), rest.select(plain), compare)), total, DOCS_A_TASK))
 
     # a family of one block is done; in the others whoever is not in the main component meets all others
     found = components(first)
@@ -346,7 +358,7 @@ def _within(family: DataFrame, signatures: DataFrame, sets: DataFrame, count: in
         "j", _upto(F.col("chunks")))
     every = placed.withColumn("j", F.col("chunk")).withColumn("i", _upto(F.col("out_chunks")))
     second = _blocks(outside.select(plain), every.select(plain), compare)
-    return first.union(cut_lineage(second))
+    return first.union(cut_lineage(_few(second, total, DOCS_A_TASK)))
 
 
 def _across(members: DataFrame, family: DataFrame, signatures: DataFrame, count: int, threshold: float,
