@@ -18,10 +18,10 @@ def _first_date(value: Column, pattern: str) -> Column:
 
 
 def published_time(metas: Sequence[Column], content: Column, url: Column,
-                   content_chars: int | None = 500) -> Column:
-    """Publication time from meta tags, else the head of the text, else the address.
+                   content_chars: int | None = None) -> Column:
+    """Publication time from meta tags, else the text, else the address.
 
-    ``content_chars=None`` looks at the whole text.
+    The whole text is looked at unless ``content_chars`` limits it to its head.
     """
     head = content if content_chars is None else F.substring(content, 1, content_chars)
     from_url = F.when(url.rlike(URL_DATE), _first_date(url, URL_DATE)).otherwise(_first_date(url, TEXT_DATE))

@@ -23,7 +23,7 @@ BUSY = ("PROCESSING", "UPLOADING")
 
 
 def newest_per_url(new: DataFrame, order: str = "crawl_time") -> DataFrame:
-    return first_per_key(new, ["source_url"], [F.desc(order)])
+    return first_per_key(new, ["source_url"], [F.desc(order), F.desc_nulls_last("content_hash")])
 
 
 def ingest_action(exists: Column, new_hash: Column, old_hash: Column, barred: Column, force: bool = False) -> Column:

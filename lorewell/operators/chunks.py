@@ -36,9 +36,8 @@ def _atoms(text: str, offset: int, limit: int, size_of: Callable[[str], int], le
         level += 1
     mark = SEPARATORS[level]
     if not mark:
-        middle = len(text) // 2
-        for start, part in ((0, text[:middle]), (middle, text[middle:])):
-            yield from _atoms(part, offset + start, limit, size_of, level)
+        # Down to characters: only pieces that small can make the overlap.
+        yield from ((offset + i, offset + i + 1) for i in range(len(text)))
         return
     begin = 0
     while begin < len(text):
@@ -110,7 +109,8 @@ def number_single_pages(pages: DataFrame) -> DataFrame:
 def _unfold(pages: DataFrame) -> DataFrame:
     rest = [c for c in pages.columns if c != "chunks"]
     return (
-        pages.select(*rest, F.posexplode("chunks").alias("pos", "chunk"))
+        # The outer explode keeps Spark from testing the array, and so cutting the text, a second time.
+        pages.select(*rest, F.posexplode_outer("chunks").alias("pos", "chunk")).where(F.col("chunk").isNotNull())
         .withColumn("chunk_index", (F.col("__offset") + F.col("pos")).cast("int"))
         .select(*rest, "chunk_index", F.col("chunk")["text"].alias("content"), F.col("chunk")["start"].alias("start")))
 

@@ -1,23 +1,25 @@
 """Keyword classification of pages, uploads, links and catalog rows.
 
-Rule sets are small, so they become literal arrays and the work stays in one narrow stage.
-Rule tables too large to inline go through an n-gram equi-join instead (``keyword_hits``).
+Rule sets are small, so they become literal arrays and the work stays in one narrow stage. Tables of
+keywords of any size are matched by one multi-pattern pass over the texts (``keyword_matches``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lorewell.functions import rulesets as R
 from lorewell.functions.text import filename_stem, first_lines, nfkc_lower
 from lorewell.functions.urls import host, path
-from lorewell.scale import rows_within
 
-INLINE_RULES = 2000
+SHARD_KEYWORDS = 50_000
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:
@@ -98,8 +100,8 @@ def classify_evergreen_page(title: Column, corpus: Column, url: Column, name: st
 
 
 def classify_page(title: Column, content: Column, url: Column, name: str | None = None,
-                  library_host: str | None = None, body_chars: int | None = 1200) -> Column:
-    """Verdict struct of a crawled page. ``body_chars=None`` reads the whole body."""
+                  library_host: str | None = None, body_chars: int | None = None) -> Column:
+    """Verdict struct of a crawled page. The whole body is read unless ``body_chars`` limits it."""
     body = content if body_chars is None else F.substring(content, 1, body_chars)
     corpus = F.concat(title, F.lit("\n"), body)
     action = contains_any(corpus, R.STUDENT_ACTION_SIGNALS)
@@ -132,7 +134,7 @@ def _upload_title_priority(text: Column) -> list[Column]:
 
 
 def classify_upload(df: DataFrame, filename: str, first_page: str, name: str | None = None,
-                    page_chars: int | None = 1200, out: str = "verdict") -> DataFrame:
+                    page_chars: int | None = None, out: str = "verdict") -> DataFrame:
     """Add the verdict of an uploaded file from its name and its first page."""
     page = F.coalesce(F.col(first_page), F.lit(""))
     page = page if page_chars is None else F.substring(page, 1, page_chars)
@@ -192,28 +194,49 @@ def rules_from_rows(rows: Sequence) -> R.RuleSet:
     return [(r["category"], list(r["keywords"])) for r in sorted(rows, key=lambda r: r["ord"])]
 
 
-def keyword_hits(df: DataFrame, key: str, text: str, keywords: DataFrame,
-                 inline: int = INLINE_RULES) -> DataFrame:
-    """Rows (key, *keyword columns) for every keyword contained in a text.
+def keyword_matches(df: DataFrame, text: str, keywords: DataFrame, out: str, shard: int = SHARD_KEYWORDS) -> DataFrame:
+    """Add ``out``: an array with a struct of each row of ``keywords`` whose ``keyword`` occurs in the text.
 
-    ``keywords`` has a ``keyword`` column; other columns ride along. Up to ``inline`` rows
-    become literals. Larger tables are joined on the first characters of the keyword, so
-    no text meets every keyword.
+    Each text is read once per ``shard`` keywords: a shard becomes one broadcast automaton that finds all of its
+    words in one pass, so neither side is joined or shuffled and every size of the table takes the same way.
+    Null and empty keywords match nothing, a null text has no matches, equal keywords are all reported.
     """
-    others = [c for c in keywords.columns if c != "keyword"]
-    rows = rows_within(keywords.where(F.length("keyword") > 0), inline)
-    if rows is not None:
-        if not rows:
-            return df.select(key, *[F.lit(None).cast(f.dataType).alias(f.name) for f in keywords.schema]).limit(0)
-        table = F.array(*[F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in keywords.schema])
-                          for r in rows])
-        hits = F.filter(table, lambda k: F.contains(F.col(text), k["keyword"]))
-        return df.select(key, F.explode(hits).alias("hit")).select(key, "hit.*")
-    width = keywords.where(F.length("keyword") > 0).agg(F.min(F.length("keyword"))).first()[0]
-    # A lookahead yields every window of ``width`` characters in one pass over the text.
-    windows = F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(?=(.{{{width}}}))"), F.lit(1))
-    grams = df.select(key, F.explode(F.array_distinct(windows)).alias("__gram"))
-    listed = keywords.where(F.length("keyword") > 0).withColumn("__gram", F.substring("keyword", 1, width))
-    candidates = grams.join(listed, "__gram").drop("__gram")
-    return (candidates.join(df.select(key, F.col(text).alias("__text")), key)
-            .where(F.contains("__text", F.col("keyword"))).select(key, "keyword", *others))
+    listed = keywords.where(F.length("keyword") > 0)
+    shards = max(1, -(-listed.count() // shard))
+    part = F.pmod(F.xxhash64("keyword"), F.lit(shards))
+    found = [_occurring(listed.where(part == i), F.col(text)) for i in range(shards)]
+    return df.withColumn(out, F.concat(*found))
+
+
+def _occurring(listed: DataFrame, text: Column) -> Column:
+    rows = [r.asDict(recursive=True) for r in listed.collect()]
+    shared = listed.sparkSession.sparkContext.broadcast(rows)
+
+    @F.pandas_udf(T.ArrayType(listed.schema))
+    def occurring(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        numbers: dict[str, list[int]] = {}
+        for i, row in enumerate(shared.value):
+            numbers.setdefault(row["keyword"], []).append(i)
+        automaton = ahocorasick.Automaton()
+        for word, places in numbers.items():
+            automaton.add_word(word, places)
+        automaton.make_automaton()
+
+        def of(value: str | None) -> list[dict]:
+            if value is None or not numbers:
+                return []
+            hits = {i for _, places in automaton.iter(value) for i in places}
+            return [shared.value[i] for i in sorted(hits)]
+
+        for batch in batches:
+            yield batch.map(of, na_action=None)
+
+    return occurring(text)
+
+
+def keyword_hits(df: DataFrame, key: str, text: str, keywords: DataFrame, shard: int = SHARD_KEYWORDS) -> DataFrame:
+    """Rows (key, *keyword columns) for every keyword contained in a text; other keyword columns ride along."""
+    found = keyword_matches(df.select(key, text), text, keywords, "__found", shard)
+    # The outer explode keeps Spark from testing the array, and so matching every text, a second time.
+    rows = found.select(key, F.explode_outer("__found").alias("hit")).where(F.col("hit").isNotNull())
+    return rows.select(key, *[F.col("hit")[c].alias(c) for c in keywords.columns])

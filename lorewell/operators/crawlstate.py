@@ -28,7 +28,7 @@ def merge_crawl_state(state: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def latest_record(new: DataFrame) -> DataFrame:
-    return first_per_key(new, ["url"], [F.desc("crawled_at")])
+    return first_per_key(new, ["url"], [F.desc("crawled_at"), F.desc_nulls_last("content_hash")])
 
 
 def failed_record(new: Column, old_hash: Column) -> Column:

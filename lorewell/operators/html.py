@@ -165,7 +165,7 @@ def page_links(raw: Column, url: Column, content_only: bool = False) -> Column:
         lambda urls: F.filter(every, lambda k, i: F.array_position(urls, k["url"]) == i + 1)))
 
 
-def parse_pages(pages: DataFrame, content_chars: int | None = 500) -> DataFrame:
+def parse_pages(pages: DataFrame, content_chars: int | None = None) -> DataFrame:
     """Add title, content, published_time, links, content_links and is_detail to (url, html) rows."""
     url = F.col("url")
     raw = F.col("__raw")
@@ -180,7 +180,8 @@ def parse_pages(pages: DataFrame, content_chars: int | None = 500) -> DataFrame:
 
 def edge_table(parsed: DataFrame) -> DataFrame:
     """Edges (src, dst, anchor, pos, in_content) of parsed pages."""
+    # The outer explode keeps Spark from testing the array, and so parsing the markup, a second time.
     return parsed.select(
-        F.col("url").alias("src"), F.posexplode("links").alias("pos", "link"), "content_links",
-    ).select("src", F.col("link")["url"].alias("dst"), F.col("link")["anchor"].alias("anchor"), "pos",
+        F.col("url").alias("src"), F.posexplode_outer("links").alias("pos", "link"), "content_links",
+    ).where(F.col("link").isNotNull()).select("src", F.col("link")["url"].alias("dst"), F.col("link")["anchor"].alias("anchor"), "pos",
              F.exists("content_links", lambda k: k["url"] == F.col("link")["url"]).alias("in_content"))

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import rulesets as R
 from lorewell.functions.text import is_blank, strip
-from lorewell.operators.classify import classify_first_match, keyword_hits
-from lorewell.scale import let, rows_within, top_per_key
+from lorewell.operators.classify import SHARD_KEYWORDS, classify_first_match, keyword_matches
+from lorewell.scale import let, top_per_key
 
-MAX_INLINE_ALIASES = 2000
 # Text added to expanded and to planned questions, and between turns.
 ALIAS_LINE = ("\n检索规范词：", "、")
 FOLLOW_UP = "\n后续问题："
@@ -72,33 +71,21 @@ def _expanded(question: Column, matched: Column) -> tuple[Column, Column]:
     return terms, expanded
 
 
-def expand_aliases(questions: DataFrame, key: str, question: str, aliases: DataFrame,
-                   inline: int = MAX_INLINE_ALIASES) -> DataFrame:
+def expand_aliases(questions: DataFrame, question: str, aliases: DataFrame,
+                   shard: int = SHARD_KEYWORDS) -> DataFrame:
     """Add ``canonical_terms`` and ``retrieval_question``.
 
-    The longest alias is taken first and hides aliases inside it. ``aliases``: canonical,
-    alias, seq. A dictionary of up to ``inline`` rows is inlined; a larger one is joined.
+    The longest alias is taken first and hides aliases inside it; ``seq`` orders equally long ones. ``aliases``:
+    canonical, alias, seq. Null and empty aliases are skipped; a null question keeps no terms.
     """
-    rows = rows_within(aliases.select("canonical", "alias", "seq"), inline)
-    if rows is not None:
-        ordered = sorted(rows, key=lambda r: (-len(r["alias"]), r["seq"]))
-        if not ordered:
-            return questions.withColumns({
-                "canonical_terms": F.array().cast("array<string>"), "retrieval_question": F.col(question)})
-        table = F.array(*[F.struct(F.lit(r["canonical"]).alias("canonical"), F.lit(r["alias"]).alias("alias"))
-                          for r in ordered])
-        matched = F.filter(table, lambda m: F.contains(F.col(question), m["alias"]))
-        staged = questions.withColumn("__matched", matched)
-    else:
-        hits = keyword_hits(questions, key, question, aliases.select(
-            F.col("alias").alias("keyword"), "canonical", "seq"), inline)
-        grouped = hits.groupBy(key).agg(F.sort_array(F.collect_set(F.struct(
-            (-F.length("keyword")).alias("length"), "seq", "canonical", F.col("keyword").alias("alias")))).alias("__found"))
-        staged = questions.join(grouped, key, "left").withColumn("__matched", F.coalesce(
-            F.transform("__found", lambda m: F.struct(m["canonical"].alias("canonical"), m["alias"].alias("alias"))),
-            F.array().cast("array<struct<canonical:string,alias:string>>"))).drop("__found")
+    listed = aliases.select(F.col("alias").alias("keyword"), "canonical", "seq")
+    staged = keyword_matches(questions, question, listed, "__found", shard)
+    ordered = F.sort_array(F.transform("__found", lambda m: F.struct(
+        (-F.length(m["keyword"])).alias("length"), m["seq"].alias("seq"), m["canonical"].alias("canonical"), m["keyword"].alias("alias"))))
+    staged = staged.withColumn("__matched", F.transform(
+        ordered, lambda m: F.struct(m["canonical"].alias("canonical"), m["alias"].alias("alias"))))
     terms, expanded = _expanded(F.col(question), F.col("__matched"))
-    return staged.withColumns({"canonical_terms": terms, "retrieval_question": expanded}).drop("__matched")
+    return staged.withColumns({"canonical_terms": terms, "retrieval_question": expanded}).drop("__matched", "__found")
 
 
 def _subject(value: Column) -> Column:

@@ -19,7 +19,6 @@ from lorewell.scale import cut_lineage, let, top_per_key
 CURATED_BONUS, CATEGORY_BONUS = 0.15, 0.03
 FILENAME_STEP, FILENAME_CAP = 0.02, 0.10
 LEXICAL_STEP, LEXICAL_CAP, MARKER_BONUS, LEXICAL_TOTAL = 0.025, 0.12, 0.10, 0.20
-LEXICAL_CHARS, TARGET_CHARS = 4000, 1600
 STOP_BIGRAMS = ("哪些", "什么", "怎么", "如何", "一下", "请问", "是否")
 MARKER = r"(?<![a-z0-9])([a-z][a-z0-9-]{0,5}\s*类)"
 TARGET = r"转专业目标[：:]\s*([^\n；;]+)"
@@ -243,7 +242,7 @@ def filename_bonus_of(bigrams: Column, filename: Column) -> Column:
     return F.least(F.lit(FILENAME_CAP), found * F.lit(FILENAME_STEP))
 
 
-def search_text(filename: Column, content: Column, chars: int | None = LEXICAL_CHARS) -> Column:
+def search_text(filename: Column, content: Column, chars: int | None = None) -> Column:
     """What the lexical bonus reads, before ``nfkc_lower``; store it once with the index."""
     body = content if chars is None else F.substring(content, 1, chars)
     return F.concat(F.coalesce(filename, F.lit("")), F.lit("\n"), body)
@@ -279,11 +278,11 @@ def category_bonus(preferred: Column) -> Column:
     return F.when(preferred, F.lit(CATEGORY_BONUS)).otherwise(F.lit(0.0))
 
 
-def target_bonus(question: Column, filename: Column, content: Column) -> Column:
-    """Lift files about the target of a transfer question above general rules."""
+def target_bonus(question: Column, filename: Column, content: Column, chars: int | None = None) -> Column:
+    """Lift files about the target of a transfer question above general rules; ``chars`` may limit the content."""
     target = F.regexp_replace(strip(F.regexp_extract(question, TARGET, 1)), r"(?:专业|学院)$", "")
     name = F.coalesce(filename, F.lit(""))
-    text = F.concat(name, F.lit("\n"), F.substring(content, 1, TARGET_CHARS))
+    text = F.concat(name, F.lit("\n"), content if chars is None else F.substring(content, 1, chars))
 
     def graded(goal: Column) -> Column:
         general = F.lit(False)

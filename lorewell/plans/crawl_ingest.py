@@ -32,6 +32,9 @@ class CrawlRules:
     library_host: str | None = None
     agent: str = "*"
     force: bool = False
+    #: How much of a page's text is read for its class and its date; None reads all of it.
+    body_chars: int | None = None
+    date_chars: int | None = None
 
 
 def moment(value: datetime | None) -> Column:
@@ -68,9 +71,9 @@ def assess_pages(pages: DataFrame, state: DataFrame, catalog: DataFrame, exclusi
     facts = known_facts(pages, state, catalog, exclusions, source_names, robots, rules)
     routed = route_pages(pages).join(facts, "url")
     readable = F.col("allowed") & (F.col("route") == "PARSE")
-    parsed = parse_pages(routed.withColumn("html", F.when(readable, F.col("html"))))
+    parsed = parse_pages(routed.withColumn("html", F.when(readable, F.col("html"))), rules.date_chars)
     parsed = parsed.withColumn("v", classify_page(
-        F.col("title"), F.col("content"), F.col("url"), rules.name, rules.library_host))
+        F.col("title"), F.col("content"), F.col("url"), rules.name, rules.library_host, rules.body_chars))
     evergreen = trusted_evergreen(F.col("v"))
     now, since = moment(rules.now), moment(rules.since)
     judged = parsed.withColumns({

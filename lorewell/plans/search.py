@@ -24,7 +24,7 @@ def understand(questions: DataFrame, aliases: DataFrame | None = None, name: str
     if history is not None:
         asked = Q.contextualize(asked, history, "question", "__text")
     if aliases is not None:
-        asked = Q.expand_aliases(asked, "query_id", "__text", aliases).withColumn("__text", F.col("retrieval_question")) \
+        asked = Q.expand_aliases(asked, "__text", aliases).withColumn("__text", F.col("retrieval_question")) \
             .drop("canonical_terms", "retrieval_question")
     asked = asked.withColumn("__intent", Q.transfer_intent(F.col("__text"), institution))
     return asked.withColumn("planned", Q.planned_question(F.col("__text"), F.col("__intent"))).withColumn(
@@ -42,19 +42,24 @@ def candidates(queries: DataFrame, index: DataFrame, top_k: int) -> DataFrame:
 
 def search_job(questions: DataFrame, index: DataFrame, top_k: int = R.CANDIDATE_K,
                embed: Callable[[Column], Column] | None = None,
-               retrieve: Callable[[DataFrame, DataFrame, int], DataFrame] = candidates) -> DataFrame:
-    """Ranked results of understood questions (query_id, planned, category).
+               retrieve: Callable[[DataFrame, DataFrame, int], DataFrame] = candidates,
+               lexical_chars: int | None = None, target_chars: int | None = None) -> DataFrame:
+    """Ranked results of understood questions (query_id, planned, category and, if ready, query_vector).
 
     ``index`` rows need chunk_key, vector, category and the display columns filename, page,
     source, source_url, source_type, content, and may carry ``searchable`` (the folded text of
     the lexical bonus). ``retrieve`` is the retrieval strategy. Only ids and vectors take part in
-    the search; short columns join the candidates after it, texts only those that can be ranked.
+    the search; short columns join the candidates after it, texts only those that can be ranked. Whole texts
+    are scored unless ``lexical_chars`` or ``target_chars`` limit what the bonuses read.
     """
     embed = embed or hash_embedding()
     folded = nfkc_lower("planned")
     # The understood texts feed the search and the scoring; settle them once.
     questions = cut_lineage(questions.withColumn("__folded", folded))
-    queries = questions.withColumn("query_vector", embed(strip(F.col("planned"))))
+    queries = questions
+    if "query_vector" not in questions.columns:
+        # Measured, shipped and searched below: embed once.
+        queries = cut_lineage(questions.withColumn("query_vector", embed(strip(F.col("planned")))))
     found = retrieve(queries, index, top_k)
     asked = questions.select(
         "query_id", F.col("planned").alias("__planned"), R.gap_closed_bigrams(F.col("planned")).alias("__names"),
@@ -73,10 +78,10 @@ def search_job(questions: DataFrame, index: DataFrame, top_k: int = R.CANDIDATE_
     texts = index.select("chunk_key", "content", *(["searchable"] if stored else []))
     rows = rows.join(texts, "chunk_key")
     if not stored:
-        rows = rows.withColumn("searchable", nfkc_lower(R.search_text(F.col("filename"), F.col("content"))))
+        rows = rows.withColumn("searchable", nfkc_lower(R.search_text(F.col("filename"), F.col("content"), lexical_chars)))
     scored = rows.withColumns({
         "lexical_bonus": R.lexical_bonus_of(F.col("__words"), F.col("__markers"), F.col("searchable")),
-        "target_bonus": R.target_bonus(F.col("__planned"), F.col("filename"), F.col("content"))})
+        "target_bonus": R.target_bonus(F.col("__planned"), F.col("filename"), F.col("content"), target_chars)})
     ranked = R.hybrid_rerank(scored, top_k, identity="chunk_key")
     return R.project_results(ranked).drop("__planned", "__names", "__words", "__markers", "searchable")
 

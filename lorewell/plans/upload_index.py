@@ -17,22 +17,20 @@ from lorewell.sources.documents import Extractor, parse_documents
 
 def upload_index_job(files: DataFrame, extractors: dict[str, Extractor] | None = None, name: str | None = None,
                      embed: Callable[[Column], Column] | None = None, split: Callable[[Column], Column] | None = None,
-                     page_chars: int | None = 1200) -> tuple[DataFrame, DataFrame]:
+                     page_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(index rows, rejected rows with ``error``) of checked uploads.
 
-    ``files``: path, filename, extension, content, rejected, source, upload_time.
+    ``files``: path, filename, extension, content, rejected, source, upload_time. The same file under several paths is
+    indexed once. ``page_chars`` may limit what of the first page is read for its class.
     """
     split = split or chunk_text()
     usable = files.where(F.col("rejected").isNull()).withColumn("source", source_or_default(F.col("source"))).withColumn(
         "document_id", upload_document_id(F.col("content"), F.col("filename"), F.col("source")))
     pages, errors = parse_documents(usable, extractors)
-    light = pages.drop("content", "rejected")
-    first = light.groupBy("document_id").agg(
-        F.min_by(F.struct("filename", F.col("text").alias("first_page")), F.col("page")).alias("f")).select("document_id", "f.*")
-    verdicts = classify_upload(first, "filename", "first_page", name, page_chars).select(
-        "document_id", F.col("verdict.category").alias("category"))
+    judged = classify_upload(pages.drop("rejected"), "filename", "first_page", name, page_chars).withColumn(
+        "category", F.col("verdict.category"))
     empty = F.lit(None).cast("string")
-    chunked = light.join(verdicts, "document_id").select(
+    chunked = judged.select(
         "document_id", "filename", "source", empty.alias("source_url"), F.lit("UPLOADED_FILE").alias("source_type"), "category", "page",
         "upload_time", empty.alias("crawl_time"), empty.alias("last_updated"), empty.alias("content_hash"),
         split(enrich_text(F.col("filename"), F.col("source"), F.col("category"), F.col("page"), F.col("text"))).alias("chunks"))

@@ -146,7 +146,7 @@ def upload_index_job(spark, sf):
     checked = tables.check_uploads(files.withColumn("length", F.octet_length("content").cast("long")))
     rows, rejected = upload_index.upload_index_job(
         checked, {"docx": lambda content: [(1, content[4:].decode("utf-8"))]}, embed=embed.hash_embedding(64), page_chars=None)
-    return rows.select(F.col("document_id").alias("id"), F.lit("indexed").alias("outcome")).distinct().unionByName(
+    return rows.where("chunk_index = 0").select(F.col("document_id").alias("id"), F.lit("indexed").alias("outcome")).unionByName(
         rejected.select(F.col("path").alias("id"), F.col("error").alias("outcome")))
 
 
@@ -184,13 +184,13 @@ def _expanded(rows):
 
 @query("expand_aliases", _ALIAS_SQL)
 def expand_aliases(spark, sf):
-    return _expanded(Q.expand_aliases(V.table(spark, sf, "documents", heavy=True), "doc_id", "text", _aliases(spark)))
+    return _expanded(Q.expand_aliases(V.table(spark, sf, "documents", heavy=True), "text", _aliases(spark)))
 
 
 @query("expand_aliases_by_join", _ALIAS_SQL)
 def expand_aliases_by_join(spark, sf):
-    """The same through the join that serves dictionaries too large to inline."""
-    return _expanded(Q.expand_aliases(V.table(spark, sf, "documents", heavy=True), "doc_id", "text", _aliases(spark), inline=0))
+    """The same with a dictionary cut into shards of one alias."""
+    return _expanded(Q.expand_aliases(V.table(spark, sf, "documents", heavy=True), "text", _aliases(spark), shard=1))
 
 
 def _event_questions(spark, sf):

@@ -30,14 +30,14 @@ def match_signals(spark, sf):
 
 
 @query("keyword_hits_by_table", r"""
-    with words as (select distinct lower(w) kw from (select unnest(regexp_extract_all(text, '[A-Za-z]+')) w from benchmark) where length(w) >= 8)
+    with words as (select distinct lower(w) kw from (select unnest(regexp_extract_all(text, '[A-Za-z]+')) w from benchmark))
     select doc_id, kw keyword from documents join words on contains(text, kw)""")
 def keyword_hits_by_table(spark, sf):
-    """Keywords too many to inline: the long words of all benchmark passages."""
+    """All words of all benchmark passages, however short."""
     words = V.table(spark, sf, "benchmark").select(
-        F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).where(F.length("w") >= 8)
+        F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
     keywords = words.select(F.lower("w").alias("keyword")).distinct()
-    return classify.keyword_hits(V.table(spark, sf, "documents", heavy=True), "doc_id", "text", keywords, inline=0)
+    return classify.keyword_hits(V.table(spark, sf, "documents", heavy=True), "doc_id", "text", keywords)
 
 
 @query("classify_first_match", f"""

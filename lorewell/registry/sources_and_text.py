@@ -306,5 +306,5 @@ def extract_main_text(spark, sf):
         select page_id, concat(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), href) dst, min(pos) pos from found group by 1, 2)""")
 def extract_links(spark, sf):
     parsed = html.parse_pages(V.table(spark, sf, "pages", heavy=True))
-    return parsed.select("page_id", F.posexplode("links").alias("pos", "link")).select(
+    return parsed.select("page_id", F.posexplode_outer("links").alias("pos", "link")).where("link is not null").select(
         "page_id", F.col("link")["url"].alias("dst"), "pos")

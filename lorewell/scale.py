@@ -8,7 +8,6 @@ combined afterwards.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -26,10 +25,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="lorewell-checkpoint-")
+        if folder is None:  # the warehouse is shared wherever there is more than one machine
+            folder = df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
@@ -103,8 +100,3 @@ def side_by_side(*single_rows: DataFrame) -> DataFrame:
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), single_rows)
     return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
 
-
-def rows_within(df: DataFrame, limit: int) -> list | None:
-    """The rows of a table that is meant to be small, or ``None`` when it is larger than ``limit``."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None

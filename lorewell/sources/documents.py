@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorewell.functions.text import clean_document_text
+from lorewell.scale import cut_lineage, first_per_key
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 CELL_JOIN = " | "
@@ -46,7 +47,9 @@ def pdf_pages(content: bytes) -> list[tuple[int, str]]:
 def parse_documents(uploads: DataFrame, extractors: dict[str, Extractor] | None = None) -> tuple[DataFrame, DataFrame]:
     """(pages, errors) of usable uploads (path, filename, extension, content).
 
-    Empty pages are dropped; a file without any text is an error row.
+    ``pages`` has one row per page and, beside it, the file's first page; the content is left out. Empty pages are
+    dropped; a file without any text is an error row. Files are read once: both results start from what was
+    stored after that. With a ``document_id``, one file of each document is taken, the first by path.
     """
     readers = {"docx": docx_pages, "pdf": pdf_pages, **(extractors or {})}
 
@@ -65,8 +68,13 @@ def parse_documents(uploads: DataFrame, extractors: dict[str, Extractor] | None
     read = uploads.withColumn("__read", extract("extension", "content")).withColumn("__pages", F.filter(
         F.transform("__read.pages", lambda p: F.struct(p["page"].alias("page"), clean_document_text(p["text"]).alias("text"))),
         lambda p: p["text"] != ""))
-    pages = read.select(*uploads.columns, F.explode("__pages").alias("__page")).select(
-        *uploads.columns, "__page.page", "__page.text")
+    rest = [c for c in uploads.columns if c != "content"]
+    read = cut_lineage(read.select(*rest, "__pages", F.col("__read.error").alias("__error")))
+    usable = read.where(F.size("__pages") > 0)
+    if "document_id" in rest:
+        usable = first_per_key(usable, ["document_id"], [F.col("path")])
+    pages = usable.select(*rest, F.col("__pages")[0]["text"].alias("first_page"), F.explode("__pages").alias("__page")).select(
+        *rest, "first_page", "__page.page", "__page.text")
     errors = read.where(F.size("__pages") == 0).select(
-        "path", F.coalesce("__read.error", F.lit("no_text")).alias("error"))
+        "path", F.coalesce("__error", F.lit("no_text")).alias("error"))
     return pages, errors

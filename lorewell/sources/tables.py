@@ -73,17 +73,20 @@ def question_set(spark: SparkSession, path: str) -> DataFrame:
 
 
 def alias_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """(canonical, alias, category, seq); a canonical term is an alias of itself."""
+    """(canonical, alias, category, seq); a canonical term is an alias of itself.
+
+    ``seq`` is (file, term, alias) in file order, so it stays unique and ordered over any number of files and aliases.
+    """
     return explode_aliases(spark.read.schema(S.ALIAS_FILE_DDL).option("multiLine", True).json(path))
 
 
 def explode_aliases(files: DataFrame) -> DataFrame:
-    terms = files.select(F.posexplode("terms").alias("term_no", "term"))
+    terms = files.select(F.input_file_name().alias("file"), F.posexplode("terms").alias("term_no", "term"))
     every = F.concat(F.array("term.canonical"), F.coalesce("term.aliases", F.array().cast("array<string>")))
     return (
-        terms.select("term_no", "term", F.posexplode(every).alias("alias_no", "alias"))
+        terms.select("file", "term_no", "term", F.posexplode(every).alias("alias_no", "alias"))
         .select(F.col("term.canonical").alias("canonical"), "alias", F.col("term.category").alias("category"),
-                (F.col("term_no") * 100000 + F.col("alias_no")).alias("seq")))
+                F.struct("file", "term_no", "alias_no").alias("seq")))
 
 
 def dry_run(changed: DataFrame, execute: bool = True) -> DataFrame:

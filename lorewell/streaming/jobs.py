@@ -86,8 +86,14 @@ def stream_index(spark: SparkSession, root: str, embed: Callable[[Column], Colum
     return run_batches(stream, f"{root}/index-checkpoint", each)
 
 
-def stream_dedupe(pages: DataFrame, time: str = "crawled_at", horizon: str = "7 days") -> DataFrame:
-    """Drop repeats of a page with unchanged content within the horizon."""
+def stream_dedupe(pages: DataFrame, time: str = "crawled_at", horizon: str | None = None) -> DataFrame:
+    """Drop repeats of a page with unchanged content.
+
+    Without a horizon every page is remembered and the stream equals its batch twin; with one the state is
+    bounded, and a repeat that comes later than that passes again.
+    """
+    if horizon is None:
+        return pages.dropDuplicates(["url", "content_hash"])
     return (
         with_lateness(pages, time, horizon).dropDuplicatesWithinWatermark(["url", "content_hash"])
         .withColumn(time, F.col(time).cast("timestamp_ntz")))

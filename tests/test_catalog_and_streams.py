@@ -130,6 +130,8 @@ def test_uploads(spark, tmp_path):
     (tmp_path / "fake.pdf").write_bytes(b"hello")
     (tmp_path / "blank.docx").write_bytes(docx([" "], []))
     (tmp_path / "notes.txt").write_bytes(b"x")
+    (tmp_path / "again").mkdir()
+    (tmp_path / "again" / "培养方案 a+b.docx").write_bytes(docx(["标题", "正文"], [["甲", "乙"]]))
     (tmp_path / "broken.docx").write_bytes(b"PK\x03\x04oops")
     files = read_uploads(spark, str(tmp_path)).withColumns({"source": F.lit(" "), "upload_time": F.lit("t")})
     rows, rejected = upload_index_job(files, embed=hash_embedding(64))
@@ -138,7 +140,7 @@ def test_uploads(spark, tmp_path):
     assert row[0].content.endswith("正文：\n标题\n正文\n甲 | 乙") and row[0].source_type == "UPLOADED_FILE"
     problems = {r.path.rsplit("/", 1)[1]: r.error.split(":")[0] for r in rejected.collect()}
     assert problems == {"fake.pdf": "content_mismatch", "blank.docx": "no_text", "notes.txt": "unsupported_type", "broken.docx": "BadZipFile"}
-    assert check_uploads(files.drop("filename", "extension", "rejected"), max_bytes=4).where("rejected = 'too_large'").count() == 4
+    assert check_uploads(files.drop("filename", "extension", "rejected"), max_bytes=4).where("rejected = 'too_large'").count() == 5
 
 
 def test_question_file_and_scores(spark, tmp_path):

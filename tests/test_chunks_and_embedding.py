@@ -34,6 +34,12 @@ def test_long_sentence_and_overlap(spark):
     assert all(b.start < a.start + len(a.text) for a, b in zip(rows, rows[1:]))
 
 
+def test_overlap_without_separators():
+    parts = C.split_text("x" * 2000, 500, 100, len)
+    assert [p["start"] for p in parts] == [0, 400, 800, 1200, 1600]
+    assert [len(p["text"]) for p in parts] == [500, 500, 500, 500, 400]
+
+
 def test_limits():
     with pytest.raises(ValueError):
         C.chunk_text(499, 0)

@@ -48,20 +48,22 @@ UPLOADS = [
 
 def test_pages(spark):
     df = spark.createDataFrame([(i, t, b, u) for i, (t, b, u, _, _) in enumerate(PAGES)], "i int, t string, b string, u string")
-    verdict = C.classify_page(F.col("t"), F.col("b"), F.col("u"), name="示大", library_host="lib.example.org")
+    verdict = C.classify_page(F.col("t"), F.col("b"), F.col("u"), name="示大", library_host="lib.example.org", body_chars=1200)
     rows = df.select("i", verdict.alias("v")).orderBy("i").collect()
     assert [(r.v.category, r.v.page_type) for r in rows] == [(c, p) for *_, c, p in PAGES]
 
 
-def test_body_limit_is_a_parameter(spark):
+def test_whole_body_is_read_by_default(spark):
     df = spark.createDataFrame([("通知", "字" * 1200 + "请办理校园卡")], "t string, b string")
-    row = df.select(C.classify_page(F.col("t"), F.col("b"), F.lit(""), body_chars=None).alias("v")).first()
+    row = df.select(C.classify_page(F.col("t"), F.col("b"), F.lit("")).alias("v")).first()
     assert row.v.category == "NEW_STUDENT"
+    late = spark.createDataFrame([("通知.pdf", "无关" * 700 + "就业招聘")], "f string, p string")
+    assert C.classify_upload(late, "f", "p").first().verdict.category == "CAREER"
 
 
 def test_uploads(spark):
     df = spark.createDataFrame([(i, f, p) for i, (f, p, *_) in enumerate(UPLOADS)], "i int, f string, p string")
-    rows = C.classify_upload(df, "f", "p").orderBy("i").collect()
+    rows = C.classify_upload(df, "f", "p", page_chars=1200).orderBy("i").collect()
     assert [(r.verdict.category, r.verdict.page_type, ",".join(r.verdict.matched_signals)) for r in rows] == [u[2:] for u in UPLOADS]
 
 
@@ -72,12 +74,12 @@ def test_score_confidence_is_capped(spark):
     assert [(r.v.category, round(r.v.confidence, 4)) for r in rows] == [("X", 0.9), ("Y", 0.56)]
 
 
-@pytest.mark.parametrize("inline", [0, 100])
-def test_keyword_hits(spark, inline):
-    texts = ["abcabc", "xyz", "", "héllo wörld", "aaa"]
-    words = ["abc", "bca", "llo", "örl", "aaaa", "aa", "z"]
-    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-    keywords = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "keyword string, n int")
-    rows = C.keyword_hits(df, "id", "t", keywords, inline).collect()
+@pytest.mark.parametrize("shard", [2, 100])
+def test_keyword_hits(spark, shard):
+    texts = ["abcabc", "xyz", "", "héllo wörld", "aaa", "x" * 5000 + "abc"]
+    words = ["abc", "bca", "llo", "örl", "aaaa", "aa", "z", "abc"]
+    df = spark.createDataFrame([*enumerate(texts), (None, None), (99, None)], "id int, t string")
+    keywords = spark.createDataFrame([*[(w, i) for i, w in enumerate(words)], ("", 98), (None, 99)], "keyword string, n int")
+    rows = C.keyword_hits(df, "id", "t", keywords, shard).collect()
     expected = sorted((i, w, n) for i, t in enumerate(texts) for n, w in enumerate(words) if w in t)
     assert sorted((r.id, r.keyword, r.n) for r in rows) == expected

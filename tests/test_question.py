@@ -37,8 +37,8 @@ def test_categories(spark):
     assert [r.c for r in rows] == [c for _, c in CATEGORIES]
 
 
-@pytest.mark.parametrize("inline", [0, 100])
-def test_aliases_from_file(spark, tmp_path, inline):
+@pytest.mark.parametrize("shard", [1, 100])
+def test_aliases_from_file(spark, tmp_path, shard):
     (tmp_path / "terms.json").write_text(
         '{"terms": [{"canonical": "示例大学", "aliases": ["示大"], "category": "SCHOOL_OVERVIEW"},\n'
         '{"canonical": "早锻炼", "aliases": ["晨跑"], "category": "LIFE"}, {"canonical": "晨间", "aliases": ["晨"]}]}', encoding="utf-8")
@@ -46,7 +46,7 @@ def test_aliases_from_file(spark, tmp_path, inline):
     assert aliases.count() == 6
     questions = ["讲讲晨跑", "示大有晨跑吗", "讲讲早锻炼", "讲讲跑步", "早锻炼就是晨跑"]
     df = spark.createDataFrame(list(enumerate(questions)), "i int, q string")
-    rows = Q.expand_aliases(df, "i", "q", aliases, inline).orderBy("i").collect()
+    rows = Q.expand_aliases(df, "q", aliases, shard).orderBy("i").collect()
     assert [list(r.canonical_terms) for r in rows] == [["早锻炼"], ["示例大学", "早锻炼"], [], [], []] or \
         [sorted(r.canonical_terms) for r in rows] == [["早锻炼"], sorted(["示例大学", "早锻炼"]), [], [], []]
     assert rows[0].retrieval_question == "讲讲晨跑\n检索规范词：早锻炼"
