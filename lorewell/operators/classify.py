@@ -231,7 +231,8 @@ def _occurring(listed: DataFrame, text: Column) -> Column:
         for batch in batches:
             yield batch.map(of, na_action=None)
 
-    return occurring(text)
+    # Not deterministic in name only: Spark then neither repeats the pass nor merges it into later expressions.
+    return occurring.asNondeterministic()(text)
 
 
 def keyword_hits(df: DataFrame, key: str, text: str, keywords: DataFrame, shard: int = SHARD_KEYWORDS) -> DataFrame:

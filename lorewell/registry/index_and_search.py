@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lorewell.functions import hashing, tokens
@@ -16,6 +21,7 @@ from lorewell.registry.rules_and_crawl import TEST_RULES, TEST_RULES_SQL
 from lorewell.registry.sources_and_text import sql_blank, sql_strip
 from lorewell.scale import cut_lineage
 from lorewell.sources import tables
+from lorewell.sources.documents import WORDS
 
 
 @query("enrich_text", V.with_views("""
@@ -41,6 +47,20 @@ def chunk_text(spark, sf):
         F.forall(gaps, lambda g: ~g.rlike(r"[^\s\x{1c}-\x{1f}\x{85}\x{a0}]")).alias("nothing_lost"))
 
 
+@query("chunk_overlap", """
+    select doc_id, case when n <= 500 then '0' else array_to_string(list_transform(range(0, cast(ceil((n - 500) / 400.0) as bigint) + 1),
+        lambda i: i * 400), ',') end starts, least(n, 500) first_length, n covered
+    from (select doc_id, length(text) n from documents) where n > 0""")
+def chunk_overlap(spark, sf):
+    """Texts of the same lengths without any separator: every chunk but the last is full and repeats 100 characters."""
+    split = C.chunk_text(500, 100)
+    rows = V.table(spark, sf, "documents", heavy=True).select("doc_id", split(F.regexp_replace("text", "(?s).", "x")).alias("chunks"))
+    last = F.element_at("chunks", -1)
+    return rows.where(F.size("chunks") > 0).select(
+        "doc_id", F.array_join(F.transform("chunks", lambda c: c["start"].cast("string")), ",").alias("starts"),
+        F.length(F.get("chunks", F.lit(0))["text"]).alias("first_length"), (last["start"] + F.length(last["text"])).alias("covered"))
+
+
 @query("number_chunks", """
     select conv_id document_id, turn page, row_number() over (partition by conv_id order by turn, pos) - 1 chunk_index, content
     from (select conv_id, turn, unnest(string_split(text, chr(10))) content, generate_subscripts(string_split(text, chr(10)), 1) pos from conversations)""")
@@ -133,20 +153,34 @@ def web_index_job(spark, sf):
         F.min("filename").alias("filename"), F.min("category").alias("category"), F.bool_and(F.size("vector") == 64).alias("has_vectors"))
 
 
+@F.pandas_udf("binary")
+def _docx(texts: pd.Series) -> pd.Series:
+    """Texts as word-processor files, one paragraph per line."""
+    def pack(text: str) -> bytes:
+        paragraphs = "".join(f"<w:p><w:r><w:t>{escape(line)}</w:t></w:r></w:p>" for line in text.split("\n"))
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            archive.writestr(zipfile.ZipInfo("word/document.xml"), f'<w:document xmlns:w="{WORDS}"><w:body>{paragraphs}</w:body></w:document>')
+        return out.getvalue()
+
+    return texts.map(pack)
+
+
 @query("upload_index_job", f"""
-    select case when lang = 'fr' or {sql_blank('text')} then concat('/in/', cast(doc_id as varchar), case lang when 'fr' then '.txt' else '.docx' end)
-        else sha256('PK' || chr(3) || chr(4) || text || chr(0) || cast(doc_id as varchar) || '.docx' || chr(0) || source) end id,
-        case when lang = 'fr' then 'unsupported_type' when {sql_blank('text')} then 'no_text' else 'indexed' end outcome from documents""")
+    select case when lang = 'fr' then concat('/in/', cast(doc_id as varchar), '.txt') when {sql_blank('text')} then concat('/in/', cast(doc_id as varchar), '.docx')
+        else concat(cast(doc_id as varchar), '.docx') end id,
+        case when lang = 'fr' then 'unsupported_type' when {sql_blank('text')} then 'no_text' else 'indexed' end outcome from documents
+    union all select concat('/in/again/', cast(doc_id as varchar), '.docx'), 'no_text' from documents where lang = 'en' and {sql_blank('text')}""")
 def upload_index_job(spark, sf):
-    """Documents as files; French ones have the wrong type."""
+    """Documents as word-processor files; French ones have the wrong type, English ones are there twice."""
+    documents = V.table(spark, sf, "documents", heavy=True)
+    twice = F.when(F.col("lang") == "en", F.array(F.lit("/in/"), F.lit("/in/again/"))).otherwise(F.array(F.lit("/in/")))
     extension = F.when(F.col("lang") == "fr", ".txt").otherwise(".docx")
-    files = V.table(spark, sf, "documents", heavy=True).select(
-        F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), extension).alias("path"),
-        F.concat(F.expr("X'504B0304'"), F.col("text").cast("binary")).alias("content"), "source", F.lit("2024-01-01").alias("upload_time"))
+    files = documents.select("doc_id", "source", "lang", _docx("text").alias("content"), F.explode(twice).alias("folder")).select(
+        F.concat("folder", F.col("doc_id").cast("string"), extension).alias("path"), "content", "source", F.lit("2024-01-01").alias("upload_time"))
     checked = tables.check_uploads(files.withColumn("length", F.octet_length("content").cast("long")))
-    rows, rejected = upload_index.upload_index_job(
-        checked, {"docx": lambda content: [(1, content[4:].decode("utf-8"))]}, embed=embed.hash_embedding(64), page_chars=None)
-    return rows.where("chunk_index = 0").select(F.col("document_id").alias("id"), F.lit("indexed").alias("outcome")).unionByName(
+    rows, rejected = upload_index.upload_index_job(checked, embed=embed.hash_embedding(64))
+    return rows.where("chunk_index = 0").select(F.col("filename").alias("id"), F.lit("indexed").alias("outcome")).unionByName(
         rejected.select(F.col("path").alias("id"), F.col("error").alias("outcome")))
 
 

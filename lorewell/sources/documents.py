@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from lorewell.functions.text import clean_document_text
 from lorewell.scale import cut_lineage, first_per_key
 
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+WORDS = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+_W = f"{{{WORDS}}}"
 CELL_JOIN = " | "
 PAGES = T.StructType().add(
     "pages", T.ArrayType(T.StructType().add("page", "integer").add("text", "string"))).add("error", "string")
