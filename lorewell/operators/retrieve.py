@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +50,12 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+    if not len(column):
+        return flat.reshape(0, 0)
+    sizes = pc.unique(pc.list_value_length(column))
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(sizes.to_pylist(), key=str)}")
+    return flat.reshape(len(column), -1)
 
 
 class _Best:
@@ -110,13 +117,13 @@ class _Block:
                     [query_ids.take(pa.array(best.query)), pa.array(best.ids), pa.array(best.distance), flags], names=names)
 
 
-def _row_groups(batch, name: str | None) -> np.ndarray | None:
-    return None if name is None else np.array(["" if v is None else f"={v}" for v in batch.column(name).to_pylist()])
+def _row_ids(column: pa.Array) -> np.ndarray:
+    return np.array(column) if pa.types.is_integer(column.type) else np.array(column.to_pylist())
 
 
-def _query_groups(block: pa.Table, name: str | None) -> np.ndarray | None:
-    # A query without a group matches no row, not even one without a group.
-    return None if name is None else np.array(["#" if v is None else f"={v}" for v in block.column(name).to_pylist()])
+def _codes(column: pa.Array, known: pa.Array, missing: int) -> np.ndarray:
+    """Places of the values among ``known``; ``missing`` for nulls and other values."""
+    return np.array(pc.fill_null(pc.index_in(column, value_set=known, skip_nulls=True), missing))
 
 
 def vector_candidates(queries: DataFrame, index: DataFrame, k: int, modes: tuple[bool, ...], query_id: str = "query_id",
@@ -126,67 +133,45 @@ def vector_candidates(queries: DataFrame, index: DataFrame, k: int, modes: tuple
 
     Mode ``False`` searches all rows, mode ``True`` only rows that share the query's value in
     ``same``. Exact, and both modes share one scan. The index is never shuffled: each task
-    multiplies its rows with the broadcast query block and emits only its own top k, then a
-    limited rank merges them. Queries above ``max_query_bytes`` go through ``_grid``.
+    multiplies its rows with a broadcast block of queries and emits only its own top k, then a
+    limited rank merges them. Queries travel in blocks of about ``max_query_bytes``, one scan each.
     """
     same = same if True in modes else None
     queries = queries.select(query_id, query_vector, *([same] if same else [])).where(F.size(query_vector) > 0)
+    queries = cut_lineage(queries)  # counted and shipped; their vectors may come from a model
     index = index.select(index_id, vector, *([same] if same else [])).where(F.size(vector) > 0)
-    sample = queries.select(F.size(query_vector)).first()
-    max_rows = max(1, max_query_bytes // (max(1, sample[0] if sample else 1) * 8))
-    block = queries.limit(max_rows + 1).toArrow()
-    plan = _grid if block.num_rows > max_rows else _broadcast
-    local = plan(block, queries, index, k, modes, query_id, query_vector, index_id, vector, same, max_rows)
+    count, size = queries.agg(F.count("*"), F.max(F.size(query_vector))).first()
+    blocks = max(1, math.ceil(count * (size or 1) * 8 / max_query_bytes))
+    part = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    local = reduce(DataFrame.union, [
+        _scan(queries.where(part == i), index, k, modes, query_id, query_vector, index_id, vector, same) for i in range(blocks)])
     return top_per_key(local, [query_id, "grouped"], [F.col("distance"), F.col(index_id)], k).drop("rank")
 
 
-def _result(queries: DataFrame, index: DataFrame, query_id: str, index_id: str) -> tuple[list[str], str]:
+def _scan(queries: DataFrame, index: DataFrame, k: int, modes: tuple[bool, ...], query_id: str, query_vector: str, index_id: str,
+          vector: str, same: str | None) -> DataFrame:
+    """Candidates of one block of queries from every partition of the index."""
     names = [query_id, index_id, "distance", "grouped"]
     types = [queries.schema[query_id].dataType.simpleString(), index.schema[index_id].dataType.simpleString(), "double", "boolean"]
-    return names, ", ".join(f"{n} {t}" for n, t in zip(names, types))
-
-
-def _broadcast(block: pa.Table, queries, index, k, modes, query_id, query_vector, index_id, vector, same, max_rows) -> DataFrame:
-    names, schema = _result(queries, index, query_id, index_id)
+    block = queries.toArrow()
+    groups = known = None
+    if same:
+        known = pc.drop_null(pc.unique(block.column(same).combine_chunks()))
+        groups = _codes(block.column(same).combine_chunks(), known, -2)
     shipped = index.sparkSession.sparkContext.broadcast((
-        block.column(query_id).combine_chunks(), _matrix(block.column(query_vector)), _query_groups(block, same)))
+        block.column(query_id).combine_chunks(), _matrix(block.column(query_vector)), groups, known))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, vectors, groups = shipped.value
+        query_ids, vectors, groups, known = shipped.value
         asked = _Block(vectors, groups, k, modes)
         for batch in batches:
             if batch.num_rows and len(vectors):
-                asked.read(np.array(batch.column(index_id).to_pylist()), _matrix(batch.column(vector)), _row_groups(batch, same))
+                # A row in no query's group, or in none at all, matches no query.
+                codes = None if known is None else _codes(batch.column(same), known, -1)
+                asked.read(_row_ids(batch.column(index_id)), _matrix(batch.column(vector)), codes)
         yield from asked.emit(query_ids, names)
 
-    return index.mapInArrow(scan, schema)
-
-
-def _grid(block: pa.Table, queries, index, k, modes, query_id, query_vector, index_id, vector, same, max_rows,
-          shard_rows: int = 200_000) -> DataFrame:
-    """Blocks of queries against shards of the index; every task holds one of each."""
-    names, schema = _result(queries, index, query_id, index_id)
-    queries = cut_lineage(queries)  # counted and joined; their vectors may come from a model
-    blocks = max(1, math.ceil(queries.count() / (max_rows * 0.5)))
-    shards = max(1, math.ceil(index.count() / shard_rows))
-    def cells(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-
-    left = queries.withColumn("__block", F.pmod(F.xxhash64(query_id), F.lit(blocks))).withColumn("__shard", cells(shards))
-    right = index.withColumn("__shard", F.pmod(F.xxhash64(index_id), F.lit(shards))).withColumn("__block", cells(blocks))
-
-    def match(some: pa.Table, rows: pa.Table) -> pa.Table:
-        asked = _Block(_matrix(some.column(query_vector)), _query_groups(some, same), k, modes)
-        for start in range(0, rows.num_rows if some.num_rows else 0, 4096):
-            part = rows.slice(start, 4096)
-            asked.read(np.array(part.column(index_id).to_pylist()), _matrix(part.column(vector)), _row_groups(part, same))
-        found = list(asked.emit(some.column(query_id).combine_chunks(), names))
-        if found:
-            return pa.Table.from_batches(found)
-        return pa.table({query_id: some.column(query_id).slice(0, 0), index_id: rows.column(index_id).slice(0, 0),
-                         "distance": pa.array([], pa.float64()), "grouped": pa.array([], pa.bool_())})
-
-    return left.groupBy("__block", "__shard").cogroup(right.groupBy("__block", "__shard")).applyInArrow(match, schema)
+    return index.mapInArrow(scan, ", ".join(f"{n} {t}" for n, t in zip(names, types)))
 
 
 def vector_topk(queries: DataFrame, index: DataFrame, k: int, **names) -> DataFrame:

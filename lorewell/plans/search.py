@@ -11,7 +11,7 @@ from lorewell.functions.text import nfkc_lower, strip
 from lorewell.operators import question as Q
 from lorewell.operators import retrieve as R
 from lorewell.operators.embed import hash_embedding
-from lorewell.scale import cut_lineage
+from lorewell.scale import cut_lineage, rows_of_keys
 
 
 def understand(questions: DataFrame, aliases: DataFrame | None = None, name: str | None = None,
@@ -60,12 +60,13 @@ def search_job(questions: DataFrame, index: DataFrame, top_k: int = R.CANDIDATE_
     if "query_vector" not in questions.columns:
         # Measured, shipped and searched below: embed once.
         queries = cut_lineage(questions.withColumn("query_vector", embed(strip(F.col("planned")))))
-    found = retrieve(queries, index, top_k)
+    found = cut_lineage(retrieve(queries, index, top_k))
     asked = questions.select(
         "query_id", F.col("planned").alias("__planned"), R.gap_closed_bigrams(F.col("planned")).alias("__names"),
         R.lexical_words(F.col("__folded")).alias("__words"), R.class_markers(F.col("__folded")).alias("__markers"))
     # First the short columns: they bound what the texts can still change.
     short = index.select("chunk_key", "filename", "page", "source", "source_url", "source_type", "category")
+    short = rows_of_keys(short, found, "chunk_key")
     rows = found.join(short, "chunk_key").join(asked, "query_id").withColumns({
         "filename_bonus": R.filename_bonus_of(F.col("__names"), F.col("filename")),
         "curated_bonus": R.curated_bonus(F.col("source_type"))})
@@ -74,9 +75,10 @@ def search_job(questions: DataFrame, index: DataFrame, top_k: int = R.CANDIDATE_
         F.size("__markers") > 0, F.lit(R.MARKER_BONUS)).otherwise(F.lit(0.0)))
     by_target = F.when(F.col("__planned").rlike(R.TARGET), F.lit(R.TARGET_MOST)).otherwise(F.lit(0.0))
     rows = R.drop_hopeless(rows.withColumn("floor", floor).withColumn("ceiling", F.col("floor") + by_text + by_target), top_k)
+    rows = cut_lineage(rows)
     stored = "searchable" in index.columns
     texts = index.select("chunk_key", "content", *(["searchable"] if stored else []))
-    rows = rows.join(texts, "chunk_key")
+    rows = rows.join(rows_of_keys(texts, rows, "chunk_key"), "chunk_key")
     if not stored:
         rows = rows.withColumn("searchable", nfkc_lower(R.search_text(F.col("filename"), F.col("content"), lexical_chars)))
     scored = rows.withColumns({

@@ -100,3 +100,14 @@ def side_by_side(*single_rows: DataFrame) -> DataFrame:
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), single_rows)
     return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
 
+
+def rows_of_keys(table: DataFrame, keys: DataFrame, key: str, limit: int = 1_000_000) -> DataFrame:
+    """The rows of ``table`` whose key is among ``keys``.
+
+    Up to ``limit`` keys are counted first and broadcast, so a large table is filtered where it is read; beyond that
+    both sides meet by key. The table's rows come out once each either way.
+    """
+    wanted = keys.select(key).distinct()
+    if wanted.limit(limit + 1).count() <= limit:
+        wanted = F.broadcast(wanted)
+    return table.join(wanted, key, "left_semi")
