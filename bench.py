@@ -15,7 +15,7 @@ from lorewell.registry import load
 from lorewell.session import build_session
 
 HEADLINE = (
-    "search_job", "hybrid_rerank", "vector_topk", "answer_job", "web_index_job", "chunk_text", "hash_embedding",
+    "search_plan", "search_job", "hybrid_rerank", "vector_topk", "answer_job", "web_index_job", "chunk_text", "hash_embedding",
     "extract_links", "extract_main_text", "classify_page", "classify_upload", "keyword_hits_by_table", "expand_aliases",
     "transfer_intent", "clean_lines", "content_hash", "normalize_url", "validate_rows", "robots_allowed", "frontier",
     "page_budget", "ingested_catalog", "merge_crawl_state", "replace_index", "number_chunks", "pair_turns",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.functions.text import nfkc_lower, strip
+from lorewell.functions.tokens import HAN, HAN_COMMON
 from lorewell.operators import question as Q
 from lorewell.operators import retrieve as R
 from lorewell.operators.embed import hash_embedding
@@ -43,14 +44,16 @@ def candidates(queries: DataFrame, index: DataFrame, top_k: int) -> DataFrame:
 def search_job(questions: DataFrame, index: DataFrame, top_k: int = R.CANDIDATE_K,
                embed: Callable[[Column], Column] | None = None,
                retrieve: Callable[[DataFrame, DataFrame, int], DataFrame] = candidates,
-               lexical_chars: int | None = None, target_chars: int | None = None) -> DataFrame:
+               lexical_chars: int | None = None, target_chars: int | None = None, name_symbol: str = HAN_COMMON,
+               text_symbol: str = HAN) -> DataFrame:
     """Ranked results of understood questions (query_id, planned, category and, if ready, query_vector).
 
     ``index`` rows need chunk_key, vector, category and the display columns filename, page,
     source, source_url, source_type, content, and may carry ``searchable`` (the folded text of
     the lexical bonus). ``retrieve`` is the retrieval strategy. Only ids and vectors take part in
     the search; short columns join the candidates after it, texts only those that can be ranked. Whole texts
-    are scored unless ``lexical_chars`` or ``target_chars`` limit what the bonuses read.
+    are scored unless ``lexical_chars`` or ``target_chars`` limit what the bonuses read. The symbol classes say
+    which characters make up words in file names and in texts.
     """
     embed = embed or hash_embedding()
     folded = nfkc_lower("planned")
@@ -62,8 +65,8 @@ def search_job(questions: DataFrame, index: DataFrame, top_k: int = R.CANDIDATE_
         queries = cut_lineage(questions.withColumn("query_vector", embed(strip(F.col("planned")))))
     found = cut_lineage(retrieve(queries, index, top_k))
     asked = questions.select(
-        "query_id", F.col("planned").alias("__planned"), R.gap_closed_bigrams(F.col("planned")).alias("__names"),
-        R.lexical_words(F.col("__folded")).alias("__words"), R.class_markers(F.col("__folded")).alias("__markers"))
+        "query_id", F.col("planned").alias("__planned"), R.gap_closed_bigrams(F.col("planned"), name_symbol).alias("__names"),
+        R.lexical_words(F.col("__folded"), text_symbol).alias("__words"), R.class_markers(F.col("__folded")).alias("__markers"))
     # First the short columns: they bound what the texts can still change.
     short = index.select("chunk_key", "filename", "page", "source", "source_url", "source_type", "category")
     short = rows_of_keys(short, found, "chunk_key")

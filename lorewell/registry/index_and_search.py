@@ -178,6 +178,7 @@ def upload_index_job(spark, sf):
     extension = F.when(F.col("lang") == "fr", ".txt").otherwise(".docx")
     files = documents.select("doc_id", "source", "lang", _docx("text").alias("content"), F.explode(twice).alias("folder")).select(
         F.concat("folder", F.col("doc_id").cast("string"), extension).alias("path"), "content", "source", F.lit("2024-01-01").alias("upload_time"))
+    files = cut_lineage(files)  # stands for the stored files
     checked = tables.check_uploads(files.withColumn("length", F.octet_length("content").cast("long")))
     rows, rejected = upload_index.upload_index_job(checked, embed=embed.hash_embedding(64))
     return rows.where("chunk_index = 0").select(F.col("filename").alias("id"), F.lit("indexed").alias("outcome")).unionByName(
@@ -400,6 +401,44 @@ def hybrid_rerank(spark, sf):
     return _ranked(spark, sf).select("query_id", "chunk_key", "rank", "score")
 
 
+@query("search_plan", V.with_views(f""", {_PAIRS_SQL}, {_MERGED_SQL},
+    told as (select vec_id, label, coalesce(text, '') content, split_part(coalesce(text, ''), chr(10), 1) line,
+        split_part(split_part(coalesce(text, ''), chr(10), 1), ' ', 1) word from embeddings left join documents on vec_id = doc_id),
+    named as (select vec_id chunk_key, case when label = 2 then '转专业' else '' end || word filename, content,
+        case when label in (1, 3) then 0.15 else 0 end::double curated from told),
+    planned as (select vec_id query_id, case when label = 1 then line || chr(10) || '转专业目标：' || word else line end planned,
+        case when label = 1 then trim(regexp_extract(word, '^[^；;]+')) else '' end goal from told),
+    asked as (select query_id, goal, list_distinct(list_transform(range(1, len(s)), lambda i: s[i] || s[i + 1])) names,
+        list_distinct(flatten(list_transform(r, lambda x: list_transform(range(1, length(x)), lambda i: substr(x, i, 2))))) words,
+        list_transform(range(1, length(goal)), lambda i: substr(goal, i, 2)) halves
+        from (select *, regexp_extract_all(planned, '[a-e]') s, regexp_extract_all(lower(planned), '[x-z]{{2,}}') r from planned)),
+    scored as (select m.query_id, m.chunk_key, m.preferred, m.distance, greatest(0, least(1, 1 - m.distance)) raw, curated,
+        least(0.10::double, len(list_filter(names, lambda b: contains(filename, b))) * 0.02::double) by_name,
+        least(0.12::double, len(list_filter(words, lambda b: contains(lower(filename || chr(10) || content), b))) * 0.025::double) lexical,
+        case when goal = '' or not contains(filename, '转专业') then 0.0 when contains(filename || chr(10) || content, goal) then 0.35
+            when len(list_filter(halves, lambda b: contains(filename, b))) > 0 then 0.30 else 0.02 end::double target
+        from merged m join named using (chunk_key) join asked using (query_id))
+    select query_id, chunk_key, rank, round(greatest(0, least(1, raw + by_name + curated + target + lexical)), 9) score from (
+        select *, row_number() over (partition by query_id order by round(raw + case when preferred then 0.03 else 0 end::double + by_name + curated + target + lexical, 9)
+            desc, raw desc, preferred desc, distance, chunk_key) rank from scored) where rank <= 20""", "v_chunks"))
+def search_plan(spark, sf):
+    """The whole search with every bonus at work: documents behind the vectors, their first lines as questions."""
+    texts = V.table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    told = V.table(spark, sf, "embeddings").join(texts, "vec_id", "left").withColumn("content", F.coalesce("text", F.lit("")))
+    line = F.split("content", "\n")[0]
+    word = F.split(line, " ")[0]
+    label = F.col("label").cast("string")
+    stored = told.select(
+        F.col("vec_id").alias("chunk_key"), F.col("embedding").alias("vector"), label.alias("category"), "content",
+        F.concat(F.when(label == "2", "转专业").otherwise(""), word).alias("filename"), F.lit(1).alias("page"), F.lit("s").alias("source"),
+        F.lit("u").alias("source_url"), F.when(label.isin("1", "3"), "CURATED_OFFICIAL").otherwise("").alias("source_type"))
+    goal = F.concat(line, F.lit("\n转专业目标："), word)
+    questions = told.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), label.alias("category"),
+                            F.when(label == "1", goal).otherwise(line).alias("planned"))
+    found = search.search_job(questions, stored, name_symbol="[a-e]", text_symbol="[x-z]")
+    return found.select("query_id", "chunk_key", "rank", "score")
+
+
 @query("project_results", """
     select event_id, case when event_type = 'view' then '未知文件' else event_type end filename, case when user_id < 1 then 1 else user_id end page,
         case when event_type = 'click' then '未知来源' else 's' end source, case when event_type = 'error' then null else 'u' end source_url,
