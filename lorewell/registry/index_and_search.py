@@ -8,6 +8,7 @@ from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lorewell.functions import hashing, tokens
 from lorewell.operators import chunks as C
@@ -153,7 +154,7 @@ def web_index_job(spark, sf):
         F.min("filename").alias("filename"), F.min("category").alias("category"), F.bool_and(F.size("vector") == 64).alias("has_vectors"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _docx(texts: pd.Series) -> pd.Series:
     """Texts as word-processor files, one paragraph per line."""
     def pack(text: str) -> bytes:
