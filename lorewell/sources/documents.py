@@ -45,12 +45,10 @@ def pdf_pages(content: bytes) -> list[tuple[int, str]]:
     return [(n, page.extract_text() or "") for n, page in enumerate(PdfReader(io.BytesIO(content)).pages, 1)]
 
 
-def parse_documents(uploads: DataFrame, extractors: dict[str, Extractor] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(pages, errors) of usable uploads (path, filename, extension, content).
+def read_documents(uploads: DataFrame, extractors: dict[str, Extractor] | None = None) -> DataFrame:
+    """Usable uploads (path, filename, extension, content) without their content, with ``pages`` and ``error``.
 
-    ``pages`` has one row per page and, beside it, the file's first page; the content is left out. Empty pages are
-    dropped; a file without any text is an error row. Files are read once: both results start from what was
-    stored after that. With a ``document_id``, one file of each document is taken, the first by path.
+    ``pages`` holds (page, text) of the pages with any text. Every file is read once: the result is stored.
     """
     readers = {"docx": docx_pages, "pdf": pdf_pages, **(extractors or {})}
 
@@ -70,12 +68,25 @@ def parse_documents(uploads: DataFrame, extractors: dict[str, Extractor] | None
         F.transform("__read.pages", lambda p: F.struct(p["page"].alias("page"), clean_document_text(p["text"]).alias("text"))),
         lambda p: p["text"] != ""))
     rest = [c for c in uploads.columns if c != "content"]
-    read = cut_lineage(read.select(*rest, "__pages", F.col("__read.error").alias("__error")))
-    usable = read.where(F.size("__pages") > 0)
-    if "document_id" in rest:
-        usable = first_per_key(usable, ["document_id"], [F.col("path")])
-    pages = usable.select(*rest, F.col("__pages")[0]["text"].alias("first_page"), F.explode("__pages").alias("__page")).select(
-        *rest, "first_page", "__page.page", "__page.text")
-    errors = read.where(F.size("__pages") == 0).select(
-        "path", F.coalesce("__error", F.lit("no_text")).alias("error"))
-    return pages, errors
+    return cut_lineage(read.select(*rest, F.col("__pages").alias("pages"), F.col("__read.error").alias("error")))
+
+
+def unreadable(read: DataFrame) -> DataFrame:
+    """(path, error) of files that gave no text."""
+    return read.where(F.size("pages") == 0).select("path", F.coalesce("error", F.lit("no_text")).alias("error"))
+
+
+def unfold_pages(read: DataFrame) -> DataFrame:
+    """One row per page."""
+    rest = [c for c in read.columns if c not in ("pages", "error")]
+    return read.select(*rest, F.explode_outer("pages").alias("__page")).where(F.col("__page").isNotNull()).select(
+        *rest, "__page.page", "__page.text")
+
+
+def parse_documents(uploads: DataFrame, extractors: dict[str, Extractor] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pages, errors) of usable uploads (path, filename, extension, content).
+
+    Empty pages are dropped; a file without any text is an error row.
+    """
+    read = read_documents(uploads, extractors)
+    return unfold_pages(read), unreadable(read)
