@@ -104,8 +104,8 @@ def rarity(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def _examples(docs: DataFrame, text: str) -> pa.Table:
-    """(lang, put_aside, features, frequencies) of each row of a bounded sample."""
-    schema = "lang string, aside boolean, features array<int>, frequencies array<float>"
+    """(lang, rank, features, frequencies) of each row of a bounded sample, in the order of lang and rank."""
+    schema = "lang string, rank int, features array<int>, frequencies array<float>"
 
     def run(rows):
         for batch in rows:
@@ -117,11 +117,11 @@ def _examples(docs: DataFrame, text: str) -> pa.Table:
                     ids.append(mine.astype(np.int32))
                     values.append((often / (b - a)).astype(np.float32))
                 out = pa.RecordBatch.from_arrays(
-                    [block.column("lang"), block.column("aside"), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))],
-                    ["lang", "aside", "features", "frequencies"])
+                    [block.column("lang"), block.column("rank"), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))],
+                    ["lang", "rank", "features", "frequencies"])
                 yield out.filter(pa.array(some))
 
-    return docs.select("lang", "aside", text).mapInArrow(run, schema).toArrow()
+    return docs.select("lang", "rank", text).mapInArrow(run, schema).orderBy("lang", "rank").toArrow()
 
 
 def follow_the_leader(examples: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int, alpha: float,
@@ -168,23 +168,30 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     idf = rarity(known, "text")
     order = [F.xxhash64("id"), F.xxhash64("text")]
     few = B.hash_sample(known, ["id", "text"], per_language, "lang")
-    sample = top_per_key(few, ["lang"], order, per_language).withColumn("aside", F.pmod("rank", F.lit(5)) == 0)
-    rows = _examples(sample, "text")
-    languages = sorted(set(rows.column("lang").to_pylist()))
+    rows = _examples(top_per_key(few, ["lang"], order, per_language), "text")
+    labels = rows.column("lang").to_pylist()
+    languages = sorted(set(labels))
     number = {name: i for i, name in enumerate(languages)}
     fitted, aside = [], []
-    bias = np.array([BUCKETS])
-    for name, put, ids, often in sorted(zip(*[rows.column(c).to_pylist() for c in ("lang", "aside", "features", "frequencies")], strict=True),
-                                        key=lambda r: (r[0], r[2], r[3])):
-        ids, often = np.array(ids, np.int64), np.array(often)
-        row = (np.concatenate((ids, bias)), np.concatenate((often * idf[ids] * _SCALE, [1.0])), number[name])
-        (aside if put else fitted).append(row)
+    bias = np.array([BUCKETS], np.int32)
+    # views into the few large arrays that came back; lists of numbers would take many times their room
+    features, frequencies = (rows.column(c).combine_chunks() for c in ("features", "frequencies"))
+    ends = np.cumsum(features.value_lengths().to_numpy()) if len(labels) else []
+    features, frequencies = features.flatten().to_numpy(), frequencies.flatten().to_numpy()
+    for k, (name, rank, end) in enumerate(zip(labels, rows.column("rank").to_pylist(), ends, strict=True)):
+        start = ends[k - 1] if k else 0
+        ids, often = features[start:end], frequencies[start:end]
+        row = (np.concatenate((ids, bias)), np.concatenate((often * idf[ids] * _SCALE, [1.0])).astype(np.float32), number[name])
+        (fitted if rank % 5 else aside).append(row)
+    del rows, features, frequencies
     if not fitted:
         return LanguageModel([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1))
     w, b = follow_the_leader(fitted, len(languages), epochs, alpha, beta, l1, l2)
     full = np.vstack((w, b))
     logits = np.array([v @ full[i] for i, v, _ in aside]).reshape(-1, len(languages))
     temperature = _temperature(logits, np.array([k for _, _, k in aside], np.int64))
+    del fitted, aside
+    pa.default_memory_pool().release_unused()
     return LanguageModel(languages, (w * idf[:, None]).astype(np.float32), b, temperature)
 
 
