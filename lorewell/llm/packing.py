@@ -29,6 +29,8 @@ from lorewell.scale import cut_lineage
 CAPACITY = 2048
 END = 0
 ROUNDS = 8
+#: How much more a character of a long piece is worth than one of a short piece when the program starts; the best is kept.
+LEANINGS = (1.0, 0.1, 0.0)
 
 #: Fixed value: how byte-level vocabularies of this family split a text into pieces before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -123,7 +125,7 @@ def _fillings(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]
     return best, take
 
 
-def configurations(counts: np.ndarray, rounds: int = ROUNDS, rate: float = 4.0) -> dict[tuple[int, ...], float]:
+def configurations(counts: np.ndarray, rounds: int, leaning: float, rate: float = 4.0) -> dict[tuple[int, ...], float]:
     """A fractional cover of the histogram: how often to use each configuration (lengths, longest first)."""
     capacity = len(counts) - 1
     sizes = np.flatnonzero(counts)
@@ -131,7 +133,7 @@ def configurations(counts: np.ndarray, rounds: int = ROUNDS, rate: float = 4.0)
     for step in range(1, rounds + 1):
         ahead = covered[sizes] / counts[sizes] - (step - 1) / rounds
         price = np.full(capacity + 1, -np.inf)
-        price[sizes] = sizes / capacity * np.exp(-rate * np.clip(ahead, -2, 8))
+        price[sizes] = sizes / capacity * (1 + leaning * sizes / capacity) * np.exp(-rate * np.clip(ahead, -2, 8))
         _, take = _fillings(price, capacity)
         for size in sizes[::-1].tolist():
             lack = counts[size] * step / rounds - covered[size]
@@ -155,6 +157,21 @@ def configurations(counts: np.ndarray, rounds: int = ROUNDS, rate: float = 4.0)
 
 def pack_lengths(counts: np.ndarray, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
     """[(lengths of a sequence, how many such sequences)] that place every piece of the histogram exactly once."""
+    capacity = len(counts) - 1
+    bound = -(-int((np.asarray(counts) * np.arange(capacity + 1)).sum()) // capacity)
+    best, fewest = [], None
+    for leaning in LEANINGS:
+        packed = _solve(counts, rounds, leaning)
+        used = sum(times for _, times in packed)
+        if fewest is None or used < fewest:
+            best, fewest = packed, used
+        if fewest == bound:
+            break
+    return best
+
+
+def _solve(counts: np.ndarray, rounds: int, leaning: float) -> list[tuple[tuple[int, ...], int]]:
+    """One solution: solve, round down, solve the rest again, and place the last leftovers where they fit best."""
     left = np.array(counts, np.int64)
     capacity = len(left) - 1
     packed: dict[tuple[int, ...], int] = {}
@@ -167,7 +184,7 @@ def pack_lengths(counts: np.ndarray, rounds: int = ROUNDS) -> list[tuple[tuple[i
         left[capacity] = 0
     while left.any():
         before = int(left.sum())
-        for key, amount in sorted(configurations(left, rounds).items(), key=lambda kv: (-sum(kv[0]), -kv[1], kv[0])):
+        for key, amount in sorted(configurations(left, rounds, leaning).items(), key=lambda kv: (-sum(kv[0]), -kv[1], kv[0])):
             times = min([int(amount + 1e-9), *(int(left[s]) // n for s, n in Counter(key).items())])
             if times > 0:
                 use(key, times)
