@@ -13,7 +13,9 @@ from lorewell.operators import usage as U
 from lorewell.registry import views as V
 from lorewell.registry.core import query
 from lorewell.registry.sources_and_text import sql_blank, sql_trim
-from lorewell.streaming import windows
+from lorewell.scale import side_by_side
+from lorewell.sources import tables
+from lorewell.streaming import jobs, windows
 
 NOW = "2024-04-20"
 
@@ -361,3 +363,33 @@ def usage_per_day(spark, sf):
 def session_activity(spark, sf):
     rows = V.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("session"), F.col("ts").alias("created_time"))
     return windows.session_activity(rows, timedelta(hours=12))
+
+
+@query("catalog_detail", V.with_views("select id, sha256(content) digest from v_catalog where id = 7", "v_catalog"))
+def catalog_detail(spark, sf):
+    return tables.catalog_detail(V.catalog(spark, sf), 7).select("id", F.sha2("content", 256).alias("digest"))
+
+
+@query("session_history", V.with_views("""
+    select id, created_time from v_answers where session = (select min(session) from v_answers) order by created_time desc, id desc""", "v_answers"))
+def session_history(spark, sf):
+    answers = V.answers(spark, sf)
+    first = answers.agg(F.min("session")).first()[0]
+    return D.session_history(answers, first).select("id", "created_time")
+
+
+@query("quality_totals_approximate", V.with_views("select count(*) total_answers, true near from v_answers", "v_answers"))
+def quality_totals_approximate(spark, sf):
+    """The sketch of the session count stays within a tenth of the exact one."""
+    answers, feedback = V.answers(spark, sf), V.feedback(spark, sf)
+    exact = answers.agg(F.count_distinct("session").alias("exact"))
+    rough = quality.quality_totals(answers, feedback, approximate=True)
+    both = side_by_side(rough.select("total_answers", "unique_sessions"), exact)
+    return both.select("total_answers", (F.abs(F.col("unique_sessions") - F.col("exact")) * 10 <= F.col("exact")).alias("near"))
+
+
+@query("dedupe_pages", "select url, content_hash, count(*) n from (select distinct url, sha256(html) content_hash from pages) group by all")
+def dedupe_pages(spark, sf):
+    """The batch twin of the page stream that drops repeats: every page arrives twice."""
+    pages = V.table(spark, sf, "pages").select("url", F.sha2("html", 256).alias("content_hash"))
+    return jobs.stream_dedupe(pages.union(pages)).groupBy("url", "content_hash").agg(F.count("*").alias("n"))

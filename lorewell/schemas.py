@@ -29,7 +29,8 @@ CRAWL_RECORD_DDL = (
     "url string, title string, category string, content_hash string, etag string, last_modified string, "
     "last_status string, crawled_at timestamp_ntz, indexed_at timestamp_ntz")
 PAGE_DDL = (
-    "url string, http_status int, content_type string, etag string, last_modified string, html string")
+    "url string, http_status int, content_type string, etag string, last_modified string, html string, "
+    "fetched_at timestamp_ntz")
 OUTCOME_DDL = (
     "url string, source_url string, title string, content string, source string, category string, content_hash string, "
     "published_time timestamp_ntz, crawl_time timestamp_ntz, last_updated timestamp_ntz, etag string, last_modified string, "

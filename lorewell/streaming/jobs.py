@@ -57,7 +57,7 @@ def stream_ingest(spark: SparkSession, pages: str, root: str, source_names: Data
         stored = f"{root}/outcomes/batch={number}"
         state, catalog = (_snapshot(session, f"{root}/{n}", d) for n, d in (("state", S.CRAWL_RECORD_DDL), ("catalog", S.CATALOG_DDL)))
         if not _complete(session, stored):
-            latest = first_per_key(batch, ["url"], [F.desc_nulls_last("etag"), F.desc_nulls_last("last_modified")])
+            latest = first_per_key(batch, ["url"], [F.desc_nulls_last(c) for c in ("fetched_at", "etag", "last_modified", "html")])
             assess_pages(latest, state, catalog, exclusions, source_names, robots, rules).write.mode("overwrite").parquet(stored)
         outcomes = session.read.parquet(stored)
         _write_once(session, lambda: next_catalog(catalog, outcomes, rules), f"{root}/catalog", number)

@@ -23,9 +23,9 @@ RULES = CrawlRules(now=datetime(2026, 7, 1), since=datetime(2024, 1, 1), agent="
 TEXT = "关于选课的说明。学生应在规定时间内完成选课，请办理相关手续。" * 6
 
 
-def page(name, title, body, status=200, tag="article", kind="text/html", etag="e1", when="2025-05-05"):
+def page(name, title, body, status=200, tag="article", kind="text/html", etag="e1", when="2025-05-05", fetched=1):
     html = f"<html><head><meta name='date' content='{when}'></head><body><h1>{title}</h1><{tag}>{body}</{tag}></body></html>"
-    return (f"https://h.example.org/{name}", status, kind, etag, None, html)
+    return (f"https://h.example.org/{name}", status, kind, etag, None, html, datetime(2026, 6, fetched))
 
 
 FIRST = [
@@ -225,6 +225,15 @@ def test_dedupe_stream(spark, tmp_path):
     assert sorted(spark.table("once").select("url", "content_hash").collect()) == sorted(batch.collect())
 
 
+def test_newest_fetch_of_a_url_counts(spark, tmp_path):
+    pages, root = tmp_path / "pages", tmp_path / "root"
+    robots, names, barred = side_tables(spark)
+    twice = [page("ok/page.htm", "选课通知", TEXT, etag="z", fetched=1), page("ok/page.htm", "选课须知", TEXT, etag="a", fetched=2)]
+    spark.createDataFrame(twice, S.PAGE_DDL).coalesce(1).write.parquet(str(pages / "a"))
+    jobs.stream_ingest(spark, str(pages / "*"), str(root), names, barred, RULES, robots).awaitTermination(120)
+    assert [r.title for r in snapshots.read_snapshot(spark, str(root / "catalog")).collect()] == ["选课须知"]
+
+
 def test_repeated_batch_changes_nothing(spark, tmp_path):
     pages, root = tmp_path / "pages", tmp_path / "root"
     robots, names, barred = side_tables(spark)
