@@ -1,13 +1,11 @@
-"""The whole search against a plain computation over a small index."""
+"""The whole search over small indexes, against ranks and scores worked out on paper."""
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lorewell.operators.embed import hash_embedding
 from lorewell.plans.search import answer_job, search_job, understand
 from lorewell.plans.web_index import web_index_job
-from tests.test_chunks_and_embedding import reference_vector
 
 TOPICS = ["选课", "转专业", "图书馆", "宿舍", "奖学金", "就业", "校园卡", "军训"]
 QUESTIONS = [(0, "选课办法是什么"), (1, "图书馆A类开放时间"), (2, "金融转软件条件"), (3, "hello world"), (4, "军训校园卡宿舍")]
@@ -27,48 +25,46 @@ def index(spark):
     return web_index_job(df, hash_embedding(64)).withColumn("chunk_key", F.col("chunk_id")).cache()
 
 
-def by_hand(question, category, rows, k):
-    import re
-    import unicodedata
-
-    asked = np.array(reference_vector(question.strip(), 64), dtype=np.float32).astype(float)
-
-    def pairs(text):
-        return {a + b for a, b in zip(text, text[1:])}
-
-    names = pairs(re.sub("[^一-鿿]", "", question))
-    folded = unicodedata.normalize("NFKC", question).lower()
-    words = set().union(*[pairs(r) for r in re.findall("[㐀-鿿]+", folded)], set()) - {"哪些", "什么", "怎么", "如何", "一下", "请问", "是否"}
-    markers = {re.sub(r"\s", "", m) for m in re.findall(r"(?<![a-z0-9])([a-z][a-z0-9-]{0,5}\s*类)", folded)}
-    target = re.search(r"转专业目标[：:]\s*([^\n；;]+)", question)
-    scored = []
-    for r in rows:
-        vector = np.array(r.vector, dtype=np.float32).astype(float)
-        norm = np.sqrt((asked @ asked) * (vector @ vector))
-        raw = max(0.0, min(1.0, 1 - round(1 - (asked @ vector) / norm if norm else 1.0, 6)))
-        text = unicodedata.normalize("NFKC", r.filename + "\n" + r.content[:4000]).lower()
-        lexical = min(0.2, min(0.12, 0.025 * sum(w in text for w in words)) + (0.1 if any(m in re.sub(r"\s", "", text) for m in markers) else 0))
-        bonus = min(0.1, 0.02 * sum(n in r.filename for n in names)) + lexical + (0.15 if r.source_type == "CURATED_OFFICIAL" else 0)
-        if target and "转专业" in r.filename:
-            goal = target.group(1).strip()
-            bonus += 0.35 if goal in r.filename + r.content[:1600] else 0.3 if any(p in r.filename for p in pairs(goal)) else 0.02
-        place = raw + bonus + (0.03 if r.category == category else 0)
-        scored.append((-round(place, 6), r.filename, round(min(1.0, raw + bonus), 6)))
-    return [(s[0], s[2]) for s in sorted(scored)[:k]]
-
-
-@pytest.mark.parametrize("k", [3, 20])
-def test_search_by_hand(spark, index, k):
-    questions = understand(spark.createDataFrame(QUESTIONS, "query_id int, question string"))
-    rows = index.collect()
-    assert len(rows) == 60
-    found = search_job(questions, index, k, hash_embedding(64)).orderBy("query_id", "rank").collect()
-    planned = {r.query_id: (r.planned, r.category) for r in questions.collect()}
-    for query_id, (text, category) in planned.items():
-        expected = by_hand(text, category, rows, k)
-        mine = [r for r in found if r.query_id == query_id]
-        assert [round(r.score, 5) for r in mine] == pytest.approx([s for _, s in expected], abs=2e-5) or \
-            sorted(round(r.score, 5) for r in mine) == pytest.approx(sorted(s for _, s in expected), abs=2e-5)
+STORED = [
+    # key, vector, category, file name, kind, content
+    ("r1", [0.6, 0.8], "MAJOR", "图书馆简介", "OFFICIAL_WEBSITE", "无"),
+    ("r2", [0.6, 0.8], "LIFE", "通知", "OFFICIAL_WEBSITE", "A 类 开放时间"),
+    ("r3", [0.8, 0.6], "MAJOR", "其他", "CURATED_OFFICIAL", "无"),
+    ("r4", [0.0, 1.0], "MAJOR", "x", "OFFICIAL_WEBSITE", "无"),
+    ("t1", [0.28, 0.96], "MAJOR", "软件转专业细则", "OFFICIAL_WEBSITE", "无"),
+    ("t2", [0.6, 0.8], "MAJOR", "转专业管理办法", "OFFICIAL_WEBSITE", "无"),
+]
+# Worked out on paper: similarity, two name pairs and two text pairs (r1), three text pairs and a class marker (r2), the curated
+# bonus (r3); for the transfer question name pairs, text pairs and the target (t1) or the general rules (t2).
+RANKED = {
+    1: [("r3", 0.95), ("r2", 0.775), ("r1", 0.69), ("t2", 0.6), ("t1", 0.28), ("r4", 0.0)],
+    2: [("r3", 0.95), ("t2", 0.77), ("t1", 0.765), ("r1", 0.6), ("r2", 0.6), ("r4", 0.0)],
+}
+
+
+@pytest.mark.parametrize("k", [2, 6])
+def test_ranks_and_scores_on_paper(spark, k):
+    stored = spark.createDataFrame(STORED, "chunk_key string, vector array<double>, category string, filename string, source_type string, content string")
+    stored = stored.withColumns({"page": F.lit(1), "source": F.lit("s"), "source_url": F.lit("u")})
+    questions = spark.createDataFrame(
+        [(1, [1.0, 0.0], "LIFE", "图书馆 A类 开放时间"), (2, [1.0, 0.0], "ACADEMIC", "转专业目标：软件")],
+        "query_id int, query_vector array<double>, category string, planned string")
+    found = search_job(questions, stored, k).orderBy("query_id", "rank").collect()
+    for query_id, expected in RANKED.items():
+        mine = [(r.chunk_key, r.score) for r in found if r.query_id == query_id]
+        assert [key for key, _ in mine] == [key for key, _ in expected[:k]]
+        assert [score for _, score in mine] == pytest.approx([score for _, score in expected[:k]], abs=1e-9)
+
+
+def test_hits_far_behind_in_a_text_count(spark):
+    row = ("r", [0.6, 0.8], "LIFE", "转专业", "OFFICIAL_WEBSITE", "字" * 5000 + "软件时间")
+    stored = spark.createDataFrame([row], "chunk_key string, vector array<double>, category string, filename string, source_type string, content string")
+    stored = stored.withColumns({"page": F.lit(1), "source": F.lit("s"), "source_url": F.lit("u")})
+    asked = spark.createDataFrame([(1, [1.0, 0.0], None, "转专业目标：软件")], "query_id int, query_vector array<double>, category string, planned string")
+    whole = search_job(asked, stored).first().score
+    limited = search_job(asked, stored, lexical_chars=4000, target_chars=1600).first().score
+    # similarity 0.6, two name pairs 0.04, three text pairs 0.075, target 0.35: more than the most; cut short 0.6 + 0.04 + 0.05 + 0.02
+    assert whole == 1.0 and limited == pytest.approx(0.71, abs=1e-9)
 
 
 def test_stored_text_gives_the_same(spark, index):
