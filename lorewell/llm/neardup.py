@@ -35,7 +35,7 @@ BATCH = 32
 MISS = 1e-9
 CHUNK = 256
 DENSE_CELLS = 1 << 23
-DOCS_A_TASK = 20_000
+DOCS_A_TASK = 8_000
 
 
 def _coefficients(count: int) -> tuple[np.ndarray, np.ndarray]:
