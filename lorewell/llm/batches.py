@@ -7,6 +7,7 @@ one text; both word alphabets used here keep all bytes from 0x80 up together, so
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -192,3 +193,13 @@ def hash_sample(rows: DataFrame, keys: list, n: int, by: str | None = None, grou
     for value, count in counts:
         share = F.when(F.col(by) == value, min(1.0, 4 * n / count) * (1 << 20)).otherwise(share)
     return rows.where(place <= share) if counts else rows.limit(0)
+
+
+def stored_by(df: DataFrame, column: str) -> DataFrame:
+    """The rows as a table in the shared checkpoint folder, in one folder per value of ``column``."""
+    context = df.sparkSession.sparkContext
+    base = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or (
+        df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    folder = f"{base.rstrip('/')}/tables-{uuid4()}"
+    df.write.partitionBy(column).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

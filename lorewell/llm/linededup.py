@@ -24,7 +24,7 @@ from lorewell.scale import cut_lineage
 BLANKS = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 20
 MIN_DOCS = 3
-BATCH_DOCS = 100_000
+BATCH_DOCS = 50_000_000
 FAN_IN = 4
 
 
@@ -113,14 +113,16 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
 
     Rows with one id are one document. Rows with a null id share the id null, which is smaller than any
     other. The kept lines are joined by newline, a null text becomes an empty one. Input columns n_lines and n_dropped are
-    replaced; all others pass through. ``batch_docs`` bounds the documents in a batch.
+    replaced; all others pass through. ``batch_docs`` is about how many documents make a batch; the batches' line hashes
+    are written below the checkpoint folder, where they stay until the folder is emptied.
     """
     B.prepare(docs.sparkSession)
     keys = line_keys(docs, doc_id, text, min_chars)
     count = -(-docs.count() // batch_docs)
     runs = LineRuns(fan_in)
     if count > 1:
-        keys = cut_lineage(keys.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(count))))
+        # one folder per batch, so that taking a batch reads that batch alone
+        keys = B.stored_by(keys.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(count))), "part")
         for i in range(count):
             runs.add(keys.where(F.col("part") == i).drop("part"))
     else:
