@@ -242,8 +242,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                     threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, miss: float = MISS,
-                    chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row.
+                    chunk: int = CHUNK, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, the ``keep`` columns, n_shingles, component_id, kept) of every row.
 
     A document's set: distinct ``shingle``-word runs of the text with A-Z lower-cased and split at blanks; a text
     of fewer words is one shingle; null, empty and blank texts have the empty set and are linked with nothing.
@@ -258,7 +258,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     B.prepare(spark)
     count = bands * rows
     base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    known = cut_lineage(features(base, "text", shingle, count))
+    passed = [F.col(f"`{c}`").alias(f"__keep{i}") for i, c in enumerate(keep or [])]
+    known = cut_lineage(features(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), *passed), "text", shingle, count))
     total = known.count()
     usable = known.where(F.col("id").isNotNull() & F.col("fingerprint").isNotNull())
     classes = usable.groupBy("fingerprint").agg(
@@ -289,7 +290,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = components(_few(links.union(cut_lineage(_few(same_id, total, DOCS_A_TASK))), total, DOCS_A_TASK))
 
     out = known.join(found, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(doc_id), "n_shingles", "component_id",
+    passed = [F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep or [])]
+    return out.select(F.col("id").alias(doc_id), *passed, "n_shingles", "component_id",
                       F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
