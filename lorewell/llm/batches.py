@@ -179,20 +179,18 @@ def fold(key: str, parts: int):
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts
 
 
-def hash_sample(rows: DataFrame, keys: list, n: int, by: str | None = None, groups: int = 1000) -> DataFrame:
-    """About ``4 * n`` rows (of each value of ``by``) with the smallest hashes of ``keys``; all rows where there are fewer.
+def hash_sample(rows: DataFrame, keys: list, n: int, by: str | None = None) -> DataFrame:
+    """About ``4 * n`` rows (of each value of ``by`` but null) with the smallest hashes of ``keys``; all rows where there are fewer.
 
-    A share is set from the counts first, so that no task ever gathers more than the sample. Values of ``by`` beyond
-    the ``groups`` most frequent are left out: what is learned from is bounded.
+    A share is set from the counts first, so that no task ever gathers more than the sample of a value. The counts, one
+    row per value of ``by``, are broadcast.
     """
     place = F.pmod(F.xxhash64(*keys), F.lit(1 << 20))
     if by is None:
         return rows.where(place <= min(1.0, 4 * n / max(rows.count(), 1)) * (1 << 20))
-    counts = rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(groups).collect()
-    share = F.lit(0.0)
-    for value, count in counts:
-        share = F.when(F.col(by) == value, min(1.0, 4 * n / count) * (1 << 20)).otherwise(share)
-    return rows.where(place <= share) if counts else rows.limit(0)
+    shares = rows.groupBy(F.col(by).alias("__by")).agg((F.least(F.lit(1.0), 4 * n / F.count("*")) * (1 << 20)).alias("__share"))
+    shared = rows.join(F.broadcast(shares), F.col(by) == F.col("__by")).where(place <= F.col("__share"))
+    return shared.select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
 def stored_by(df: DataFrame, column: str) -> DataFrame:
