@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.llm import batches as B
-from lorewell.scale import top_per_key
+from lorewell.scale import cut_lineage, top_per_key
 
 PROJECTIONS = 8
 NEIGHBOURS = 20
@@ -125,6 +125,18 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
+def _by_length(rows) -> list[tuple[int, pa.RecordBatch | pa.Table]]:
+    """The rows (id, v) of a batch or table by the length of v."""
+    if not rows.num_rows:
+        return []
+    if isinstance(rows, pa.Table):
+        rows = rows.combine_chunks().to_batches()[0]
+    sizes = rows.column("v").value_lengths().to_numpy()
+    if sizes.min() == sizes.max():
+        return [(int(sizes[0]), rows)]
+    return [(int(n), rows.filter(pa.array(sizes == n))) for n in np.unique(sizes)]
+
+
 def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = NEIGHBOURS,
             projections: int = PROJECTIONS, confidence: float = CONFIDENCE, query_rows: int = QUERY_ROWS,
             block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -132,9 +144,11 @@ def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector:
 
     The score is the inner product of the original vectors in double precision; ties go to the smaller id. Candidates
     are all rows but those with the query's own id. Vectors that are null, zero, hold null or non-finite
-    components, or are of another length than the longest usable one take no part, and neither do rows without an id. Rows that
-    repeat an id are candidates of their own but one query. Fewer than k candidates are all returned.
-    ``projections`` is even; ``confidence`` is the chance with which each true neighbour is found.
+    components take no part, and neither do rows without an id. A query is compared with the vectors of its own length,
+    whatever other lengths there are. Rows that repeat an id are candidates of their own but one query, the smallest of
+    the id's longest vectors. Fewer than k candidates are all returned.
+    ``projections`` is even; ``confidence`` is the chance with which each true neighbour is found. Of several query blocks
+    each is answered and written to the checkpoint folder before the next one is sent out.
     """
     spark = vectors.sparkSession
     B.prepare(spark)
@@ -142,45 +156,51 @@ def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector:
         F.col("id").isNotNull() & usable("v"))
     base = base.withColumn("v", F.col("v").cast("array<double>"))
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    size, _ = base.agg(F.max(F.size("v")), F.count("*")).first()
+    norms = {n: math.sqrt(most) for n, most in base.groupBy(F.size("v")).agg(F.max(square)).collect()}
     schema = "query_id long, id long, score double"
-    if size is None:
+    if not norms:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    base = base.where(F.size("v") == size)
-    norm = math.sqrt(base.agg(F.max(square)).first()[0])
-    directions = np.random.default_rng(7).standard_normal((size + 1, projections))
     quantile = chi_square_quantile(projections, confidence)
-    asked = base.where("asks").groupBy("id").agg(F.min("v").alias("v"))
+    asked = base.where("asks").groupBy("id").agg(F.min(F.struct((-F.size("v")).alias("n"), "v")).alias("first")).select("id", "first.v")
     count = asked.count()
     parts = max(1, -(-count // query_rows))
 
     def one(part: int) -> DataFrame:
         block = asked.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).toArrow().sort_by("id")
-        shared = spark.sparkContext.broadcast((block.column("id").to_numpy(), _matrix(block.column("v").combine_chunks(), size)))
+        asked_for = {n: (rows.column("id").to_numpy(), _matrix(rows.column("v"), n)) for n, rows in _by_length(block)}
+        shared = spark.sparkContext.broadcast({n: (*rows, norms[n]) for n, rows in asked_for.items()})
 
         def run(rows):
-            query_ids, asked_for = shared.value
-            held, n = [], 0
-
-            def found():
-                table = pa.Table.from_batches(held).combine_chunks()
+            held: dict[int, list] = {}
+            room: dict[int, int] = {}
+
+            def found(size):
+                query_ids, queries, norm = shared.value[size]
+                table = pa.Table.from_batches(held.pop(size)).combine_chunks()
+                del room[size]
+                directions = np.random.default_rng(7).standard_normal((size + 1, projections))
                 data = _matrix(table.column("v").combine_chunks(), size)
-                own, ids, scores = search_block(data, table.column("id").to_numpy(), asked_for, query_ids, k, norm, directions, quantile)
+                own, ids, scores = search_block(data, table.column("id").to_numpy(), queries, query_ids, k, norm, directions, quantile)
                 return pa.RecordBatch.from_arrays([pa.array(query_ids[own]), pa.array(ids), pa.array(scores)], ["query_id", "id", "score"])
 
             for batch in rows:
-                for low in range(0, batch.num_rows, block_rows):
-                    piece = batch.slice(low, block_rows)
-                    if held and n + piece.num_rows > block_rows:
-                        yield found()
-                        held, n = [], 0
-                    held.append(piece)
-                    n += piece.num_rows
-            if held:
-                yield found()
-
-        return base.select("id", "v").mapInArrow(run, schema)
-
-    found = reduce(DataFrame.union, [one(part) for part in range(parts)])
-    best = top_per_key(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
+                for size, mine in _by_length(batch):
+                    if size not in shared.value:  # nobody asks for vectors of this length
+                        continue
+                    for low in range(0, mine.num_rows, block_rows):
+                        piece = mine.slice(low, block_rows)
+                        while room and sum(room.values()) + piece.num_rows > block_rows:
+                            yield found(max(room, key=room.get))
+                        held.setdefault(size, []).append(piece)
+                        room[size] = room.get(size, 0) + piece.num_rows
+            for size in list(held):
+                yield found(size)
+
+        best = top_per_key(base.select("id", "v").mapInArrow(run, schema), ["query_id"], [F.desc("score"), F.asc("id")], k)
+        if parts > 1:
+            best = cut_lineage(best)
+            shared.destroy()
+        return best
+
+    best = reduce(DataFrame.union, [one(part) for part in range(parts)])
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")

@@ -118,6 +118,15 @@ def test_query_blocks_change_nothing(spark):
     assert len(set(whole) & set(parts)) >= 0.95 * len(whole)
 
 
+def test_neighbours_of_each_length(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (3, [1.0, 1.0, 1.0]), (4, [0.0, 0.0, 2.0]), (5, [9.0] * 7), (2, [5.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for blocks in ({}, {"query_rows": 1, "block_rows": 2}):
+        got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(table, F.lit(True), **blocks).collect()}
+        assert got == {(0, 1): (1, 2.0), (0, 2): (2, 1.0), (1, 1): (0, 2.0), (1, 2): (2, 2.0), (2, 1): (1, 2.0), (2, 2): (0, 1.0),
+                       (3, 1): (4, 2.0), (4, 1): (3, 2.0)}
+
+
 def test_chi_square():
     assert abs(ann.chi_square_quantile(8, 0.95) - 15.5073) < 1e-3
 
