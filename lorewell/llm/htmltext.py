@@ -3,8 +3,8 @@
 A streaming parser turns each page into lines, one per block of text, and leaves out what marks itself as
 something else (menus, footers, scripts, adverts, comments). Every line has a ratio of characters to tags; the
 ratios are smoothed over neighbouring lines, and lines above a threshold taken from the page itself are content.
-Content lines point out the regions of the page that hold the article, and a region is taken as a whole, so its
-headings and short paragraphs stay.
+Content lines point out the regions of the page that hold the article; all regions below their common ancestor are
+taken as a whole, whatever their size, so headings, short paragraphs and short sections stay. Regions made of links are not.
 """
 
 from __future__ import annotations
@@ -32,6 +32,9 @@ SIDE_WORDS = frozenset(
     "cookies disclaimer disqus footer header login masthead menu modal nav navbar navigation newsletter notice popup promo "
     "promotion related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar "
     "widget".split())
+# words that make a side word the property of a wrapper (with-sidebar), and words that own their header (entry-header)
+MODIFIERS = frozenset("with without has have no not is hide show after before under below above behind between off on beside".split())
+OWNERS = frozenset("article content entry main page post section story title text body block hentry".split())
 SIDE_ROLES = frozenset("navigation banner complementary contentinfo search form alert dialog menu".split())
 ARTICLE = frozenset(("article", "main"))
 REGIONS = frozenset("body section div td".split())
@@ -47,48 +50,75 @@ class Line:
     text: str
     tags: int
     region: int
+    linked: int = 0  # characters in links
+    doubtful: tuple[int, ...] = ()  # open elements that are side matter unless they hold most of the text
 
 
 class _Lines(HTMLParser):
-    """Collects lines; ``side`` counts the open elements that are no part of an article."""
+    """Collects lines; ``side`` counts the open elements that are no part of an article.
+
+    ``above`` has the region around each region; region 0 is the page.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int]] = []  # tag, side matter, region before it
-        self.side, self.region, self.regions, self.articles = 0, 0, 0, 0
+        self.open: list[tuple[str, bool, int, tuple[int, ...]]] = []  # tag, side matter, region and doubts before it
+        self.side, self.region, self.articles, self.links = 0, 0, 0, 0
+        self.above, self.marked = [0], set()
+        self.doubtful: tuple[int, ...] = ()
+        self.doubts = 0
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags, self.linked = 0, 0
 
     def updatepos(self, i, j):
         """Line numbers are of no use here."""
         return j
 
-    def _is_side(self, tag: str, attrs: list) -> bool:
+    def _is_side(self, tag: str, attrs: list) -> int:
+        """2 for side matter, 1 for what is called after side matter, 0 for all others."""
         if tag in SIDE_TAGS or (tag == "header" and not self.articles):
-            return True
+            return 2
+        found = 0
         for name, value in attrs:
             if name in ("class", "id") and value and tag not in ("html", "body", "article", "main"):
-                if SIDE_WORDS.intersection(_WORDS.findall(value.lower())):
-                    return True
+                found = max(found, self._side_name(value))
             elif name == "role" and value and value.strip().lower() in SIDE_ROLES:
-                return True
+                return 2
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
-        return False
+                return 2
+        return found
+
+    def _side_name(self, value: str) -> int:
+        """A name of side words only is the element's role; one with other words may be that of a wrapper."""
+        found = 0
+        names = [_WORDS.findall(x) for x in value.lower().split()]
+        for words in names:
+            side = SIDE_WORDS.intersection(words)
+            if not side or MODIFIERS.intersection(words):
+                continue
+            if side == {"header"} and (self.articles or OWNERS.intersection(words)):
+                continue
+            whole = all(w in SIDE_WORDS or w.isdigit() for w in words)
+            found = max(found, 2 if whole else 1)
+        if found and any(x and OWNERS.issuperset(x) for x in names):
+            return 1  # another of its names says that it is content
+        return found
 
     def _flush(self):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append(Line(text, self.tags, self.region))
+                self.lines.append(Line(text, self.tags, self.region, min(self.linked, len(text)), self.doubtful))
                 self.tags = 0
             self.parts = []
+            self.linked = 0
 
     def _pop(self):
-        tag, side, self.region = self.open.pop()
+        tag, side, self.region, self.doubtful = self.open.pop()
         self.side -= side
         self.articles -= tag in ARTICLE
+        self.links -= tag == "a"
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -110,12 +140,19 @@ class _Lines(HTMLParser):
                     break
                 if self.open[depth][0] not in INLINE:
                     break
-        side = self._is_side(tag, attrs)
-        self.open.append((tag, side, self.region))
+        kind = self._is_side(tag, attrs)
+        side = kind == 2
+        self.open.append((tag, side, self.region, self.doubtful))
         self.side += side
-        if tag in ARTICLE and not self.articles or tag in REGIONS and not self.articles:
-            self.regions += 1
-            self.region = self.regions
+        self.links += tag == "a"
+        if kind == 1:
+            self.doubts += 1
+            self.doubtful += (self.doubts,)
+        if (tag in ARTICLE or tag in REGIONS) and not self.articles:
+            self.above.append(self.region)
+            self.region = len(self.above) - 1
+            if tag in ARTICLE:
+                self.marked.add(self.region)
         self.articles += tag in ARTICLE
 
     def handle_startendtag(self, tag, attrs):
@@ -127,7 +164,7 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag not in INLINE:
             self._flush()
-        if any(t == tag for t, _, _ in reversed(self.open)):
+        if any(x[0] == tag for x in reversed(self.open)):
             while True:
                 last = self.open[-1][0]
                 self._pop()
@@ -137,14 +174,39 @@ class _Lines(HTMLParser):
     def handle_data(self, data):
         if not self.side:
             self.parts.append(data)
+            if self.links:
+                self.linked += len(data.strip())
 
 
-def page_lines(html: str) -> list[Line]:
+def page_lines(html: str) -> tuple[list[Line], list[int], set[int]]:
+    """The lines, the region around each region, and the regions that are marked as articles.
+
+    Doubtful elements are left out here, except those that hold more than half of the text.
+    """
     parser = _Lines()
     parser.feed(html)
     parser.close()
     parser._flush()
-    return parser.lines
+    lines = parser.lines
+    if parser.doubts:
+        held: dict[int, int] = {}
+        for line in lines:
+            for one in line.doubtful:
+                held[one] = held.get(one, 0) + len(line.text)
+        total = sum(len(x.text) for x in lines)
+        out = {one for one, n in held.items() if 2 * n <= total}
+        lines = [x for x in lines if not out.intersection(x.doubtful)]
+    return lines, parser.above, parser.marked
+
+
+def _common(regions: list[int], above: list[int]) -> int:
+    """The smallest region around all of them. A region has a larger number than the one around it."""
+    low = set(regions)
+    while len(low) > 1:
+        last = max(low)
+        low.remove(last)
+        low.add(above[last])
+    return low.pop()
 
 
 def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
@@ -155,24 +217,33 @@ def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(padded, weights / weights.sum(), "valid")
 
 
-def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5, least: float = 0.2) -> str:
+def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5, dense: float = 100.0) -> str:
     """The article's blocks in page order, joined by one blank.
 
-    A line is content if its smoothed ratio reaches ``share`` of the ratios' standard deviation. A region is taken
-    if content lines hold at least ``share`` of its characters and it holds ``least`` of the largest region's.
+    A line is content if its smoothed ratio reaches ``share`` of the ratios' standard deviation; ratios from ``dense``
+    characters a tag up are alike, so a very long line does not speak against the others. A region points to the article
+    if it is marked as one or content lines hold at least ``share`` of its characters. All regions below the common
+    ancestor of these are taken but those with most of their characters in links; a page of links alone is taken.
     """
-    lines = page_lines(html or "")
+    lines, above, marked = page_lines(html or "")
     if not lines:
         return ""
-    ratios = smooth(np.array([len(x.text) / max(1, x.tags) for x in lines]), sigma)
+    ratios = smooth(np.array([min(dense, len(x.text) / max(1, x.tags)) for x in lines]), sigma)
     content = ratios >= min(share * ratios.std(), ratios.max())
     full: dict[int, int] = {}
     good: dict[int, int] = {}
+    linked: dict[int, int] = {}
     for line, ok in zip(lines, content, strict=True):
         full[line.region] = full.get(line.region, 0) + len(line.text)
         good[line.region] = good.get(line.region, 0) + len(line.text) * bool(ok)
-    most = max(good.values())
-    taken = {r for r in full if good[r] >= share * full[r] and good[r] >= least * most}
+        linked[line.region] = linked.get(line.region, 0) + line.linked
+    plain = [r for r in full if r in marked or 2 * linked[r] <= full[r]]
+    chosen = [r for r in plain or full if r in marked or good[r] >= share * full[r]] or plain
+    top = _common(chosen, above)
+    inside = [r == top for r in range(len(above))]
+    for r in range(top + 1, len(above)):
+        inside[r] = inside[above[r]]
+    taken = {r for r in plain or full if inside[r]}
     return " ".join(x.text for x in lines if x.region in taken)
 
 

@@ -1,6 +1,7 @@
 """Edge cases of each operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -151,6 +152,23 @@ def test_pages_without_article(spark):
     assert (got[3], got[4]) == ("bare text", "ab c")
 
 
+def test_all_sections_of_pages_without_article():
+    long, menu = "many plain words of a story " * 180, "".join(f"<a href='/{k}'>link {k}</a> " for k in range(12))
+    pages = [
+        f"<section><h2>First</h2><p>{long}</p></section><section><h2>Second</h2><p>{'short tail ' * 36}</p></section>",
+        f"<body><h1>Title</h1><div><p>{long}</p></div></body>",
+        "<body>" + "".join(f"<div>Paragraph {k}. {'word ' * k}</div>" for k in range(40)) + "</body>",
+        f"<article><p>{long}</p></article><article><p>Brief.</p></article><article><p>Also brief.</p></article>",
+        f"<body><div><p>{long * 40}</p></div><div><p>Two words.</p></div><div><p>x</p></div><div><p>A last one.</p></div></body>",
+        f"<table><tr><td>{long}</td><td>Cell.</td></tr></table>",
+        f"<div class='content with-sidebar'><div class='entry-header'><h1>Title</h1></div><p>{long}</p></div>",
+        f"<article><div class='has-sidebar'><div class='header'><h1>T</h1></div><p>{long}</p></div></article>",
+        f"<div class='layout-sidebar'><p>{long}</p></div>"]
+    for page in pages:
+        whole = " ".join(re.sub("<[^>]*>", " ", page).split())
+        assert htmltext.main_text(f"<nav>{menu}</nav>{page}<div>{menu}</div><div class='site-footer'><p>(c)</p></div>") == whole
+
+
 # 4 decontamination
 
 
