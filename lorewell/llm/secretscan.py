@@ -36,7 +36,7 @@ PAIRS = ("th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es",
 _CHARS = "A-Za-z0-9+/_.\\-"
 #: The word before, how it is joined, and a long string with a digit in it or with capitals inside.
 CANDIDATE = ("(?:(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]{0,39}+)[\"']?+[ \\t]{0,4}+(:=|=>|=|:|(?<=[ \\t]))[ \\t]{0,4}+([\"'`]?+))?"
-             f"(?<![{_CHARS}])(?=[{_CHARS}]{{0,80}}?(?:[0-9]|[a-z][A-Z]))([{_CHARS}]{{{MIN_CHARS},}}+={{0,2}})")
+             f"(?<![{_CHARS}])(?=[{_CHARS}]*?(?:[0-9]|[a-z][A-Z]))([{_CHARS}]{{{MIN_CHARS},}}+={{0,2}})")
 
 FEATURES = ["chars", "transitions", "kinds", "digits", "distinct", "pairs", "coverage", "hex", "dashed", "number", "standin",
             "assigned", "quoted", "secret_word", "other_word", "test_path"]
@@ -133,8 +133,8 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, text: str = "t
          keep: list[str] | None = None) -> DataFrame:
     """One row per candidate: the ``keep`` columns, nth, word, value, score (probability of a secret) and is_secret.
 
-    Candidates are all strings of at least 16 letters, digits and ``+/_.-`` with a digit among the first 80, or a capital
-    behind a small letter, numbered in text order. The whole text is read. Null and empty texts have none; a null path
+    Candidates are all strings of at least 16 letters, digits and ``+/_.-`` with a digit or a capital behind a small
+    letter anywhere in them, numbered in text order. The whole text is read. Null and empty texts have none; a null path
     is an empty one; repeated rows and repeated candidates are all listed. ``keep`` columns named like a
     result are left out.
     """

@@ -288,6 +288,14 @@ def test_secrets_and_look_alikes(spark):
     assert secretscan.scan(docs.limit(0), model).count() == 0
 
 
+def test_secret_candidates_with_a_late_digit(spark):
+    values = ["a" * 200 + "7" + "b" * 20, "c" * 100_000 + "dE", "f" * 200]
+    docs = spark.createDataFrame([(i, f"token = {v} end") for i, v in enumerate(values)], "doc_id int, text string")
+    got = secretscan.candidates(docs, "text", None, ["doc_id"]).select("doc_id", "word", "value").collect()
+    assert sorted(map(tuple, got)) == [(0, "token", values[0]), (1, "token", values[1])]
+
+
+
 # 8 urls
 
 
