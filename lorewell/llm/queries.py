@@ -16,6 +16,7 @@ from lorewell.llm.htmltext import extract_text
 from lorewell.llm.linededup import dedup_lines
 from lorewell.llm.neardup import near_duplicates
 from lorewell.llm.packing import pack
+from lorewell.llm.simhash import simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -170,6 +171,11 @@ def op10(spark, sf):
     return near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), shingle=4)
 
 
+@query("op12_simhash_near_dedup")
+def op12(spark, sf):
+    return simhash_groups(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def load():
     """(queries, comparison SQL) of this package."""
     return QUERIES, ORACLES
