@@ -16,6 +16,8 @@ from lorewell.llm.htmltext import extract_text
 from lorewell.llm.linededup import dedup_lines
 from lorewell.llm.neardup import near_duplicates
 from lorewell.llm.packing import pack
+from lorewell.llm.phrases import collocations
+from lorewell.llm.prefixtrie import prefix_trie
 from lorewell.llm.simhash import simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,11 +173,83 @@ def op10(spark, sf):
     return near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), shingle=4)
 
 
+TRIE_SQL = """
+with ids as (
+  select distinct conv_id, conv_id - conv_id % 5 base,
+         xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(cast(conv_id as varchar), ''), lambda x: ascii(x)::bigint)),
+             lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) % 9 h
+  from conversations where conv_id is not null),
+own as (
+  select conv_id, coalesce(role, '') role, coalesce(text, '') txt,
+         row_number() over (partition by conv_id order by turn nulls first,
+                            sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) i
+  from conversations where conv_id is not null),
+rebuilt as (
+  select ids.conv_id, 0 part, i, role, txt from ids join own on own.conv_id = ids.base and i <= h
+  union all select ids.conv_id, 1, i, role, txt from ids join own on own.conv_id = ids.conv_id and i > h),
+seqs as (
+  select ids.conv_id, coalesce(list({'r': role, 't': txt} order by part, i) filter (where i is not null), []) s
+  from ids left join rebuilt using (conv_id) group by 1),
+firsts as (select conv_id, d, s[1:d] path, s[d].t last, len(s) = d ends from (select *, unnest(range(0, len(s) + 1)) d from seqs)),
+nodes as (
+  select d, path, min(conv_id) conv_id, count(*) n, case when d = 0 then 0 else octet_length(encode(any_value(last))) end bytes,
+         sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where ends), '')) ends
+  from firsts group by d, path),
+kids as (select path[1:d - 1] path, count(*) k from nodes where d > 0 group by 1),
+sized as (select nodes.*, coalesce(k, 0) k from nodes left join kids using (path)),
+subtree as (
+  select above.path, sum((below.k = 0)::int) leaves, sum((below.n - 1) * below.bytes) saved
+  from sized below, lateral (select unnest(range(0, below.d + 1)) up) u join nodes above on above.path = below.path[1:u.up] group by 1)
+select sized.conv_id, sized.d depth, parent.conv_id parent_conv_id, sized.n n_convs, sized.k n_children,
+       cast(leaves as bigint) n_leaves, cast(saved as bigint) saved_tokens, sized.ends ends_sha256
+from sized join subtree using (path) left join nodes parent on sized.d > 0 and parent.path = sized.path[1:sized.d - 1]
+"""
+
+
+@query("op11_conversation_prefix_trie", TRIE_SQL)
+def op11(spark, sf):
+    return prefix_trie(table(spark, sf, "conversations"))
+
+
 @query("op12_simhash_near_dedup")
 def op12(spark, sf):
     return simhash_groups(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+PHRASES_SQL = f"""
+with t as (
+  select coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) piece
+  from documents),
+p as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') w from t),
+i as (select lang, w, unnest(range(1, len(w) + 1)) i from p),
+f as (
+  select lang, k n, array_to_string(w[i:i + k - 1], ' ') phrase, count(*) a
+  from i, (select unnest([1, 2, 3, 4]) k) where i + k - 1 <= len(w) group by 1, 2, 3),
+c as (select lang, n, phrase, a, string_split(phrase, ' ') w from f where n > 1 and a >= 30),
+cuts as (select *, unnest(range(1, n)) k from c),
+s as (
+  select cuts.*, x.a l, y.a r, 2000000::hugeint * cuts.a // (x.a + y.a) score
+  from cuts join f x on x.lang = cuts.lang and x.n = k and x.phrase = array_to_string(w[1:k], ' ')
+  join f y on y.lang = cuts.lang and y.n = cuts.n - k and y.phrase = array_to_string(w[k + 1:cuts.n], ' ')),
+lowest as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_parts as (
+  select lang, array_to_string(w[b:e], ' ') phrase, max(a) a
+  from (select lang, w, n, a, unnest(range(1, n)) b from c where n > 2), (select unnest([2, 3, 4]) e)
+  where e > b and e <= n and e - b + 1 < n group by 1, 2),
+kept as (
+  select lowest.* from lowest left join inner_parts x using (lang, phrase)
+  where x.a is null or 100::hugeint * x.a < 80::hugeint * lowest.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from kept),
+sizes as (select lang, sum(a) words from f where n = 1 group by 1)
+select lang, rank, phrase, a, l, r, cast(words as bigint) n, cast(score as bigint) score from ranked join sizes using (lang) where rank <= 2000
+"""
+
+
+@query("op13_phrase_collocations", PHRASES_SQL)
+def op13(spark, sf):
+    return collocations(table(spark, sf, "documents"))
+
+
 def load():
     """(queries, comparison SQL) of this package."""
     return QUERIES, ORACLES
