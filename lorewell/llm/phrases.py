@@ -33,7 +33,8 @@ INSIDE = 80
 TOP = 2000
 BUDGET = 1 << 20
 FILTER_BITS = 27
-STRETCH = 1 << 20
+STRETCH = 1 << 18
+BLOCK_BYTES = 4 << 20
 
 PIECE_END = np.zeros(256, bool)
 PIECE_END[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -72,6 +73,12 @@ class Words:
         return self.data[self.starts[k]:self.ends[k]].tobytes().decode()
 
 
+def _blocks(batches):
+    """Batches of texts in blocks that bound what a task holds; no text is cut."""
+    for batch in batches:
+        yield from B.blocks(batch, "text", BLOCK_BYTES)
+
+
 def _runs(*columns: np.ndarray) -> np.ndarray:
     """Where a new combination of values begins in sorted columns."""
     new = np.ones(len(columns[0]), bool)
@@ -86,7 +93,7 @@ def count_words(docs: DataFrame, seed: int) -> DataFrame:
     """(lang, word, code, n): occurrences of every word of every language."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _blocks(batches):
             words = Words(batch, seed)
             order = np.lexsort((words.codes, words.lang))
             at = _runs(words.lang[order], words.codes[order])
@@ -211,7 +218,7 @@ def _loads_of_prefixes(docs: DataFrame, suffixes: Suffixes, size: int) -> np.nda
 
     def run(batches):
         loads = np.zeros(suffixes.slots, np.int64)
-        for batch in batches:
+        for batch in _blocks(batches):
             for words, lang, columns in suffixes.of(batch):
                 seeds = words.seeds[lang]
                 rest = suffixes.open(seeds, columns)
@@ -227,7 +234,7 @@ def _records(docs: DataFrame, suffixes: Suffixes) -> DataFrame:
     """(group, lang, prefix, records): different suffixes of a batch with their counts, packed."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _blocks(batches):
             for words, lang, columns in suffixes.of(batch):
                 seeds = words.seeds[lang]
                 key = suffixes_key(seeds, columns)
