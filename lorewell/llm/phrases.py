@@ -177,6 +177,10 @@ class Suffixes:
             prefix[rest] = size
         return group, prefix
 
+    def count(self) -> int:
+        """Number of groups."""
+        return 1 + max((int(t.max()) for t in self.groups), default=0)
+
     def add(self, loads: np.ndarray, budget: int) -> bool:
         """Give groups to the slots of one prefix length by their loads; whether some need a word more."""
         first = 1 + max((int(t.max()) for t in self.groups), default=-1)
@@ -230,6 +234,23 @@ def _loads_of_prefixes(docs: DataFrame, suffixes: Suffixes, size: int) -> np.nda
     return _collected(docs.mapInArrow(run, "slot long, n long"), suffixes.slots)
 
 
+def _pack(rows: np.ndarray, counts: np.ndarray) -> bytes:
+    """Suffixes as places in the list of their different codes, which is far shorter than the codes over and over."""
+    codes, places = np.unique(rows, return_inverse=True)
+    kind = np.uint16 if len(codes) <= 1 << 16 else np.uint32
+    sizes = np.array([len(codes), len(rows), np.dtype(kind).itemsize], np.int64)
+    return sizes.tobytes() + codes.tobytes() + counts.astype(np.uint32).tobytes() + places.astype(kind).tobytes()
+
+
+def _unpack(packed: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of the suffixes by row, counts)."""
+    count, rows, size = np.frombuffer(packed, np.int64, 3).tolist()
+    codes = np.frombuffer(packed, U64, count, 24)
+    counts = np.frombuffer(packed, np.uint32, rows, 24 + 8 * count).astype(np.int64)
+    places = np.frombuffer(packed, np.uint16 if size == 2 else np.uint32, rows * LONGEST, 24 + 8 * count + 4 * rows)
+    return codes[places].reshape(rows, LONGEST), counts
+
+
 def _records(docs: DataFrame, suffixes: Suffixes) -> DataFrame:
     """(group, lang, prefix, records): different suffixes of a batch with their counts, packed."""
 
@@ -245,14 +266,14 @@ def _records(docs: DataFrame, suffixes: Suffixes) -> DataFrame:
                 columns, lang = [c[at] for c in columns], lang[at]
                 group, prefix = suffixes.group(words.seeds[lang], columns)
                 order = np.lexsort((lang, group))
-                packed = np.stack([*columns, counts.astype(U64)], axis=1)[order]
-                group, prefix, lang = group[order], prefix[order], lang[order]
+                rows = np.stack(columns, axis=1)[order]
+                group, prefix, lang, counts = group[order], prefix[order], lang[order], counts[order]
                 at = _runs(group, lang)
-                ends = np.append(at, len(group)) * packed.shape[1] * 8
-                binary = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(packed)])
+                ends = np.append(at[1:], len(group)) if len(at) else at
+                packed = [_pack(rows[a:b], counts[a:b]) for a, b in zip(at, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(group[at]), pa.array([words.names[k] for k in lang[at]], pa.string()), pa.array(prefix[at]), binary],
-                    ["group", "lang", "prefix", "records"])
+                    pa.array(group[at]), pa.array([words.names[k] for k in lang[at]], pa.string()), pa.array(prefix[at]),
+                    pa.array(packed, pa.binary())], ["group", "lang", "prefix", "records"])
 
     return docs.mapInArrow(run, "group long, lang string, prefix long, records binary")
 
@@ -269,10 +290,12 @@ def _subtree(least: int):
 
     def run(group: pa.Table) -> pa.Table:
         lang, prefix = group.column("lang")[0].as_py(), group.column("prefix")[0].as_py()
-        rows = np.concatenate([np.frombuffer(r.as_buffer(), U64).reshape(-1, LONGEST + 1) for c in group.column("records").chunks for r in c])
-        rows = rows[np.lexsort([rows[:, k] for k in range(LONGEST - 1, -1, -1)])]
+        parts = [_unpack(r.as_buffer()) for c in group.column("records").chunks for r in c]
+        rows, counts = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        order = np.lexsort([rows[:, k] for k in range(LONGEST - 1, -1, -1)])
+        rows = rows[order]
         leaves = _runs(*[rows[:, k] for k in range(LONGEST)])
-        totals = np.add.reduceat(rows[:, LONGEST].astype(np.int64), leaves)
+        totals = np.add.reduceat(counts[order], leaves)
         rows = rows[leaves]
         out = []
         for depth in range(2, LONGEST + 1):
@@ -312,11 +335,27 @@ def frequent_nodes(docs: DataFrame, least: int, budget: int) -> tuple[DataFrame,
             unfinished = suffixes.add(_loads_of_prefixes(docs, suffixes, size), budget)
     fields = [T.StructField("lang", T.StringType()), *[T.StructField(c, T.LongType()) for c in (*CODES, "size", "a")],
               T.StructField("whole", T.BooleanType())]
-    nodes = cut_lineage(_records(docs, suffixes).groupBy("group", "lang").applyInArrow(_subtree(least), T.StructType(fields)))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), suffixes.count())
+    records = _records(docs, suffixes).repartition(tasks, "group")  # a task has about one group, however many there are
+    nodes = cut_lineage(records.groupBy("group", "lang").applyInArrow(_subtree(least), T.StructType(fields)))
     parts = nodes.where("not whole").groupBy("lang", *CODES, "size").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
     return frequent, cut_lineage(nodes.where("whole").drop("whole").unionByName(parts)), per_lang
 
 
+def _reachable(scored: DataFrame, top: int) -> DataFrame:
+    """Without the candidates that stand behind ``top`` better ones of their language by their step of 1,000 points.
+
+    Steps are counted, at most 1,001 for each language, so no language has to be ranked as a whole.
+    """
+    step = F.floor(F.col("cut.score") / 1000)
+    steps = scored.groupBy("lang", step.alias("step")).agg(F.count("*").alias("n"))
+    better = Window.partitionBy("lang").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.withColumn("ahead", F.coalesce(F.sum("n").over(better), F.lit(0)))
+    lowest = steps.groupBy("lang").agg(F.min(F.when(F.col("ahead") < top, F.col("step"))).alias("lowest"), F.sum("n").alias("weight"))
+    reached = meet(scored, lowest, ["lang"], "weight", scored.count())
+    return reached.where(step >= F.col("lowest")).drop("lowest")
+
+
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, inside: int = INSIDE, top: int = TOP,
                  budget: int = BUDGET) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first ``top`` phrases of each language.
@@ -366,8 +405,9 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     kept = scored.join(longer, key, "left").where(
         f"within is null or cast(within as decimal(19,0)) * 100 < cast(a as decimal(19,0)) * {inside}")
 
+    kept = _reachable(cut_lineage(kept.drop("within")), top)
     best = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"))
-    kept = cut_lineage(kept.withColumn("place", F.rank().over(best)).where(F.col("place") <= top).drop("place", "within"))
+    kept = cut_lineage(kept.withColumn("place", F.rank().over(best)).where(F.col("place") <= top).drop("place"))
     named = kept.select(*key, "size", F.posexplode(F.slice(F.array(*CODES), 1, F.col("size").cast("int"))).alias("pos", "code"))
     named = named.join(frequent.select("lang", "code", "word"), ["lang", "code"]).groupBy(*key).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda w: w["word"]), " ").alias("phrase"))
