@@ -32,6 +32,9 @@ FOLDS = 9
 FAMILY = 5
 SEGMENT = 1 << 16
 BUDGET = 200_000
+#: A shard has at most this part of all turns too, so that no task stands out; fewer than LEAST_BUDGET are always left together.
+BALANCE = 256
+LEAST_BUDGET = 256
 SLICE = 1024
 TRIES = 64
 
@@ -193,12 +196,13 @@ def _shard_nodes(offset: int):
 def _sharded(entries: DataFrame, budget: int) -> DataFrame:
     """Entries with the length of their shard's beginning (``prefix``) and their ``bucket``.
 
-    Beginnings with more than ``budget`` turns after them are doubled in length; there are at most all turns / budget
-    of those, which are broadcast.
+    Beginnings with more than ``budget`` turns after them, or more than one turn in ``BALANCE``, are doubled in length; there
+    are at most all turns / budget and ``BALANCE`` of those, which are broadcast.
     """
     session = entries.sparkSession
     weight = F.size("turns") + F.lit(1)
     total = entries.agg(F.sum(weight)).first()[0] or 0
+    budget = min(budget, max(LEAST_BUDGET, total // BALANCE))
     buckets = max(-(-4 * total // budget), int(session.conf.get("spark.sql.shuffle.partitions")))
     done, rest, prefix = None, entries, 1
     while True:
