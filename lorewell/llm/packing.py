@@ -11,6 +11,7 @@ by their rank among the pieces of equal length, counted in slices so that no len
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -36,6 +37,10 @@ LEANINGS = (1.0, 0.1, 0.0)
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Runs of blanks from here on need more stack than the faster library has.
+LONG_BLANK = re.compile(r"\s{20000}")
+
+
 def _byte_letters() -> dict[str, int]:
     """The printable stand-in of each byte in a byte-level vocabulary file."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -47,7 +52,7 @@ class Encoder:
     """Token ids of texts, exactly those of the vocabulary file's own library.
 
     A byte-level vocabulary whose ids follow its merges is run by the faster of the installed libraries; any other
-    file, and any text that holds one of the file's added tokens, goes through the file's own.
+    file, and any text that holds one of the file's added tokens or a very long run of blanks, goes through the file's own.
     """
 
     def __init__(self, path: str):
@@ -75,9 +80,14 @@ class Encoder:
         return tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is None or any(a in text for a in self.added):
-            return self.own.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+        if self.fast is not None and not any(a in text for a in self.added) and not LONG_BLANK.search(text):
+            try:
+                return self.fast.encode_ordinary(text)
+            except (KeyboardInterrupt, SystemExit, GeneratorExit):
+                raise
+            except BaseException:  # its failures are no Exceptions; the file's own library has no such limits
+                pass
+        return self.own.encode(text, add_special_tokens=False).ids
 
 
 @lru_cache(maxsize=2)
