@@ -3,8 +3,10 @@
 A streaming parser turns each page into lines, one per block of text, and leaves out what marks itself as
 something else (menus, footers, scripts, adverts, comments). Every line has a ratio of characters to tags; the
 ratios are smoothed over neighbouring lines, and lines above a threshold taken from the page itself are content.
-Content lines point out the regions of the page that hold the article; all regions below their common ancestor are
-taken as a whole, whatever their size, so headings, short paragraphs and short sections stay. Regions made of links are not.
+Where a page marks its article, that is taken, with the headings right before it. Elsewhere content lines point out the
+regions that hold the article; all regions below their common ancestor are taken as a whole, whatever their size, so
+headings, short paragraphs and short sections stay. Regions made of links are not. Reader comments and legal notices
+are left out whatever their share of the page.
 """
 
 from __future__ import annotations
@@ -29,14 +31,18 @@ SIDE_TAGS = frozenset(
     "audio video menu dialog".split())
 SIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
-    "cookies disclaimer disqus footer header login masthead menu modal nav navbar navigation newsletter notice popup promo "
-    "promotion related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar "
-    "widget".split())
+    "cookies copyright disclaimer disqus footer gdpr header impressum imprint legal login masthead menu modal nav navbar "
+    "navigation newsletter notice notices popup privacy promo promotion related reply replies respond search share sharing "
+    "sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+# words of elements that are never part of an article, however much text they hold
+NEVER = frozenset("comment comments disqus replies respond copyright gdpr impressum imprint legal".split())
 # words that make a side word the property of a wrapper (with-sidebar), and words that own their header (entry-header)
-MODIFIERS = frozenset("with without has have no not is hide show after before under below above behind between off on beside".split())
+MODIFIERS = frozenset("with without has have no not is hide show after before under below above behind between off on beside "
+                      "open closed enabled disabled allow allowed".split())
 OWNERS = frozenset("article content entry main page post section story title text body block hentry".split())
 SIDE_ROLES = frozenset("navigation banner complementary contentinfo search form alert dialog menu".split())
 ARTICLE = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 REGIONS = frozenset("body section div td".split())
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main "
                             "nav ol p pre section table ul".split()),
@@ -51,23 +57,27 @@ class Line:
     tags: int
     region: int
     linked: int = 0  # characters in links
-    doubtful: tuple[int, ...] = ()  # open elements that are side matter unless they hold most of the text
+    doubt: int = 0  # the innermost open element that is side matter unless it holds most of the text; 0 for none
+    heading: bool = False
 
 
 class _Lines(HTMLParser):
     """Collects lines; ``side`` counts the open elements that are no part of an article.
 
-    ``above`` has the region around each region; region 0 is the page.
+    ``above`` has the region around each region; region 0 is the page. ``doubts`` has the doubtful element around each
+    doubtful element. Every tag costs the same, however deep the page is nested.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int, tuple[int, ...]]] = []  # tag, side matter, region and doubts before it
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, side matter, region and doubt before it
+        self.count: dict[str, int] = {}  # open elements by tag
+        self.blocks: list[int] = []  # places of the open elements that are not inline
         self.side, self.region, self.articles, self.links = 0, 0, 0, 0
         self.above, self.marked = [0], set()
-        self.doubtful: tuple[int, ...] = ()
-        self.doubts = 0
+        self.doubt, self.doubts = 0, [0]
+        self.headings = 0
         self.parts: list[str] = []
         self.tags, self.linked = 0, 0
 
@@ -99,6 +109,8 @@ class _Lines(HTMLParser):
                 continue
             if side == {"header"} and (self.articles or OWNERS.intersection(words)):
                 continue
+            if NEVER.intersection(words):
+                return 2
             whole = all(w in SIDE_WORDS or w.isdigit() for w in words)
             found = max(found, 2 if whole else 1)
         if found and any(x and OWNERS.issuperset(x) for x in names):
@@ -109,14 +121,18 @@ class _Lines(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append(Line(text, self.tags, self.region, min(self.linked, len(text)), self.doubtful))
+                self.lines.append(Line(text, self.tags, self.region, min(self.linked, len(text)), self.doubt, self.headings > 0))
                 self.tags = 0
             self.parts = []
             self.linked = 0
 
     def _pop(self):
-        tag, side, self.region, self.doubtful = self.open.pop()
+        tag, side, self.region, self.doubt = self.open.pop()
+        self.count[tag] -= 1
+        if self.blocks and self.blocks[-1] == len(self.open):
+            self.blocks.pop()
         self.side -= side
+        self.headings -= tag in HEADINGS
         self.articles -= tag in ARTICLE
         self.links -= tag == "a"
 
@@ -133,21 +149,22 @@ class _Lines(HTMLParser):
             self._pop()
         if tag in CLOSED_BY["p"] and not self.side:
             # an open paragraph ends here, with whatever inline elements it left open
-            for depth in range(len(self.open) - 1, -1, -1):
-                if self.open[depth][0] == "p":
-                    while len(self.open) > depth:
-                        self._pop()
-                    break
-                if self.open[depth][0] not in INLINE:
-                    break
+            if self.blocks and self.open[self.blocks[-1]][0] == "p":
+                last = self.blocks[-1]
+                while len(self.open) > last:
+                    self._pop()
         kind = self._is_side(tag, attrs)
         side = kind == 2
-        self.open.append((tag, side, self.region, self.doubtful))
+        if tag not in INLINE:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, side, self.region, self.doubt))
+        self.count[tag] = self.count.get(tag, 0) + 1
         self.side += side
         self.links += tag == "a"
+        self.headings += tag in HEADINGS
         if kind == 1:
-            self.doubts += 1
-            self.doubtful += (self.doubts,)
+            self.doubts.append(self.doubt)
+            self.doubt = len(self.doubts) - 1
         if (tag in ARTICLE or tag in REGIONS) and not self.articles:
             self.above.append(self.region)
             self.region = len(self.above) - 1
@@ -164,7 +181,7 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag not in INLINE:
             self._flush()
-        if any(x[0] == tag for x in reversed(self.open)):
+        if self.count.get(tag):
             while True:
                 last = self.open[-1][0]
                 self._pop()
@@ -187,15 +204,18 @@ def page_lines(html: str) -> tuple[list[Line], list[int], set[int]]:
     parser.feed(html)
     parser.close()
     parser._flush()
-    lines = parser.lines
-    if parser.doubts:
-        held: dict[int, int] = {}
+    lines, around = parser.lines, parser.doubts
+    if len(around) > 1:
+        held = [0] * len(around)
         for line in lines:
-            for one in line.doubtful:
-                held[one] = held.get(one, 0) + len(line.text)
-        total = sum(len(x.text) for x in lines)
-        out = {one for one, n in held.items() if 2 * n <= total}
-        lines = [x for x in lines if not out.intersection(x.doubtful)]
+            held[line.doubt] += len(line.text)
+        total = sum(held)
+        for one in range(len(around) - 1, 0, -1):  # an element has a larger number than the one around it
+            held[around[one]] += held[one]
+        out = [False] * len(around)
+        for one in range(1, len(around)):
+            out[one] = out[around[one]] or 2 * held[one] <= total
+        lines = [x for x in lines if not out[x.doubt]]
     return lines, parser.above, parser.marked
 
 
@@ -222,12 +242,20 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5, dense: f
 
     A line is content if its smoothed ratio reaches ``share`` of the ratios' standard deviation; ratios from ``dense``
     characters a tag up are alike, so a very long line does not speak against the others. A region points to the article
-    if it is marked as one or content lines hold at least ``share`` of its characters. All regions below the common
-    ancestor of these are taken but those with most of their characters in links; a page of links alone is taken.
+    if content lines hold at least ``share`` of its characters. All regions below the common ancestor of these are taken
+    but those with most of their characters in links; a page of links alone is taken. Where regions marked as articles
+    hold text, they alone are taken, and the headings that stand right before them in the region around them.
     """
     lines, above, marked = page_lines(html or "")
     if not lines:
         return ""
+    if any(x.region in marked for x in lines):
+        taken = [x.region in marked for x in lines]
+        for n in range(len(lines) - 2, -1, -1):
+            follows = lines[n + 1]
+            if lines[n].heading and taken[n + 1] and lines[n].region in (above[follows.region], follows.region):
+                taken[n] = True
+        return " ".join(x.text for x, ok in zip(lines, taken, strict=True) if ok)
     ratios = smooth(np.array([min(dense, len(x.text) / max(1, x.tags)) for x in lines]), sigma)
     content = ratios >= min(share * ratios.std(), ratios.max())
     full: dict[int, int] = {}
@@ -237,8 +265,8 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5, dense: f
         full[line.region] = full.get(line.region, 0) + len(line.text)
         good[line.region] = good.get(line.region, 0) + len(line.text) * bool(ok)
         linked[line.region] = linked.get(line.region, 0) + line.linked
-    plain = [r for r in full if r in marked or 2 * linked[r] <= full[r]]
-    chosen = [r for r in plain or full if r in marked or good[r] >= share * full[r]] or plain
+    plain = [r for r in full if 2 * linked[r] <= full[r]]
+    chosen = [r for r in plain or full if good[r] >= share * full[r]] or plain
     top = _common(chosen, above)
     inside = [r == top for r in range(len(above))]
     for r in range(top + 1, len(above)):

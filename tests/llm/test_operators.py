@@ -384,3 +384,59 @@ def test_near_duplicates_of_odd_rows(make_docs):
 def test_fewest_matches_bounds_the_miss():
     least = neardup.fewest_matches(128, 0.8, 1e-9)
     assert 60 < least < 90 and neardup.fewest_matches(128, 0.8, 1e-3) > least
+
+
+# odd texts and markup at length
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" + " \t" * 1_000_000 + "b", "x" * 2_000_000])
+def test_very_long_runs_are_encoded(text):
+    encoder = packing.encoder(tokenizer_file())
+    ids = encoder.ids(text)
+    assert ids == encoder.own.encode(text, add_special_tokens=False).ids
+
+
+def test_pack_takes_very_long_runs(spark, make_docs):
+    docs = make_docs([(1, " " * 2_000_000), (2, "\n" * 2_000_000), (3, "x" * 2_000_000), (4, "short")])
+    rows = packing.pack(docs, tokenizer_file()).collect()
+    assert {r.doc_id for r in rows} == {1, 2, 3, 4} and max(r.length for r in rows) <= 2048
+
+
+STORY = "<p>The first sentence of the story is long enough to count. The second one follows it, and it is long too.</p><p>Third.</p>"
+OUTSIDE = "Words outside of the story are many, and they go on for quite a while. " * 12
+
+
+@pytest.mark.parametrize("story", ["<article>%s</article>", "<div class='post'>%s</div>", "<main>%s</main>", "<div>%s</div>"])
+@pytest.mark.parametrize("side", [
+    "<div class='comment-list'><p>%s</p></div>", "<div class='user-comments'><div><p>%s</p></div></div>", "<div class='legal'><p>%s</p></div>",
+    "<div id='imprint'>%s</div>", "<section class='post-comments'>%s</section>"])
+def test_comments_and_notices_never_come_back(story, side):
+    text = htmltext.main_text(f"<html><body><h1>Title</h1>{story % STORY}{side % OUTSIDE}</body></html>")
+    assert text == "Title The first sentence of the story is long enough to count. The second one follows it, and it is long too. Third."
+
+
+def test_wrappers_named_after_comments_keep_their_article():
+    page = f"<body><div class='has-comments'><div class='comments-open'>{STORY}</div></div></body>"
+    assert htmltext.main_text(page).endswith("Third.")
+
+
+def test_only_marked_regions_and_their_heading():
+    page = f"<body><h2>Elsewhere</h2><div>{OUTSIDE}</div><h1>Title</h1><article>{STORY}</article><article><p>More.</p></article><p>After.</p></body>"
+    text = htmltext.main_text(page)
+    assert text.startswith("Title The first") and text.endswith("Third. More.")
+
+
+def test_ratios_decide_in_unmarked_regions():
+    links = "<div>" + "".join(f"<a href='{i}'>Link {i}</a> " for i in range(60)) + "</div>"
+    page = f"<body>{links}<div>{STORY * 5}</div>{links}</body>"
+    assert "Link" not in htmltext.main_text(page)
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "p", "article", "div class='ad-box'", "div class='comment-list'", "section class='promo-x'"])
+def test_deep_markup_takes_seconds(tag):
+    import time
+
+    start = time.perf_counter()
+    htmltext.main_text(f"<{tag}>" * 50_000 + "words" + "</span>" * 50_000)
+    htmltext.main_text(f"<p>{'<b>' * 20_000}" + "<div>x</div>" * 20_000)
+    assert time.perf_counter() - start < 20

@@ -59,3 +59,25 @@ def test_no_known_language(spark):
 def test_sample_of_every_language(spark):
     rows = spark.range(1200).selectExpr("id", "concat('language', id) lang").union(spark.sql("select -1L, cast(null as string)"))
     assert batches.hash_sample(rows, ["id"], 3, "lang").count() == 1200
+
+
+def test_columns_of_any_name_pass_through(spark):
+    text = "these are some words of a plain sentence that says little number "
+    rows = [(i, text + str(i), "en", i / 7, f"lang{i}", f"lines{i}", f"items {i}", i, True, f"n{i}") for i in range(40)]
+    rows += [(50, None, "en", 0.5, "x", "y", "z", 1, False, None), (51, "", None, 0.5, "x", "y", "z", 1, False, None)]
+    names = "doc_id long, text string, lang string, score double, lang_pred string, n_lines string, items string, __row int, contaminated boolean, kept string"
+    docs = spark.createDataFrame(rows, names)
+    want = {r[0]: r for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, SF)
+        assert docs.dtypes == spark.createDataFrame([], names).dtypes, name
+        for r in docs.collect():
+            assert (r[0], *r[2:]) == (want[r.doc_id][0], *want[r.doc_id][2:]), name
+    assert spark.createDataFrame([], names).count() == 0
+
+
+def test_empty_table_passes_every_stage(spark, make_docs):
+    docs = make_docs([])
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0
