@@ -1,140 +1,55 @@
 """Keyword rules as data.
 
-Every rule set is an ordered list of ``(category, keywords)``. ``{name}`` in a keyword stands
+The shipped lists, rules and steps are JSON files in ``lorewell/rules``; a folder with files of the same names takes
+their place (``load_rules``). A rule set is an ordered list of ``(category, keywords)``. ``{name}`` in a keyword stands
 for the short name of the institution; such keywords are left out when no name is given.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import pkgutil
+from dataclasses import dataclass
+
 RuleSet = list[tuple[str, list[str]]]
 
 
-def _words(text: str) -> list[str]:
-    return text.split()
-
-
-# Category codes and the labels shown for them.
-CATEGORIES = ("NEW_STUDENT", "ACADEMIC", "LIFE", "MAJOR", "CAREER", "SCHOOL_OVERVIEW", "ORGANIZATION", "RESEARCH")
-CATEGORY_LABELS = {
-    "NEW_STUDENT": "新生指南", "ACADEMIC": "教务规则", "LIFE": "校园生活", "MAJOR": "专业培养",
-    "CAREER": "就业发展", "SCHOOL_OVERVIEW": "学校概况", "ORGANIZATION": "组织机构", "RESEARCH": "科研学术",
-}
-STATIC_CATEGORIES = ("SCHOOL_OVERVIEW", "ORGANIZATION", "RESEARCH")
-
-# Signals of past events and of things a student has to do.
-PAST_EVENT_SIGNALS = _words(
-    "成功举办 顺利举办 圆满举行 举办 举行 开展 召开会议 领导调研 走访调研 主题党日 党支部 党总支 "
-    "师德大讲堂 教职工 荣获 喜报 获奖 媒体报道")
-STUDENT_ACTION_SIGNALS = _words(
-    "申请 报名 办理 选课 考试 补考 缓考 重修 转专业 培养方案 培养计划 学籍 成绩复核 奖学金 助学金 困难认定 "
-    "勤工助学 住宿申请 宿舍报修 借阅规则 推免 招生简章 实施细则 管理办法 办事流程 材料清单 截止时间")
-
-# Rules for crawled pages.
-PAGE_TITLE_RULES: RuleSet = [
-    ("ORGANIZATION", _words("党政群部门 教学机构 科研机构 直属单位 基层党的组织 基层党组织 独立学院 组织机构 内设机构")),
-    ("SCHOOL_OVERVIEW", _words(
-        "学校简介 学校章程 {name}精神 校标校训 校标 校训 {name}校史 学校历史 校史 校歌 现任领导 校区地图 校园景观 "
-        "校园景色 校园风光")),
-    ("RESEARCH", _words("学科建设 科研平台 重点实验室 研究中心 学术刊物 科研成果 学术讲座 学术报告 科学研究")),
-]
-PAGE_EVERGREEN_RULES: RuleSet = [
-    ("ORGANIZATION", _words(
-        "党政群部门 教学机构 科研机构 直属单位 基层党的组织 基层党组织 独立学院 组织机构 内设机构 部门简介 单位简介 "
-        "部门职责 单位职责 工作职责 机构设置")),
-    ("SCHOOL_OVERVIEW", _words(
-        "学校简介 学校章程 {name}精神 校标校训 校标 校训 {name}校史 学校历史 校史 校歌 现任领导 校区地图 校园景观 "
-        "校园景色 校园风光")),
-    ("RESEARCH", _words("学科建设 科研平台 重点实验室 研究中心 实验室简介 科研中心简介 科研成果 科学研究")),
-]
-PAGE_RULES: RuleSet = [
-    ("ORGANIZATION", _words(
-        "党政群部门 教学机构 科研机构 直属单位 基层党的组织 基层党组织 独立学院 部门职责 单位职责 工作职责 机构设置")),
-    ("SCHOOL_OVERVIEW", _words("学校简介 学校章程 {name}精神 校标校训 校史沿革 现任领导 校区地图 校园景观")),
-    ("RESEARCH", _words("学科建设 科研平台 重点实验室 研究中心 学术刊物 科研成果 学术讲座 学术报告")),
-    ("NEW_STUDENT", _words("新生 入学 报到 迎新 军训 校园卡 新生手册")),
-    ("ACADEMIC", _words(
-        "选课 考试 补考 缓考 重修 转专业 培养方案 培养计划 培养管理 学分 校历 学籍 成绩 课程 教务 竞赛 办事指南")),
-    ("LIFE", _words("图书馆 食堂 宿舍 快递 校园服务 校园网 后勤 医疗 保卫 借阅 开放时间")),
-    ("MAJOR", _words("专业介绍 学院介绍 学院简介 学院概况 培养方向 培养层次 专业方向 本科专业 专业设置 课程体系")),
-    ("CAREER", _words("就业 招聘 考研 升学 推免 职业发展")),
-]
-
-# Rules for uploaded files.
-UPLOAD_CURRICULUM_TITLES = _words(
-    "本科人才培养方案 专业人才培养方案 本科专业培养方案 专业培养计划 培养方案 专业教学进程计划 专业课程设置安排表")
-UPLOAD_ACADEMIC_TITLES = _words(
-    "转专业 学籍 选课 考试 补考 重修 成绩 绩点 校历 教务 培养管理 创新创业竞赛 竞赛项目认定 竞赛分类目录 管理办法 "
-    "管理规定 管理细则 实施细则 办事指南")
-UPLOAD_ACADEMIC_NOTICES = _words("转专业通知 选课通知 考试通知 补考通知 学籍通知 成绩通知 教务通知")
-UPLOAD_TITLE_RULES: RuleSet = [
-    ("ORGANIZATION", _words(
-        "党政群部门 教学机构 科研机构 直属单位 基层党的组织 基层党组织 独立学院 组织机构 内设机构 部门简介 单位简介 "
-        "部门职责 单位职责 工作职责 机构设置")),
-    ("SCHOOL_OVERVIEW", _words(
-        "学校简介 学校章程 {name}精神 校标校训 校训 校史 校歌 现任领导 校区地图 校园景观 校园景色 校园风光")),
-    ("RESEARCH", _words(
-        "学科建设 科研平台 重点实验室 研究中心 学术刊物 科研成果 学术讲座 学术报告 实验室简介 研究中心简介 "
-        "科研中心简介 科研平台简介 学科简介")),
-]
-UPLOAD_RULES: RuleSet = [
-    ("ORGANIZATION", _words("党政群部门 教学机构 科研机构 直属单位 基层党组织 独立学院 部门职责 单位职责 工作职责 机构设置")),
-    ("SCHOOL_OVERVIEW", _words(
-        "学校简介 学校章程 {name}精神 校标校训 校史沿革 现任领导 校区地图 校园景观 校园景色 校园风光")),
-    ("RESEARCH", _words("学科建设 科研平台 重点实验室 研究中心 学术刊物 科研成果 学术讲座 学术报告")),
-    ("NEW_STUDENT", _words("新生 入学 报到 迎新 军训 校园卡")),
-    ("ACADEMIC", _words("转专业 选课 考试 补考 重修 学分 绩点 校历 教务 课程 成绩 培养管理 办事指南")),
-    ("LIFE", _words("图书馆 食堂 宿舍 快递 校园网 后勤 医疗 保卫 生活 借阅 开放时间")),
-    ("CAREER", _words("就业 招聘 考研 升学 推免 职业")),
-    ("MAJOR", _words(
-        "专业 培养方案 培养方向 通信工程 计算机 软件工程 课程规划 学院简介 学院概况 学院介绍 培养层次 本科专业 专业设置 "
-        "课程体系")),
-]
-
-# Rules for questions.
-QUESTION_RULES: RuleSet = [
-    ("SCHOOL_OVERVIEW", _words(
-        "学校简介 {name}简介 学校章程 {name}精神 校训 校标 校徽 校史 校歌 现任领导 校长是谁 书记是谁 校区地图 几个校区 "
-        "校区地址 校园景观")),
-    ("ORGANIZATION", _words(
-        "组织机构 内设机构 党政群部门 教学机构 科研机构 直属单位 基层党组织 独立学院 学院设置 有哪些学院 哪些部门 部门职责")),
-    ("RESEARCH", _words("科学研究 学科建设 科研平台 重点实验室 研究中心 学术刊物 科研成果 学术讲座 学术报告 科研")),
-    ("NEW_STUDENT", _words("新生 入学 报到 迎新 军训 校园卡")),
-    ("ACADEMIC", _words("选课 考试 补考 重修 转专业 学分 绩点 校历 教务 课程 成绩 竞赛 创新创业")),
-    ("LIFE", _words("图书馆 食堂 宿舍 快递 校园网 后勤 医疗 保卫 生活 早锻炼 晨跑")),
-    ("CAREER", _words("就业 招聘 考研 升学 推免 职业")),
-    ("MAJOR", _words("专业 培养方案 培养方向 通信工程 计算机 软件工程 课程规划")),
-]
-
-# Pages that stay true over the years are known by a title and a context word.
-LIBRARY_TITLES = _words("本馆简介 馆情介绍 馆情简介 图书馆概况 图书馆简介 借阅与开放服务 图书馆开放时间")
-LIBRARY_CONTEXT = _words("图书馆 馆藏 借阅")
-LIBRARY_NOTE = "图书馆上下文"
-RESEARCH_TITLES = _words("实验室简介 研究中心简介 科研中心简介 科研平台简介 学科简介")
-RESEARCH_CONTEXT = _words("科研 研究 实验室 学科 平台")
-COLLEGE_TITLES = _words("学院简介 学院概况 学院介绍 院情简介 院情概况")
-COLLEGE_CONTEXT = _words("本科专业 专业设置 人才培养 培养层次 本科生 硕士点 博士点")
-UNIT_TITLES = _words("部门简介 单位简介 部门职责 单位职责 工作职责 机构设置 组织机构 内设机构")
-SERVICE_TITLES = _words("办事指南 服务指南 借阅规则 开放时间")
-SERVICE_LIFE_CONTEXT = _words("图书馆 借阅 食堂 宿舍 校园网 后勤 医疗 保卫")
-SERVICE_ACADEMIC_CONTEXT = _words("学籍 考试 选课 转专业 成绩 学分 教务 培养管理")
-
-# How the catalog page labels rows; scholarship comes before the stored category.
-SCHOLARSHIP_LABEL = ("奖学金|资助", "奖学金")
-CATALOG_LABEL_PATTERNS = [
-    ("学校简介|学校章程|{name}精神|校标|校训|校史|校歌|现任领导|校区地图|校园景观|校园景色|校园风光", "学校概况"),
-    ("党政群部门|教学机构|科研机构|直属单位|基层党组织|独立学院|组织机构", "组织机构"),
-    ("学科建设|科研平台|重点实验室|研究中心|学术刊物|科研成果|学术讲座|学术报告", "科研学术"),
-    ("新生|报到|军训", "新生指南"),
-    ("培养方案|学院|专业", "专业培养"),
-    ("图书馆|宿舍|食堂|校园", "校园生活"),
-]
-DEFAULT_CATALOG_LABEL = "教务规则"
-
-
-def named(rules: RuleSet, name: str | None) -> RuleSet:
-    """Fill in the institution's short name, or drop the keywords that need it."""
-    return [(category, named_words(words, name)) for category, words in rules]
+@dataclass(frozen=True)
+class Rules:
+    """``keywords``: lists and rule sets by name; ``page`` and ``upload``: the steps that classify pages and files."""
+
+    keywords: dict
+    page: dict
+    upload: dict
+
+    def words(self, names: str | list[str], institution: str | None = None) -> list[str]:
+        """The keywords of one list, or of several one after the other."""
+        names = [names] if isinstance(names, str) else names
+        return named_words([w for n in names for w in self.keywords[n]], institution)
+
+    def rules(self, name: str, institution: str | None = None) -> RuleSet:
+        return [(r["category"], named_words(r["any"], institution)) for r in self.keywords[name]]
+
+
+def load_rules(folder: str | None = None) -> Rules:
+    """The rules in a folder; files that it lacks, and all without a folder, are the shipped ones."""
+    def read(name: str) -> dict:
+        path = folder and os.path.join(folder, f"{name}.json")
+        if path and os.path.exists(path):
+            with open(path, encoding="utf-8") as file:
+                return json.load(file)
+        return json.loads(pkgutil.get_data("lorewell", f"rules/{name}.json"))
+
+    return Rules(read("keywords"), read("page"), read("upload"))
 
 
 def named_words(words: list[str], name: str | None) -> list[str]:
+    """Fill in the institution's short name, or drop the keywords that need it."""
     return [w.replace("{name}", name or "") for w in words if name or "{name}" not in w]
+
+
+SHIPPED = load_rules()
+CATEGORIES = tuple(SHIPPED.keywords["categories"])
+CATEGORY_LABELS = SHIPPED.keywords["category_labels"]
+STATIC_CATEGORIES = tuple(SHIPPED.keywords["static_categories"])

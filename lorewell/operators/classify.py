@@ -1,7 +1,7 @@
 """Keyword classification of pages, uploads, links and catalog rows.
 
-Rule sets are small, so they become literal arrays and the work stays in one narrow stage. Tables of
-keywords of any size are matched by one multi-pattern pass over the texts (``keyword_matches``).
+Rule files are small: their keywords become literal arrays and their steps column expressions, and the work stays in
+one narrow stage. Tables of keywords of any size are matched by one multi-pattern pass over the texts (``keyword_matches``).
 """
 
 from __future__ import annotations
@@ -68,58 +68,62 @@ def classify_scored(text: Column, rules: R.RuleSet) -> Column:
     ).otherwise(_verdict(None, "UNKNOWN", 0.55, F.array().cast("array<string>"))))[0]
 
 
-def _evergreen_common(title: Column, corpus: Column, library_context: Column) -> list[Column]:
-    found = lambda words: contains_any(title, words)
-    library = F.when(found(R.LIBRARY_TITLES) & library_context, _verdict(
-        "LIFE", "EVERGREEN_STATIC", 0.98,
-        F.concat(match_signals(title, R.LIBRARY_TITLES), F.array(F.lit(R.LIBRARY_NOTE)))))
-    research = F.when(found(R.RESEARCH_TITLES) & contains_any(corpus, R.RESEARCH_CONTEXT), _verdict(
-        "RESEARCH", "EVERGREEN_STATIC", 0.96, match_signals(title, R.RESEARCH_TITLES)))
-    college = F.when(found(R.COLLEGE_TITLES) & contains_any(corpus, R.COLLEGE_CONTEXT), _verdict(
-        "MAJOR", "EVERGREEN_STATIC", 0.96,
-        F.concat(match_signals(title, R.COLLEGE_TITLES), match_signals(corpus, R.COLLEGE_CONTEXT))))
-    return [library, research, college]
+def _all_words(texts: dict[str, Column], wanted: dict, rules: R.Rules, name: str | None) -> Column:
+    """Every named text contains a keyword of its list."""
+    return reduce(lambda a, b: a & b, [contains_any(texts[t], rules.words(w, name)) for t, w in wanted.items()], F.lit(True))
+
+
+def _step(step: dict, texts: dict[str, Column], file: dict, rules: R.Rules, name: str | None, flags: dict[str, Column]) -> list[Column]:
+    """Verdicts of one step of a rule file, null where it does not fit.
+
+    ``use`` runs another list of steps, ``rules`` takes the first rule set entry found in a text, ``scored`` the one with
+    most matching letters. Any other step fits if all texts of ``any`` and ``with`` have a keyword (a flag may stand
+    in for ``with``) and those of ``none`` have not.
+    """
+    if "use" in step:
+        return [v for inner in file[step["use"]] for v in _step(inner, texts, file, rules, name, flags)]
+    if "rules" in step:
+        return _first_rule(texts[step["in"]], rules.rules(step["rules"], name), step["page_type"], step["confidence"])
+    if "scored" in step:
+        return [classify_scored(texts[step["in"]], rules.rules(step["scored"], name))]
+    fits = _all_words(texts, step.get("any", {}), rules, name)
+    if "with" in step:
+        fits = fits & (_all_words(texts, step["with"], rules, name) | flags.get(step.get("or_flag"), F.lit(False)))
+    for text, words in step.get("none", {}).items():
+        fits = fits & ~contains_any(texts[text], rules.words(words, name))
+    signals = [match_signals(texts[t], rules.words(w, name)) for t, w in step.get("signals", {}).items()]
+    if "note" in step:
+        signals.append(F.array(F.lit(rules.keywords[step["note"]])))
+    found = F.concat(*signals) if signals else F.array().cast("array<string>")
+    return [F.when(fits, _verdict(step["category"], step["page_type"], step["confidence"], found))]
+
+
+def verdict_of(steps: list[dict], texts: dict[str, Column], file: dict, rules: R.Rules, name: str | None = None,
+               flags: dict[str, Column] | None = None) -> Column:
+    """The verdict of the first step that fits; null when none does."""
+    return F.coalesce(*[v for step in steps for v in _step(step, texts, file, rules, name, flags or {})])
+
+
+def _library_flag(url: Column, library_host: str | None) -> dict[str, Column]:
+    return {"library_host": host(url) == library_host} if library_host else {}
 
 
 def classify_evergreen_page(title: Column, corpus: Column, url: Column, name: str | None = None,
-                            library_host: str | None = None) -> Column:
+                            library_host: str | None = None, rules: R.Rules = R.SHIPPED) -> Column:
     """Pages that do not age: a title signal together with a context signal; null when none."""
-    context = contains_any(corpus, R.LIBRARY_CONTEXT)
-    if library_host:
-        context = context | (host(url) == library_host)
-    service = contains_any(title, R.SERVICE_TITLES)
-    signals = match_signals(title, R.SERVICE_TITLES)
-    return F.coalesce(
-        *_evergreen_common(title, corpus, context),
-        *_first_rule(title, R.named(R.PAGE_EVERGREEN_RULES, name), "EVERGREEN_STATIC", 0.95),
-        F.when(service & contains_any(corpus, R.SERVICE_LIFE_CONTEXT),
-               _verdict("LIFE", "EVERGREEN_STATIC", 0.92, signals)),
-        F.when(service & contains_any(corpus, R.SERVICE_ACADEMIC_CONTEXT),
-               _verdict("ACADEMIC", "EVERGREEN_STATIC", 0.92, signals)),
-    )
+    return verdict_of(rules.page["evergreen"], {"title": title, "corpus": corpus}, rules.page, rules, name, _library_flag(url, library_host))
 
 
 def classify_page(title: Column, content: Column, url: Column, name: str | None = None,
-                  library_host: str | None = None, body_chars: int | None = None) -> Column:
+                  library_host: str | None = None, body_chars: int | None = None, rules: R.Rules = R.SHIPPED) -> Column:
     """Verdict struct of a crawled page. The whole body is read unless ``body_chars`` limits it."""
     body = content if body_chars is None else F.substring(content, 1, body_chars)
-    corpus = F.concat(title, F.lit("\n"), body)
-    action = contains_any(corpus, R.STUDENT_ACTION_SIGNALS)
-    none = F.array().cast("array<string>")
-    return F.coalesce(
-        classify_evergreen_page(title, corpus, url, name, library_host),
-        F.when(contains_any(title, R.PAST_EVENT_SIGNALS) & ~action,
-               _verdict(None, "RETROSPECTIVE", 0.95, match_signals(title, R.PAST_EVENT_SIGNALS))),
-        *_first_rule(title, R.named(R.PAGE_TITLE_RULES, name), "CONTENT_DETAIL", 0.9),
-        *_first_rule(title, R.named(R.PAGE_RULES, name), "CONTENT_DETAIL", 0.85),
-        F.when(~action, _verdict(None, "UNKNOWN", 0.0, none)),
-        *_first_rule(body, R.named(R.PAGE_RULES, name), "CONTENT_DETAIL", 0.7),
-        _verdict(None, "UNKNOWN", 0.0, none),
-    )
+    texts = {"title": title, "body": body, "corpus": F.concat(title, F.lit("\n"), body)}
+    return verdict_of(rules.page["steps"], texts, rules.page, rules, name, _library_flag(url, library_host))
 
 
-def static_title_category(title: Column, name: str | None = None) -> Column:
-    return classify_first_match(title, R.named(R.PAGE_TITLE_RULES, name))
+def static_title_category(title: Column, name: str | None = None, rules: R.Rules = R.SHIPPED) -> Column:
+    return classify_first_match(title, rules.rules("page_title_rules", name))
 
 
 def trusted_evergreen(verdict: Column) -> Column:
@@ -127,31 +131,15 @@ def trusted_evergreen(verdict: Column) -> Column:
             & verdict["category"].isNotNull())
 
 
-def _upload_title_priority(text: Column) -> list[Column]:
-    academic = R.UPLOAD_ACADEMIC_TITLES + R.UPLOAD_ACADEMIC_NOTICES
-    return _first_rule(text, [("MAJOR", R.UPLOAD_CURRICULUM_TITLES)], "CONTENT_DOCUMENT", 0.99) + \
-        _first_rule(text, [("ACADEMIC", academic)], "CONTENT_DOCUMENT", 0.98)
-
-
 def classify_upload(df: DataFrame, filename: str, first_page: str, name: str | None = None,
-                    page_chars: int | None = None, out: str = "verdict") -> DataFrame:
+                    page_chars: int | None = None, out: str = "verdict", rules: R.Rules = R.SHIPPED) -> DataFrame:
     """Add the verdict of an uploaded file from its name and its first page."""
     page = F.coalesce(F.col(first_page), F.lit(""))
     page = page if page_chars is None else F.substring(page, 1, page_chars)
     staged = df.withColumn("__stem", filename_stem(F.col(filename))).withColumn("__page", nfkc_lower(page))
     staged = staged.withColumn("__heading", first_lines(F.col("__page")))
-    stem, heading = F.col("__stem"), F.col("__heading")
-    corpus = F.concat(stem, F.lit("\n"), F.col("__page"))
-    titles = R.named(R.UPLOAD_TITLE_RULES, name)
-    verdict = F.coalesce(
-        *_upload_title_priority(stem),
-        *_evergreen_common(stem, corpus, contains_any(corpus, R.LIBRARY_CONTEXT)),
-        *_first_rule(stem, [("ORGANIZATION", R.UNIT_TITLES)], "EVERGREEN_STATIC", 0.95),
-        *_first_rule(stem, titles, "STATIC_KNOWLEDGE", 0.95),
-        *_upload_title_priority(heading),
-        *_first_rule(heading, titles, "STATIC_KNOWLEDGE", 0.94),
-        classify_scored(corpus, R.named(R.UPLOAD_RULES, name)),
-    )
+    texts = {"stem": F.col("__stem"), "heading": F.col("__heading"), "corpus": F.concat("__stem", F.lit("\n"), "__page")}
+    verdict = verdict_of(rules.upload["steps"], texts, rules.upload, rules, name)
     return staged.withColumn(out, verdict).drop("__stem", "__page", "__heading")
 
 
@@ -165,21 +153,20 @@ def link_priority(anchor: Column, url: Column, name: str | None = None,
                   rule_sets: Sequence[R.RuleSet] | None = None) -> Column:
     """Sort value of a link; the more keywords, the smaller."""
     if rule_sets is None:
-        rule_sets = [R.named(r, name) for r in (R.PAGE_EVERGREEN_RULES, R.PAGE_TITLE_RULES, R.PAGE_RULES)]
+        rule_sets = [R.SHIPPED.rules(r, name) for r in ("page_evergreen_rules", "page_title_rules", "page_rules")]
     return -keyword_score(F.concat_ws(" ", anchor, url), rule_sets)
 
 
-def catalog_label(title: Column, source: Column, category: Column, name: str | None = None) -> Column:
-    """Label of a catalog row: scholarship, stored category, title patterns, default."""
-    text = F.concat(title, source)
-    pattern, label = R.SCHOLARSHIP_LABEL
-    result = F.when(text.rlike(pattern), F.lit(label))
-    for code, code_label in R.CATEGORY_LABELS.items():
+def catalog_label(title: Column, source: Column, category: Column, name: str | None = None, rules: R.Rules = R.SHIPPED) -> Column:
+    """Label of a catalog row: scholarship, stored category, title words, default."""
+    text, listed = F.concat(title, source), rules.keywords
+    first = listed["scholarship_label"]
+    result = F.when(contains_any(text, first["any"]), F.lit(first["label"]))
+    for code, code_label in listed["category_labels"].items():
         result = result.when(category == code, F.lit(code_label))
-    for pattern, label in R.CATALOG_LABEL_PATTERNS:
-        parts = "|".join(R.named_words(pattern.split("|"), name))
-        result = result.when(text.rlike(parts), F.lit(label))
-    return result.otherwise(F.lit(R.DEFAULT_CATALOG_LABEL))
+    for entry in listed["catalog_labels"]:
+        result = result.when(contains_any(text, R.named_words(entry["any"], name)), F.lit(entry["label"]))
+    return result.otherwise(F.lit(listed["default_catalog_label"]))
 
 
 def static_list_page(title: Column, category: Column, url: Column, name: str | None = None) -> Column:

@@ -27,20 +27,17 @@ PLAN = (
 # sentence patterns of transfer questions in the order they are tried.
 NOT_A_TRANSFER = ("转账", "跳转", "转发", "转接", "转让")
 NOT_A_TARGET = ("学校", "本科生", "学生")
-_SUBJECT = r"([\p{IsHan}A-Za-z0-9（）()·+\-]{2,24}?)"
-_ASK = (r"(?:(?:有?什么|需要什么)?(?:条件|要求|名额|考核)|考什么|怎么考|怎么转|可以吗|是否可以|能不能|申请)")
-_OPENING = r"(?:请问|想问|我想)?"
-_DETAIL = r"(?:名额|笔试|面试|考核方式)"
+MANY_DETAILS = r"(?:名额|笔试|面试|考核方式)"
 TWO_SIDED = (
-    rf"{_OPENING}(?:从)?{_SUBJECT}(?:专业)?转(?:入|到|去){_SUBJECT}(?:专业|学院)?(?:的)?{_ASK}",
-    rf"{_OPENING}从{_SUBJECT}(?:专业)?转(?:入|到|去){_SUBJECT}(?:专业|学院)?(?:可以吗|行吗|吗|[?？]|$)",
-    rf"{_OPENING}{_SUBJECT}(?:专业)?转{_SUBJECT}(?:专业|学院)?(?:的)?{_ASK}",
+    r"(?:请问|想问|我想)?(?:从)?([\p{IsHan}A-Za-z0-9（）()·+\-]{2,24}?)(?:专业)?转(?:入|到|去)([\p{IsHan}A-Za-z0-9（）()·+\-]{2,24}?)(?:专业|学院)?(?:的)?(?:(?:有?什么|需要什么)?(?:条件|要求|名额|考核)|考什么|怎么考|怎么转|可以吗|是否可以|能不能|申请)",
+    r"(?:请问|想问|我想)?从([\p{IsHan}A-Za-z0-9（）()·+\-]{2,24}?)(?:专业)?转(?:入|到|去)([\p{IsHan}A-Za-z0-9（）()·+\-]{2,24}?)(?:专业|学院)?(?:可以吗|行吗|吗|[?？]|$)",
+    r"(?:请问|想问|我想)?([\p{IsHan}A-Za-z0-9（）()·+\-]{2,24}?)(?:专业)?转([\p{IsHan}A-Za-z0-9（）()·+\-]{2,24}?)(?:专业|学院)?(?:的)?(?:(?:有?什么|需要什么)?(?:条件|要求|名额|考核)|考什么|怎么考|怎么转|可以吗|是否可以|能不能|申请)",
 )
 TARGET_ONLY = (
-    rf"{_SUBJECT}(?:专业|学院)?(?:接收转专业|转专业接收).*(?:{_ASK}|学生|吗)",
-    rf"转入{_SUBJECT}(?:专业|学院)?(?:的)?{_ASK}",
-    rf"{_SUBJECT}(?:专业|学院)?转专业(?:{_ASK}|政策|细则)",
-    rf"{_SUBJECT}(?:专业|学院)?(?:的)?{_DETAIL}(?:[、，,和及/]|还有|以及).*{_DETAIL}",
+    r"([\p{IsHan}A-Za-z0-9（）()·+\-]{2,24}?)(?:专业|学院)?(?:接收转专业|转专业接收).*(?:(?:(?:有?什么|需要什么)?(?:条件|要求|名额|考核)|考什么|怎么考|怎么转|可以吗|是否可以|能不能|申请)|学生|吗)",
+    r"转入([\p{IsHan}A-Za-z0-9（）()·+\-]{2,24}?)(?:专业|学院)?(?:的)?(?:(?:有?什么|需要什么)?(?:条件|要求|名额|考核)|考什么|怎么考|怎么转|可以吗|是否可以|能不能|申请)",
+    r"([\p{IsHan}A-Za-z0-9（）()·+\-]{2,24}?)(?:专业|学院)?转专业(?:(?:(?:有?什么|需要什么)?(?:条件|要求|名额|考核)|考什么|怎么考|怎么转|可以吗|是否可以|能不能|申请)|政策|细则)",
+    r"([\p{IsHan}A-Za-z0-9（）()·+\-]{2,24}?)(?:专业|学院)?(?:的)?(?:名额|笔试|面试|考核方式)(?:[、，,和及/]|还有|以及).*(?:名额|笔试|面试|考核方式)",
 )
 SUBJECT_TRIMS = (r"^(?:请问|想问|我想|能否|可以)", r"(?:有什么|什么|需要什么)$", r"(?:专业|学院)$")
 
@@ -111,7 +108,7 @@ def transfer_intent(question: Column, institution: Sequence[str] = ()) -> Column
                 F.struct(F.when(s["source"] != s["target"], s["source"]).alias("source"), s["target"].alias("target"))))
 
         # Every pattern needs one of these words; most texts have none and skip the patterns.
-        possible = F.contains(normal, F.lit("转")) | normal.rlike(_DETAIL)
+        possible = F.contains(normal, F.lit("转")) | normal.rlike(MANY_DETAILS)
         barred = ~possible
         for phrase in NOT_A_TRANSFER:
             barred = barred | F.contains(normal, F.lit(phrase))
@@ -137,7 +134,7 @@ def planned_question(question: Column, intent: Column) -> Column:
 def classify_question(planned: Column, name: str | None = None, institution: Sequence[str] = (),
                       rules: R.RuleSet | None = None) -> Column:
     """Category of a question: fixed for transfer questions, else the first matching rule."""
-    rules = R.named(R.QUESTION_RULES, name) if rules is None else rules
+    rules = R.SHIPPED.rules("question_rules", name) if rules is None else rules
     return (
         F.when(is_blank(planned), F.lit(None).cast("string"))
         .when(transfer_intent(planned, institution).isNotNull(), F.lit(INTENT_CATEGORY))

@@ -32,7 +32,7 @@ def ship_package(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     archive = Path(tempfile.mkdtemp(prefix="lorewell-package-")) / "lorewell.zip"
     with zipfile.ZipFile(archive, "w") as target:
-        for source in sorted(root.rglob("*.py")):
+        for source in sorted([*root.rglob("*.py"), *root.rglob("*.json")]):
             target.write(source, source.relative_to(root.parent))
     context.addPyFile(str(archive))
     context._lorewell_shipped = True
@@ -47,7 +47,7 @@ def build_session(app: str = "lorewell", master: str | None = None, **extra: str
             cores = master[6:-1] if master.startswith("local[") else "1"
             cores = str(os.cpu_count() or 1) if cores == "*" else cores
             builder = builder.config("spark.sql.shuffle.partitions", cores)
-            builder = builder.config("spark.ui.enabled", "false")
+            builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
             builder = builder.config("spark.driver.memory", os.environ.get("LOREWELL_DRIVER_MEMORY", "8g"))
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
