@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from lorewell import schemas as S
 from lorewell.operators import catalog as catalog_ops
 from lorewell.operators import dialogue, evaluate
-from lorewell.operators.index import publish_index, replace_index
+from lorewell.operators.index import publish_index, read_index, replace_index
 from lorewell.operators.ratelimit import token_bucket
 from lorewell.plans.crawl_ingest import CrawlRules, assess_pages, next_catalog, next_state
 from lorewell.plans.upload_index import upload_index_job
 from lorewell.plans.web_index import web_index_job
 from lorewell.operators.embed import hash_embedding
 from lorewell.scale import cut_lineage
-from lorewell.sources import snapshots
+from lorewell.sources import keyed
 from lorewell.sources.tables import catalog_detail, catalog_scan, check_uploads, dry_run, list_files, question_set, read_uploads
 from lorewell.streaming import jobs, windows
 
@@ -87,30 +87,78 @@ def test_stream_matches_batch(spark, tmp_path):
     spark.createDataFrame(FIRST[6:], S.PAGE_DDL).coalesce(1).write.parquet(str(pages / "b"))
     outcomes, state, catalog = crawl(spark, FIRST[6:], state, catalog)
     jobs.stream_ingest(spark, folder, root, names, barred, RULES, robots).awaitTermination(120)
-    for name, expected in (("state", state), ("catalog", catalog)):
-        stored = snapshots.read_snapshot(spark, f"{root}/{name}")
+    for stored, expected in ((jobs.stored_state(spark, root), state), (jobs.stored_catalog(spark, root), catalog)):
         assert sorted(map(str, stored.select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
     jobs.stream_index(spark, root, hash_embedding(64)).awaitTermination(120)
-    stored = snapshots.read_snapshot(spark, f"{root}/index")
+    stored = read_index(spark, f"{root}/index")
     batch = web_index_job(catalog, hash_embedding(64))
     assert sorted(r.chunk_id for r in stored.collect()) == sorted(r.chunk_id for r in batch.collect())
 
 
-def test_index_versions(spark, tmp_path):
+INDEX = "document_id string, chunk_index int, source_url string, content string"
+
+
+def files_of(folder):
+    return {str(f.relative_to(folder)): f.stat().st_mtime_ns for f in folder.rglob("*.parquet")}
+
+
+def contents(spark, root):
+    return sorted(r.content for r in read_index(spark, root, INDEX).collect())
+
+
+def test_index_changes(spark, tmp_path):
     def rows(*items):
-        return spark.createDataFrame([(d, i, u, c) for d, i, u, c in items], "document_id string, chunk_index int, source_url string, content string")
+        return spark.createDataFrame(list(items), INDEX)
 
     old = rows(("a", 0, None, "x"), ("a", 1, None, "y"), ("w1", 0, "u1", "z"), ("k", 0, "", "k"))
     new = rows(("a", 0, None, "x2"), ("w2", 0, "u1", "z2"))
     assert sorted(r.content for r in replace_index(old, new).collect()) == ["k", "x2", "z2"]
     root = str(tmp_path / "index")
+    assert contents(spark, root) == []
     publish_index(root, old)
     publish_index(root, new)
-    assert sorted(r.content for r in snapshots.read_snapshot(spark, root).collect()) == ["k", "x2", "z2"]
+    assert contents(spark, root) == ["k", "x2", "z2"]
     broken = new.withColumn("content", F.raise_error(F.lit("stop")).cast("string"))
     with pytest.raises(Exception):
         publish_index(root, broken)
-    assert sorted(r.content for r in snapshots.read_snapshot(spark, root).collect()) == ["k", "x2", "z2"]
+    assert contents(spark, root) == ["k", "x2", "z2"]
+    # a document that moves to another address leaves its old part, even if nothing else is left there
+    publish_index(root, rows(("w2", 0, "u7", "moved")))
+    assert contents(spark, root) == ["k", "moved", "x2"]
+    publish_index(root, rows())
+    assert contents(spark, root) == ["k", "moved", "x2"]
+
+
+def test_a_change_rewrites_only_its_parts(spark, tmp_path):
+    root = tmp_path / "index"
+    publish_index(str(root), spark.createDataFrame([(f"d{i}", 0, f"u{i}", f"c{i}") for i in range(200)], INDEX), parts=16)
+    before = files_of(root / "table")
+    publish_index(str(root), spark.createDataFrame([("e7", 0, "u7", "new")], INDEX), parts=16)
+    after = files_of(root / "table")
+    changed = {f.split("/")[0] for f in before.keys() ^ after.keys()}
+    assert len(changed) == 1 and len({f.split("/")[0] for f in after}) == 16
+    assert all(before[f] == after[f] for f in before if f.split("/")[0] not in changed)
+    assert contents(spark, str(root)) == sorted([f"c{i}" for i in range(200) if i != 7] + ["new"])
+
+
+def test_a_staged_change_is_swapped_in_again(spark, tmp_path):
+    root, key = str(tmp_path / "t"), F.col("k")
+    rows = lambda *items: spark.createDataFrame(list(items), "k long, v string")
+    add = lambda new: lambda now: now.join(new, "k", "left_anti").unionByName(new)
+    first, second = rows((1, "a"), (2, "b")), rows((2, "c"), (3, "d"))
+    for name, new in (("one", first), ("two", second)):
+        keyed.update_keyed(spark, root, "k long, v string", key, keyed.parts_of(new, key, 4), add(new), name, 4)
+    want = [(1, "a"), (2, "c"), (3, "d")]
+    assert sorted(map(tuple, keyed.read_keyed(spark, root, "k long, v string").collect())) == want
+
+    def unused(now):
+        raise AssertionError("computed again")
+
+    keyed.update_keyed(spark, root, "k long, v string", key, keyed.parts_of(second, key, 4), unused, "two", 4)
+    assert sorted(map(tuple, keyed.read_keyed(spark, root, "k long, v string").collect())) == want
+    gone = keyed.parts_of(rows((1, "")), key, 4)
+    keyed.update_keyed(spark, root, "k long, v string", key, gone, lambda now: now.where("k <> 1"), "three", 4)
+    assert sorted(map(tuple, keyed.read_keyed(spark, root, "k long, v string").collect())) == want[1:]
 
 
 def docx(paragraphs, rows):
@@ -231,7 +279,7 @@ def test_newest_fetch_of_a_url_counts(spark, tmp_path):
     twice = [page("ok/page.htm", "选课通知", TEXT, etag="z", fetched=1), page("ok/page.htm", "选课须知", TEXT, etag="a", fetched=2)]
     spark.createDataFrame(twice, S.PAGE_DDL).coalesce(1).write.parquet(str(pages / "a"))
     jobs.stream_ingest(spark, str(pages / "*"), str(root), names, barred, RULES, robots).awaitTermination(120)
-    assert [r.title for r in snapshots.read_snapshot(spark, str(root / "catalog")).collect()] == ["选课须知"]
+    assert [r.title for r in jobs.stored_catalog(spark, str(root)).collect()] == ["选课须知"]
 
 
 def test_repeated_batch_changes_nothing(spark, tmp_path):
@@ -239,9 +287,27 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
     robots, names, barred = side_tables(spark)
     spark.createDataFrame(FIRST[:2], S.PAGE_DDL).coalesce(1).write.parquet(str(pages / "a"))
     jobs.stream_ingest(spark, str(pages / "*"), str(root), names, barred, RULES, robots).awaitTermination(120)
-    before = [snapshots.current_version(spark, str(root / n)) for n in ("catalog", "state")]
+    before = files_of(root / "state" / "stage"), files_of(root / "catalog" / "stage")
+    rows = [sorted(map(str, t.collect())) for t in (jobs.stored_state(spark, str(root)), jobs.stored_catalog(spark, str(root)))]
     for marker in (root / "ingest-checkpoint" / "commits").iterdir():
         marker.unlink()  # as if the job had died before the batch was committed
     jobs.stream_ingest(spark, str(pages / "*"), str(root), names, barred, RULES, robots).awaitTermination(120)
-    assert [snapshots.current_version(spark, str(root / n)) for n in ("catalog", "state")] == before
-    assert {r.last_status for r in snapshots.read_snapshot(spark, str(root / "state")).collect()} == {"CREATED", "OUT_OF_RANGE"}
+    assert (files_of(root / "state" / "stage"), files_of(root / "catalog" / "stage")) == before
+    assert [sorted(map(str, t.collect())) for t in (jobs.stored_state(spark, str(root)), jobs.stored_catalog(spark, str(root)))] == rows
+    assert {r.last_status for r in jobs.stored_state(spark, str(root)).collect()} == {"CREATED", "OUT_OF_RANGE"}
+
+
+def test_a_batch_leaves_other_parts_alone(spark, tmp_path):
+    pages, root = tmp_path / "pages", tmp_path / "root"
+    robots, names, barred = side_tables(spark)
+    many = [page(f"ok/{i}/page.htm", "选课通知", TEXT) for i in range(60)]
+    spark.createDataFrame(many, S.PAGE_DDL).coalesce(1).write.parquet(str(pages / "a"))
+    jobs.stream_ingest(spark, str(pages / "*"), str(root), names, barred, RULES, robots, parts=8).awaitTermination(120)
+    before = {t: files_of(root / t / "table") for t in ("catalog", "state")}
+    spark.createDataFrame([page("ok/3/page.htm", "选课须知", TEXT, etag="e2", fetched=2)], S.PAGE_DDL).coalesce(1).write.parquet(str(pages / "b"))
+    jobs.stream_ingest(spark, str(pages / "*"), str(root), names, barred, RULES, robots, parts=8).awaitTermination(120)
+    for name, old in before.items():
+        new = files_of(root / name / "table")
+        assert len({f.split("/")[0] for f in old.keys() ^ new.keys()}) == 1
+    titles = {r.source_url: r.title for r in jobs.stored_catalog(spark, str(root)).collect()}
+    assert len(titles) == 60 and titles["https://h.example.org/ok/3/page.htm"] == "选课须知"
