@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorewell.functions.tokens import hash_tokens
+from lorewell.scale import let
 
 VECTOR = T.ArrayType(T.FloatType())
 DEFAULT_DIMENSIONS = 384
@@ -50,6 +51,35 @@ def hash_embedding(dimensions: int = DEFAULT_DIMENSIONS) -> Callable[[Column], C
     return lambda text: embed(hash_tokens(text))
 
 
+def native_hash_embedding(dimensions: int = DEFAULT_DIMENSIONS) -> Callable[[Column], Column]:
+    """As ``hash_embedding`` without Python: signed feature hashing by XXH64 in column expressions.
+
+    Token t counts for component xxhash64(t) mod ``dimensions``, up if the hash is odd and down if it is even. The vectors
+    differ from those of ``hash_embedding``, so an index and its questions need the same one. Equal hashes are first
+    summed up in sorted order; a component then looks only at the hashes of its own place.
+    """
+    if not DIMENSION_RANGE[0] <= dimensions <= DIMENSION_RANGE[1]:
+        raise ValueError(f"dimensions must be in {DIMENSION_RANGE}")
+
+    def embed(text: Column) -> Column:
+        marks = F.transform(F.coalesce(hash_tokens(text), F.array().cast("array<string>")), lambda t: let(F.xxhash64(t), lambda h: F.struct(
+            F.pmod(h, F.lit(dimensions)).cast("int").alias("place"), F.when(h % 2 == 0, -1.0).otherwise(1.0).alias("sign"))))
+
+        def vector(found: Column) -> Column:
+            places = F.transform(found, lambda m: m["place"])
+            sums = F.transform(F.array_sort(F.array_distinct(places)), lambda p: F.struct(p.alias("place"), F.aggregate(
+                found, F.lit(0.0), lambda total, m: total + F.when(m["place"] == p, m["sign"]).otherwise(0.0)).alias("sum")))
+            return let(sums, lambda held: let(
+                F.sqrt(F.aggregate(held, F.lit(0.0), lambda total, s: total + s["sum"] * s["sum"])),
+                lambda norm: let(F.map_from_entries(held), lambda by_place: F.transform(
+                    F.sequence(F.lit(0), F.lit(dimensions - 1)),
+                    lambda i: F.coalesce(F.try_element_at(by_place, i) / F.nullif(norm, F.lit(0.0)), F.lit(0.0)).cast("float")))))
+
+        return let(marks, vector)
+
+    return embed
+
+
 def external_embedding(model: Callable[[list[str]], list[list[float]]]) -> Callable[[Column], Column]:
     """Wrap any batch model; it is created and called inside the tasks."""
     @F.pandas_udf(VECTOR)

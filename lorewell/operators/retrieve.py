@@ -9,13 +9,14 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.functions.text import none_if_blank, strip
 from lorewell.functions.tokens import HAN, HAN_COMMON, gap_closed_bigrams, run_bigrams
 from lorewell.functions.numbers import half_up
-from lorewell.scale import cut_lineage, let, top_per_key
+from lorewell.scale import cut_lineage, let, rows_of_keys, top_per_key
 
 # Weights, caps and limits of the ranking, and the texts it looks for.
 CURATED_BONUS, CATEGORY_BONUS = 0.15, 0.03
@@ -32,6 +33,7 @@ NO_FILENAME, NO_SOURCE, OFFICIAL = "未知文件", "未知来源", "official"
 FALLBACK = "知识库中暂无相关信息，请咨询相关部门。"
 
 QUERY_BYTES = 64 * 1024 * 1024
+MERGE_GROUPS = 4
 DIGITS = 6
 
 
@@ -41,12 +43,12 @@ def candidate_count(top_k: int) -> int:
 
 # --- vector search ---------------------------------------------------------------------------
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
+def unit(vectors: np.ndarray) -> np.ndarray:
     norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def vector_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -92,15 +94,15 @@ class _Best:
         self.worst[full] = self.distance[last[full]]
 
 
-class _Block:
+class Block:
     """A block of queries that reads index rows and remembers the best overall and per group."""
 
     def __init__(self, vectors: np.ndarray, groups: np.ndarray | None, k: int, modes: tuple[bool, ...]):
-        self.vectors, self.groups, self.modes = _unit(vectors), groups, modes
+        self.vectors, self.groups, self.modes = unit(vectors), groups, modes
         self.best = [_Best(len(vectors), k) for _ in modes]
 
     def read(self, ids: np.ndarray, vectors: np.ndarray, groups: np.ndarray | None) -> None:
-        vectors = _unit(vectors)
+        vectors = unit(vectors)
         for first in range(0, len(self.vectors), 1024):
             rows = slice(first, first + 1024)
             # Adding zero turns a negative zero into zero.
@@ -117,7 +119,7 @@ class _Block:
                     [query_ids.take(pa.array(best.query)), pa.array(best.ids), pa.array(best.distance), flags], names=names)
 
 
-def _row_ids(column: pa.Array) -> np.ndarray:
+def row_ids(column: pa.Array) -> np.ndarray:
     return np.array(column) if pa.types.is_integer(column.type) else np.array(column.to_pylist())
 
 
@@ -128,13 +130,15 @@ def _codes(column: pa.Array, known: pa.Array, missing: int) -> np.ndarray:
 
 def vector_candidates(queries: DataFrame, index: DataFrame, k: int, modes: tuple[bool, ...], query_id: str = "query_id",
                       query_vector: str = "query_vector", index_id: str = "chunk_key", vector: str = "vector",
-                      same: str | None = "category", max_query_bytes: int = QUERY_BYTES) -> DataFrame:
+                      same: str | None = "category", max_query_bytes: int = QUERY_BYTES, merge_groups: int | None = None) -> DataFrame:
     """(query_id, index_id, distance, grouped): the ``k`` nearest rows by cosine, for every mode.
 
     Mode ``False`` searches all rows, mode ``True`` only rows that share the query's value in
     ``same``. Exact, and both modes share one scan. The index is never shuffled: each task
     multiplies its rows with a broadcast block of queries and emits only its own top k, then a
-    limited rank merges them. Queries travel in blocks of about ``max_query_bytes``, one scan each.
+    limited rank merges them. A task reads many files, ``merge_groups`` tasks in all (by default four for every core):
+    so the rows to merge grow with the cluster and not with the files of the index. Queries travel in blocks of about
+    ``max_query_bytes``; of several blocks each is answered and stored before the next one is sent out.
     """
     same = same if True in modes else None
     queries = queries.select(query_id, query_vector, *([same] if same else [])).where(F.size(query_vector) > 0)
@@ -143,14 +147,22 @@ def vector_candidates(queries: DataFrame, index: DataFrame, k: int, modes: tuple
     count, size = queries.agg(F.count("*"), F.max(F.size(query_vector))).first()
     blocks = max(1, math.ceil(count * (size or 1) * 8 / max_query_bytes))
     part = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-    local = reduce(DataFrame.union, [
-        _scan(queries.where(part == i), index, k, modes, query_id, query_vector, index_id, vector, same) for i in range(blocks)])
-    return top_per_key(local, [query_id, "grouped"], [F.col("distance"), F.col(index_id)], k).drop("rank")
+    index = index.coalesce(merge_groups or MERGE_GROUPS * queries.sparkSession.sparkContext.defaultParallelism)
+
+    def answered(block: int) -> DataFrame:
+        local, shipped = _scan(queries.where(part == block), index, k, modes, query_id, query_vector, index_id, vector, same)
+        best = top_per_key(local, [query_id, "grouped"], [F.col("distance"), F.col(index_id)], k).drop("rank")
+        if blocks > 1:
+            best = cut_lineage(best)
+            shipped.destroy()
+        return best
+
+    return reduce(DataFrame.union, [answered(block) for block in range(blocks)])
 
 
 def _scan(queries: DataFrame, index: DataFrame, k: int, modes: tuple[bool, ...], query_id: str, query_vector: str, index_id: str,
-          vector: str, same: str | None) -> DataFrame:
-    """Candidates of one block of queries from every partition of the index."""
+          vector: str, same: str | None) -> tuple[DataFrame, Broadcast]:
+    """Candidates of one block of queries from every partition of the index, and the block as it was sent out."""
     names = [query_id, index_id, "distance", "grouped"]
     types = [queries.schema[query_id].dataType.simpleString(), index.schema[index_id].dataType.simpleString(), "double", "boolean"]
     block = queries.toArrow()
@@ -159,19 +171,19 @@ def _scan(queries: DataFrame, index: DataFrame, k: int, modes: tuple[bool, ...],
         known = pc.drop_null(pc.unique(block.column(same).combine_chunks()))
         groups = _codes(block.column(same).combine_chunks(), known, -2)
     shipped = index.sparkSession.sparkContext.broadcast((
-        block.column(query_id).combine_chunks(), _matrix(block.column(query_vector)), groups, known))
+        block.column(query_id).combine_chunks(), vector_matrix(block.column(query_vector)), groups, known))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, vectors, groups, known = shipped.value
-        asked = _Block(vectors, groups, k, modes)
+        asked = Block(vectors, groups, k, modes)
         for batch in batches:
             if batch.num_rows and len(vectors):
                 # A row in no query's group, or in none at all, matches no query.
                 codes = None if known is None else _codes(batch.column(same), known, -1)
-                asked.read(_row_ids(batch.column(index_id)), _matrix(batch.column(vector)), codes)
+                asked.read(row_ids(batch.column(index_id)), vector_matrix(batch.column(vector)), codes)
         yield from asked.emit(query_ids, names)
 
-    return index.mapInArrow(scan, ", ".join(f"{n} {t}" for n, t in zip(names, types)))
+    return index.mapInArrow(scan, ", ".join(f"{n} {t}" for n, t in zip(names, types))), shipped
 
 
 def vector_topk(queries: DataFrame, index: DataFrame, k: int, **names) -> DataFrame:
@@ -180,8 +192,12 @@ def vector_topk(queries: DataFrame, index: DataFrame, k: int, **names) -> DataFr
 
 
 def vector_topk_filtered(queries: DataFrame, index: DataFrame, k: int, same: str = "category", **names) -> DataFrame:
-    """Nearest ``k`` rows inside the query's category; queries without one find nothing."""
-    return vector_candidates(queries, index, k, (True,), same=same, **names).drop("grouped")
+    """Nearest ``k`` rows inside the query's category; queries without one find nothing.
+
+    Only rows of categories that are asked for are read: of an index stored by category, only their folders.
+    """
+    asked = queries.where(F.size(names.get("query_vector", "query_vector")) > 0)
+    return vector_candidates(queries, rows_of_keys(index, asked, same), k, (True,), same=same, **names).drop("grouped")
 
 
 # --- candidates ------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("sources_and_text", "rules_and_crawl", "index_and_search", "reports")
+FAMILIES = ("sources_and_text", "rules_and_crawl", "index_and_search", "reports", "streams", "scaled")
 
 
 def load():

@@ -90,7 +90,7 @@ def chunk_id(spark, sf):
         F.count("*").alias("chunks"), F.count_distinct("chunk_id").alias("ids"))
 
 
-def _index_versions(spark, sf):
+def index_versions(spark, sf):
     """The old index holds all documents (Spanish ones without address). Labelled documents come
     back: good ones under a new id, the others under their own id with another address."""
     documents = V.catalog(spark, sf)
@@ -112,7 +112,7 @@ def _index_versions(spark, sf):
     union all select case when quality = 1 then concat('n', cast(id as varchar)) else cast(id as varchar) end,
         case when quality = 1 then source_url else ' ' end, 'new' from l""", "v_catalog"))
 def replace_index(spark, sf):
-    old, new = _index_versions(spark, sf)
+    old, new = index_versions(spark, sf)
     return index.replace_index(old, new).select("document_id", "source_url", "content")
 
 
@@ -292,23 +292,23 @@ def contextualize(spark, sf):
 
 # --- retrieval -------------------------------------------------------------------------------
 
-_PAIRS_SQL = """pairs as (select q.vec_id query_id, q.label ql, c.*, round(1 - list_cosine_similarity(cast(q.embedding as double[]), cast(c.vector as double[])), 6) distance
+PAIRS_SQL = """pairs as (select q.vec_id query_id, q.label ql, c.*, round(1 - list_cosine_similarity(cast(q.embedding as double[]), cast(c.vector as double[])), 6) distance
     from embeddings q, v_chunks c),
     general as (select * from (select *, row_number() over (partition by query_id order by distance, chunk_key) rn from pairs) where rn <= 100),
     inside as (select * from (select *, row_number() over (partition by query_id order by distance, chunk_key) rn from pairs where cast(ql as varchar) = category) where rn <= 100)"""
 
 
-@query("vector_topk", V.with_views(f", {_PAIRS_SQL} select query_id, chunk_key, distance from general", "v_chunks"))
+@query("vector_topk", V.with_views(f", {PAIRS_SQL} select query_id, chunk_key, distance from general", "v_chunks"))
 def vector_topk(spark, sf):
     return R.vector_topk(V.vector_questions(spark, sf), V.chunks(spark, sf), R.candidate_count(20))
 
 
-@query("vector_topk_filtered", V.with_views(f", {_PAIRS_SQL} select query_id, chunk_key, distance from inside", "v_chunks"))
+@query("vector_topk_filtered", V.with_views(f", {PAIRS_SQL} select query_id, chunk_key, distance from inside", "v_chunks"))
 def vector_topk_filtered(spark, sf):
     return R.vector_topk_filtered(V.vector_questions(spark, sf), V.chunks(spark, sf), R.candidate_count(20))
 
 
-@query("vector_topk_many_queries", V.with_views(f", {_PAIRS_SQL} select query_id, chunk_key, distance from inside", "v_chunks"))
+@query("vector_topk_many_queries", V.with_views(f", {PAIRS_SQL} select query_id, chunk_key, distance from inside", "v_chunks"))
 def vector_topk_many_queries(spark, sf):
     """The block-by-shard plan that serves query sets too large to broadcast."""
     return R.vector_topk_filtered(
@@ -319,7 +319,7 @@ _MERGED_SQL = """merged as (select query_id, chunk_key, min(distance) distance,
     select query_id, chunk_key, distance, false preferred from general union all select query_id, chunk_key, distance, true from inside) group by 1, 2)"""
 
 
-@query("merge_candidates", V.with_views(f", {_PAIRS_SQL}, {_MERGED_SQL} select * from merged", "v_chunks"))
+@query("merge_candidates", V.with_views(f", {PAIRS_SQL}, {_MERGED_SQL} select * from merged", "v_chunks"))
 def merge_candidates(spark, sf):
     queries, rows, k = V.vector_questions(spark, sf), V.chunks(spark, sf), R.candidate_count(20)
     return R.merge_candidates(R.vector_topk_filtered(queries, rows, k), R.vector_topk(queries, rows, k), identity="chunk_key")
@@ -382,7 +382,7 @@ def _scored(rows):
         "curated_bonus": R.curated_bonus(source_type), "target_bonus": F.lit(0.0)})
 
 
-_RANKED_SQL = f"""{_PAIRS_SQL}, {_MERGED_SQL},
+_RANKED_SQL = f"""{PAIRS_SQL}, {_MERGED_SQL},
     scored as (select m.query_id, m.chunk_key, c.document_id, c.category, m.preferred, m.distance, greatest(0, least(1, 1 - m.distance)) raw,
         case when c.category = '2' then 0.04 else 0 end::double + case when c.category in ('1', '3') then 0.15 else 0 end::double + 0.025::double bonus
         from merged m join v_chunks c using (chunk_key)),
@@ -402,7 +402,7 @@ def hybrid_rerank(spark, sf):
     return _ranked(spark, sf).select("query_id", "chunk_key", "rank", "score")
 
 
-@query("search_plan", V.with_views(f""", {_PAIRS_SQL}, {_MERGED_SQL},
+PLANNED_SQL = f"""{PAIRS_SQL}, {_MERGED_SQL},
     told as (select vec_id, label, coalesce(text, '') content, split_part(coalesce(text, ''), chr(10), 1) line,
         split_part(split_part(coalesce(text, ''), chr(10), 1), ' ', 1) word from embeddings left join documents on vec_id = doc_id),
     named as (select vec_id chunk_key, case when label = 2 then '转专业' else '' end || word filename, content,
@@ -413,17 +413,25 @@ def hybrid_rerank(spark, sf):
         list_distinct(flatten(list_transform(r, lambda x: list_transform(range(1, length(x)), lambda i: substr(x, i, 2))))) words,
         list_transform(range(1, length(goal)), lambda i: substr(goal, i, 2)) halves
         from (select *, regexp_extract_all(planned, '[a-e]') s, regexp_extract_all(lower(planned), '[x-z]{{2,}}') r from planned)),
-    scored as (select m.query_id, m.chunk_key, m.preferred, m.distance, greatest(0, least(1, 1 - m.distance)) raw, curated,
+    scored as (select m.query_id, m.chunk_key, filename, m.preferred, m.distance, greatest(0, least(1, 1 - m.distance)) raw, curated,
         least(0.10::double, len(list_filter(names, lambda b: contains(filename, b))) * 0.02::double) by_name,
         least(0.12::double, len(list_filter(words, lambda b: contains(lower(filename || chr(10) || content), b))) * 0.025::double) lexical,
         case when goal = '' or not contains(filename, '转专业') then 0.0 when contains(filename || chr(10) || content, goal) then 0.35
             when len(list_filter(halves, lambda b: contains(filename, b))) > 0 then 0.30 else 0.02 end::double target
-        from merged m join named using (chunk_key) join asked using (query_id))
-    select query_id, chunk_key, rank, round(greatest(0, least(1, raw + by_name + curated + target + lexical)), 9) score from (
+        from merged m join named using (chunk_key) join asked using (query_id)),
+    ranked as (select query_id, chunk_key, filename, rank, round(greatest(0, least(1, raw + by_name + curated + target + lexical)), 9) score from (
         select *, row_number() over (partition by query_id order by round(raw + case when preferred then 0.03 else 0 end::double + by_name + curated + target + lexical, 9)
-            desc, raw desc, preferred desc, distance, chunk_key) rank from scored) where rank <= 20""", "v_chunks"))
+            desc, raw desc, preferred desc, distance, chunk_key) rank from scored) where rank <= 20)"""
+
+
+@query("search_plan", V.with_views(f", {PLANNED_SQL} select query_id, chunk_key, rank, score from ranked", "v_chunks"))
 def search_plan(spark, sf):
     """The whole search with every bonus at work: documents behind the vectors, their first lines as questions."""
+    return planned_search(spark, sf)[1].select("query_id", "chunk_key", "rank", "score")
+
+
+def planned_search(spark, sf, only_inputs=False):
+    """(questions, results) of that search, or (questions, stored index)."""
     texts = V.table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     told = V.table(spark, sf, "embeddings").join(texts, "vec_id", "left").withColumn("content", F.coalesce("text", F.lit("")))
     line = F.split("content", "\n")[0]
@@ -436,8 +444,9 @@ def search_plan(spark, sf):
     goal = F.concat(line, F.lit("\n转专业目标："), word)
     questions = told.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), label.alias("category"),
                             F.when(label == "1", goal).otherwise(line).alias("planned"))
-    found = search.search_job(questions, stored, name_symbol="[a-e]", text_symbol="[x-z]")
-    return found.select("query_id", "chunk_key", "rank", "score")
+    if only_inputs:
+        return questions, stored
+    return questions, search.search_job(questions, stored, name_symbol="[a-e]", text_symbol="[x-z]")
 
 
 @query("project_results", """

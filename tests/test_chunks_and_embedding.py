@@ -1,3 +1,6 @@
+import re
+
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -36,6 +39,56 @@ def test_overlap_without_separators():
     assert [len(p["text"]) for p in parts] == [500, 500, 500, 500, 400]
 
 
+def word_ends(text):
+    return np.array([m.end() for m in re.finditer(r"\w+|\s+|[^\w\s]", text)], np.int64)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab 。\n.,", max_size=400), st.integers(5, 40), st.integers(0, 4))
+def test_token_chunks_keep_size_and_overlap(text, size, overlap):
+    ends = word_ends(text)
+    covered, last = 0, 0
+    for part in C.split_tokens(text, size, overlap, ends):
+        start, end = part["start"], part["start"] + len(part["text"])
+        inside = int(((ends > start) & (ends <= end)).sum())
+        shared = int(((ends > start) & (ends <= last)).sum())
+        assert text[start:end] == part["text"] and part["tokens"] == inside <= size
+        assert part["shared"] == shared <= overlap
+        assert not text[covered:start].strip()
+        covered, last = max(covered, end), end
+    assert not text[covered:].strip()
+
+
+def test_tokens_overlap_at_sentences():
+    text = "".join(f"Sentence number {i} has a few words in it.\n" for i in range(60))
+    parts = C.split_tokens(text, 60, 25, word_ends(text))
+    assert len(parts) > 5
+    for before, after in zip(parts, parts[1:]):
+        assert 10 <= after["shared"] <= 25  # a whole sentence of the chunk before opens the next one
+        assert after["text"].startswith("Sentence") and after["start"] < before["start"] + len(before["text"])
+
+
+def test_tokens_of_a_vocabulary(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    texts = ["转专业的办法是什么？" * 300, "Plain words, one after the other. " * 400, "", None, "x" * 9000, "🙂" * 3000]
+    split = C.chunk_tokens(path, 500, 100)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", split(F.col("t")).alias("c")).collect()
+    for row in rows:
+        if not row.t:
+            assert row.c == []
+            continue
+        ends = np.array([b for _, b in own.encode(row.t, add_special_tokens=False).offsets])
+        assert len(row.c) > 1 and row.c[-1].start + len(row.c[-1].text) == len(row.t.rstrip())
+        for chunk in row.c:
+            end = chunk.start + len(chunk.text)
+            assert chunk.tokens == ((ends > chunk.start) & (ends <= end)).sum() <= 500 and chunk.shared <= 100
+        assert all(a.shared > 0 for a in row.c[1:])
+
+
 def test_limits():
     with pytest.raises(ValueError):
         C.chunk_text(499, 0)
