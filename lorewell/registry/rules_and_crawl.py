@@ -413,7 +413,7 @@ def curated_lifts_exclusions(spark, sf):
     documents = V.catalog(spark, sf).where("status = 'COMPLETED'")
     rows = documents.select("source_url", "title", "content", "source", "category", F.col("crawl_time").alias("verified_time"),
                             F.lit(None).cast("timestamp_ntz").alias("published_time"))
-    _, lifted = catalog.curated_upsert(rows, documents, V.exclusions(spark, sf), now())
+    _, lifted = catalog.curated_upsert(rows, V.catalog(spark, sf), V.exclusions(spark, sf), now())
     return lifted.select("source_url")
 
 

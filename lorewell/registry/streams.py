@@ -99,13 +99,13 @@ def stream_ingest(spark, sf):
 
 @query("stream_index", "select url source_url, true same from (select distinct url from pages)")
 def stream_index(spark, sf):
-    """The index that follows the outcomes of a streamed crawl equals the index of the whole catalog."""
+    """The index that follows the outcomes of a crawl, batch by batch, equals the index of the whole catalog."""
     folder, (pages, names, barred, rules) = _folder(spark, "index"), _crawl(spark, sf)
-    replay.arrive(pages, "fetched_at", f"{folder}/pages", 2)
-    jobs.stream_ingest(spark, f"{folder}/pages/*", folder, names, barred, rules, files_per_batch=1, parts=4).awaitTermination()
-    jobs.stream_index(spark, folder, embed.hash_embedding(64), files_per_batch=1, parts=4).awaitTermination()
     state, catalog = spark.createDataFrame([], S.CRAWL_RECORD_DDL), spark.createDataFrame([], S.CATALOG_DDL)
     outcomes = cut_lineage(assess_pages(pages, state, catalog, barred, names, None, rules))
+    for number in (0, 1):
+        outcomes.where(F.pmod(F.xxhash64("url"), F.lit(2)) == number).write.parquet(f"{folder}/outcomes/batch={number}")
+    jobs.stream_index(spark, folder, embed.hash_embedding(64), files_per_batch=8, parts=4).awaitTermination()
     batch = web_index_job(next_catalog(catalog, outcomes, rules), embed.hash_embedding(64))
     per_page = lambda rows: rows.groupBy("source_url").agg(
         F.sort_array(F.collect_list(F.struct("chunk_id", "content"))).alias("chunks"))
