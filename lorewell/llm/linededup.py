@@ -1,10 +1,10 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-Documents come in batches. The hashes of a batch's lines are counted, sorted and merged against the runs kept so
-far: an anti-join finds the lines never seen before, the others update what is known; both go into a run of the
-batch's own. When a level holds ``fan_in`` runs they are merged into one run of the next level, so a line takes part in
-about log(batches) merges. At the end the runs are merged once, and lines found in enough documents are dropped.
-Runs hold one row per distinct line of their batches and live in the cluster's checkpoint folder.
+Documents come in batches. A batch's line hashes are counted and anti-joined with the runs kept so far: lines never seen
+before go, sorted, into a run of the batch's own, so every line stands in exactly one run; lines seen before go
+into the updates, which only hold repeated lines. When a level holds ``fan_in`` runs they are compacted into one run of
+the next level. At the end only the lines with updates, and those that one batch alone found often enough, can be
+common. Runs and updates live in the cluster's checkpoint folder.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +24,9 @@ from lorewell.scale import cut_lineage
 BLANKS = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 20
 MIN_DOCS = 3
-BATCH_DOCS = 50_000_000
-FAN_IN = 4
+#: Every table goes through this many batches, whatever its size.
+BATCHES = 4
+FAN_IN = 2
 
 
 def _key(line: bytes, min_chars: int) -> bytes | None:
@@ -39,9 +40,12 @@ def _key(line: bytes, min_chars: int) -> bytes | None:
 
 
 def line_keys(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
-    """(doc_id, high, low): each document's distinct long lines as 128-bit hashes."""
+    """(doc_id, own, high, low): each document's distinct long lines as 128-bit hashes.
+
+    ``own`` tells rows with a null id apart, by their text; it is 0 for all others.
+    """
     kind = docs.schema[doc_id].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("high", T.LongType()), T.StructField("low", T.LongType())])
+    schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(n, T.LongType()) for n in ("own", "high", "low")]])
 
     def run(rows):
         for batch in rows:
@@ -52,35 +56,42 @@ def line_keys(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFr
                     found += keys
                     owners += [i] * len(keys)
                 halves = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
-                ids = block.column(doc_id).take(pa.array(owners, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["doc_id", "high", "low"])
+                ids, own = (block.column(c).take(pa.array(owners, pa.int64())) for c in (doc_id, "__own"))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, own, pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["doc_id", "own", "high", "low"])
+
+    return docs.select(doc_id, text, _own(doc_id, text).alias("__own")).mapInArrow(run, schema)
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+
+def _own(doc_id: str, text: str) -> Column:
+    return F.when(F.col(doc_id).isNull(), F.xxhash64(F.coalesce(F.col(text), F.lit("")))).otherwise(F.lit(0).cast("long"))
 
 
 class LineRuns:
-    """The runs: for each line hash, in how many documents it was found and the largest id among them."""
+    """Levels of runs, in which every line stands once with its count and largest id so far, and the updates of lines seen again."""
 
     def __init__(self, fan_in: int = FAN_IN):
         self.fan_in = fan_in
         self.levels: list[list[DataFrame]] = []
+        self.updates: list[DataFrame] = []
 
     def add(self, keys: DataFrame) -> DataFrame:
-        """Take in one batch of (doc_id, high, low); returns its run, in which ``fresh`` marks lines not seen before."""
+        """Take in one batch of (doc_id, high, low); returns its run, the lines not seen before."""
         once = keys.groupBy("high", "low", "doc_id").agg(F.lit(1).alias("one"))
         mine = once.groupBy("high", "low").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper"))
-        if known := [run for level in self.levels for run in level]:
+        known = [run for level in self.levels for run in level]
+        if known:
             mine = cut_lineage(mine)
-            fresh = mine
-            for run in known:
-                fresh = fresh.join(run.select("high", "low"), ["high", "low"], "left_anti")
-            flags = fresh.select("high", "low", F.lit(True).alias("fresh"))
-            mine = mine.join(flags, ["high", "low"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+            fresh = cut_lineage(mine.join(self._lines(known), ["high", "low"], "left_anti").sortWithinPartitions("high", "low"))
+            self.updates.append(cut_lineage(mine.join(fresh.select("high", "low"), ["high", "low"], "left_anti")))
         else:
-            mine = mine.withColumn("fresh", F.lit(True))
-        run = cut_lineage(mine.sortWithinPartitions("high", "low"))
-        self._put(0, run.drop("fresh"))
-        return run
+            fresh = cut_lineage(mine.sortWithinPartitions("high", "low"))
+        self._put(0, fresh)
+        return fresh
+
+    @staticmethod
+    def _lines(runs: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.union, [run.select("high", "low") for run in runs])
 
     def _put(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
@@ -88,22 +99,24 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fan_in:
             runs, self.levels[level] = self.levels[level], []
-            self._put(level + 1, cut_lineage(self._merged(runs).sortWithinPartitions("high", "low")))
-
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        if len(runs) == 1:
-            return runs[0]
-        return reduce(DataFrame.union, runs).groupBy("high", "low").agg(
-            F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"))
-
-    def totals(self) -> DataFrame:
-        """All lines of all batches, one row each: high, low, docs, keeper."""
-        return self._merged([run for level in self.levels for run in level])
+            tasks = sum(r.rdd.getNumPartitions() for r in runs)
+            merged = reduce(DataFrame.union, runs).repartitionByRange(max(1, tasks // len(runs)), "high", "low")
+            self._put(level + 1, cut_lineage(merged.sortWithinPartitions("high", "low")))
+
+    def common(self, least: int) -> DataFrame:
+        """(high, low, keeper) of the lines found in at least ``least`` documents of all batches."""
+        runs = [run for level in self.levels for run in level]
+        lines = reduce(DataFrame.union, [run.select("high", "low", "docs", "keeper") for run in runs])
+        if not self.updates:
+            return lines.where(F.col("docs") >= least).select("high", "low", "keeper")
+        again = reduce(DataFrame.union, self.updates).groupBy("high", "low").agg(
+            F.sum("docs").alias("more"), F.max("keeper").alias("later"))
+        both = lines.join(again, ["high", "low"], "left").where(F.col("docs") + F.coalesce("more", F.lit(0)) >= least)
+        return both.select("high", "low", F.greatest("keeper", "later").alias("keeper"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS,
-                min_docs: int = MIN_DOCS, batch_docs: int = BATCH_DOCS, fan_in: int = FAN_IN) -> DataFrame:
+                min_docs: int = MIN_DOCS, batches: int = BATCHES, fan_in: int = FAN_IN) -> DataFrame:
     """``docs`` with lines that repeat over documents taken out of the text, plus n_lines and n_dropped.
 
     Texts are split at newline; a null or empty text is one empty line. A line's key is the line without blanks
@@ -113,27 +126,23 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
 
     Rows with one id are one document. Rows with a null id share the id null, which is smaller than any
     other. The kept lines are joined by newline, a null text becomes an empty one. Input columns n_lines and n_dropped are
-    replaced; all others pass through. ``batch_docs`` is about how many documents make a batch; the batches' line hashes
-    are written below the checkpoint folder, where they stay until the folder is emptied.
+    replaced; all others pass through. The documents go through the runs in ``batches``, told by a hash of the id (of the
+    text where it is null); the batches' line hashes are written below the checkpoint folder, where they stay until the
+    folder is emptied.
     """
     B.prepare(docs.sparkSession)
     keys = line_keys(docs, doc_id, text, min_chars)
-    count = -(-docs.count() // batch_docs)
     runs = LineRuns(fan_in)
-    if count > 1:
-        # one folder per batch, so that taking a batch reads that batch alone
-        keys = B.stored_by(keys.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(count))), "part")
-        for i in range(count):
-            runs.add(keys.where(F.col("part") == i).drop("part"))
-    else:
-        keys = cut_lineage(keys)
-        runs.add(keys)
-    common = runs.totals().where(F.col("docs") >= min_docs)
-    lost = (keys.select("doc_id", "high", "low").join(common, ["high", "low"])
+    # one folder per batch, so that taking a batch reads that batch alone
+    keys = B.stored_by(keys.withColumn("part", F.pmod(F.xxhash64("doc_id", "own"), F.lit(batches))), "part")
+    for i in range(batches):
+        runs.add(keys.where(F.col("part") == i).select("doc_id", "high", "low"))
+    lost = (keys.select("doc_id", "own", "high", "low").join(runs.common(min_docs), ["high", "low"])
             .where(F.col("keeper").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("keeper"))))
-    lost = lost.groupBy(F.col("doc_id").alias("__owner")).agg(
+    lost = lost.groupBy(F.col("doc_id").alias("__owner"), F.col("own").alias("__owned")).agg(
         F.collect_set(F.struct("high", "low")).alias("__lost"))
-    joined = docs.join(lost.hint("shuffle_hash"), docs[doc_id].eqNullSafe(F.col("__owner")), "left")
+    own = docs.withColumn("__own", _own(doc_id, text))
+    joined = own.join(lost.hint("shuffle_hash"), own[doc_id].eqNullSafe(F.col("__owner")) & (F.col("__own") == F.col("__owned")), "left")
     fields = [T.StructField(text, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
     old = f"__{text}"
     joined = joined.withColumnRenamed(text, old)
@@ -154,7 +163,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
             dropped.append(len(parts) - len(kept))
         return [texts, lines, dropped]
 
-    rest = [c for c in joined.columns if c not in (old, "__owner", "__lost")]
+    rest = [c for c in joined.columns if c not in (old, "__owner", "__owned", "__own", "__lost")]
     out = B.annotate(joined, old, rest, fields, compute, ["__lost"])
     order = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return out.select(*[F.col(f"`{c}`") for c in order], "n_lines", "n_dropped")

@@ -246,8 +246,8 @@ def test_common_lines_stay_in_the_largest_id(spark, make_docs):
     docs = docs.withColumn("n_lines", F.lit("clash"))
     want = {1: ("one", 2, 1), 2: ("two", 3, 2), 3: (common, 1, 0), 4: ("short\nshort", 2, 0), 5: ("short", 1, 0), 6: ("short", 1, 0), 7: ("", 1, 0),
             8: ("", 1, 0), 9: ("This line is in two docs only\n", 2, 0), 10: ("this line is in two docs only\n", 2, 0), None: ("", 1, 1)}
-    for batch in (100_000, 2):
-        got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in dedup_lines(docs, batch_docs=batch, fan_in=2).collect()}
+    for batches in (1, 4, 7):
+        got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in dedup_lines(docs, batches=batches, fan_in=2).collect()}
         assert got == want
     assert dedup_lines(docs.limit(0)).count() == 0
 
@@ -269,10 +269,24 @@ def test_runs_tell_fresh_lines_and_compact(make_docs):
     fresh = []
     for first in range(4):
         docs = make_docs([(first, f"a line of its own number {first}\nthe line that all documents share")])
-        fresh.append(runs.add(line_keys(docs, "doc_id", "text", 20)).where("fresh").count())
+        fresh.append(runs.add(line_keys(docs, "doc_id", "text", 20)).count())
     assert fresh == [2, 1, 1, 1]
-    assert [len(level) for level in runs.levels] == [0, 0, 1]
-    assert sorted(r.docs for r in runs.totals().collect()) == [1, 1, 1, 1, 4]
+    assert [len(level) for level in runs.levels] == [0, 0, 1] and len(runs.updates) == 3
+    assert runs.levels[2][0].count() == 5
+    assert [r.keeper for r in runs.common(4).collect()] == [3] and runs.common(5).count() == 0
+
+
+def test_rows_without_an_id_lose_their_own_lines(make_docs):
+    line, other = "a line that many documents share", "another line that they all share"
+    docs = make_docs([(None, f"{line}\nx"), (None, f"{other}\ny"), (None, f"{line}\n{other}"), (1, line), (2, line), (1, other), (2, other)])
+    got = sorted(((r.doc_id or 0, r.text, r.n_dropped) for r in dedup_lines(docs).collect()))
+    assert got == [(0, "", 2), (0, "x", 1), (0, "y", 1), (1, "", 1), (1, "", 1), (2, line, 0), (2, other, 0)]
+
+
+def test_very_long_lines(make_docs):
+    long = "word " * 400_000
+    docs = make_docs([(i, f"{long}{'!' * (i == 9)}\nnumber {i}") for i in (1, 2, 3, 9)])
+    assert {r.doc_id: r.n_dropped for r in dedup_lines(docs).collect()} == {1: 1, 2: 1, 3: 0, 9: 0}
 
 
 # 7 secrets
