@@ -3,7 +3,9 @@
 Every row lies in one bucket, the bits that say on which side of each random plane its vector is. A query visits
 buckets in the order of the least angle it would have to turn through to get there, its own bucket first. Queries and rows
 meet by (bucket, slice); a large bucket is cut into slices and many queries of a bucket into blocks, so that no task
-reads more than one slice against one block, and only the nearest of each query leave it. Distances of found rows are exact.
+reads more than one slice against one block, and only the nearest of each query leave it. Where the visits would weigh more than
+the rows, no query is copied for them: the rows travel in blocks, and each task looks into the buckets that its queries visit.
+Distances of found rows are exact.
 """
 
 from __future__ import annotations
@@ -16,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorewell.operators.retrieve import Block, row_ids, unit, vector_matrix
-from lorewell.scale import cut_lineage, top_per_key
+from lorewell.operators.retrieve import Block, Rows, by_id, index_in_blocks, unit, vector_matrix
+from lorewell.scale import cut_lineage, rows_of_keys, top_per_key
 
 BITS_RANGE = (2, 16)
 ROWS_A_BUCKET = 4096
 SLICE_ROWS = 8192
+VISIT_BYTES = 64 * 1024 * 1024
 BLOCK_QUERIES = 4096
 SEED = 17
 SAMPLE = 20_000
@@ -103,6 +106,18 @@ def _probes(queries: DataFrame, query_id: str, query_vector: str, bits: int, pro
     return asked.mapInArrow(run, schema)
 
 
+def _visited(queries: DataFrame, query_vector: str, bits: int, probes: int) -> DataFrame:
+    """The buckets that any query visits."""
+    def run(batches):
+        seen = np.zeros(1 << bits, bool)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                seen[probe_order(unit(vector_matrix(batch.column(query_vector).slice(low, 256))), bits, probes)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen).astype(np.int32))], ["bucket"])
+
+    return queries.select(query_vector).mapInArrow(run, "bucket int").distinct()
+
+
 def vector_topk_lsh(queries: DataFrame, index: DataFrame, k: int, bits: int, probes: int, query_id: str = "query_id",
                     query_vector: str = "query_vector", index_id: str = "chunk_key", vector: str = "vector",
                     slice_rows: int = SLICE_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
@@ -111,6 +126,13 @@ def vector_topk_lsh(queries: DataFrame, index: DataFrame, k: int, bits: int, pro
     ``index`` carries ``bucket`` (``with_bucket`` or a folder of ``store_lsh_index``, both with the same ``bits``).
     Distances and ties are those of ``vector_topk``; with ``probes`` = 2 ** bits the result is the same.
     """
+    asked = queries.select(query_id, query_vector).where(F.size(query_vector) > 0)
+    asking, size = asked.agg(F.count("*"), F.max(F.size(query_vector))).first()
+    if asking * min(probes, 1 << bits) * (size or 0) * 8 > max(VISIT_BYTES, index.where(F.size(vector) > 0).count() * (size or 0) * 8):
+        visited = rows_of_keys(index.where(F.size(vector) > 0), _visited(asked, query_vector, bits, probes), "bucket")
+        found = index_in_blocks(cut_lineage(asked), visited, k, (True,), query_id, query_vector, index_id, vector, "bucket",
+                                visits=lambda vectors: probe_order(vectors, bits, probes))
+        return top_per_key(found.drop("grouped"), [query_id], [F.col("distance"), F.col(index_id)], k)
     visits = cut_lineage(_probes(queries, query_id, query_vector, bits, probes))
     # At most 2 ** 16 rows each: how many slices and blocks a bucket has.
     blocks = visits.groupBy("bucket").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("blocks"))
@@ -131,8 +153,9 @@ def vector_topk_lsh(queries: DataFrame, index: DataFrame, k: int, bits: int, pro
         out = []
         if asking.num_rows and found.num_rows:
             block = Block(vector_matrix(asking.column(query_vector)), None, k, (False,))
-            block.read(row_ids(found.column(index_id).combine_chunks()), vector_matrix(found.column(vector)), None)
-            out = [b.select(names) for b in block.emit(asking.column(query_id).combine_chunks(), [*names, "grouped"])]
+            ids, places = by_id(found.column(index_id).combine_chunks())
+            block.read(Rows(vector_matrix(found.column(vector)), None, places))
+            out = [b.select(names) for b in block.emit(asking.column(query_id).combine_chunks(), ids, [*names, "grouped"])]
         return pa.Table.from_batches(out) if out else pa.table(
             {query_id: asking.column(query_id).slice(0, 0), index_id: found.column(index_id).slice(0, 0), "distance": pa.array([], pa.float64())})
 
