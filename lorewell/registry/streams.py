@@ -104,7 +104,7 @@ def stream_index(spark, sf):
     state, catalog = spark.createDataFrame([], S.CRAWL_RECORD_DDL), spark.createDataFrame([], S.CATALOG_DDL)
     outcomes = cut_lineage(assess_pages(pages, state, catalog, barred, names, None, rules))
     for number in (0, 1):
-        outcomes.where(F.pmod(F.xxhash64("url"), F.lit(2)) == number).write.parquet(f"{folder}/outcomes/batch={number}")
+        outcomes.where(F.pmod(F.xxhash64("url"), F.lit(2)) == number).hint("rebalance").write.parquet(f"{folder}/outcomes/batch={number}")
     jobs.stream_index(spark, folder, embed.hash_embedding(64), files_per_batch=8, parts=4).awaitTermination()
     batch = web_index_job(next_catalog(catalog, outcomes, rules), embed.hash_embedding(64))
     per_page = lambda rows: rows.groupBy("source_url").agg(
