@@ -120,15 +120,18 @@ def transfer_intent(question: Column, institution: Sequence[str] = ()) -> Column
 
 def planned_question(question: Column, intent: Column) -> Column:
     """The retrieval text of a transfer question; other questions stay as they are."""
-    source = F.coalesce(intent["source"], F.lit(UNKNOWN_SOURCE))
-    values = {"question": strip(question), "target": intent["target"], "source": source}
-    pieces: list[Column] = []
-    rest = PLAN
-    while "{" in rest:
-        text, _, tail = rest.partition("{")
-        name, _, rest = tail.partition("}")
-        pieces += [F.lit(text), values[name]]
-    return F.when(intent.isNull(), question).otherwise(F.concat(*pieces, F.lit(rest)))
+    def planned(found: Column) -> Column:
+        source = F.coalesce(found["source"], F.lit(UNKNOWN_SOURCE))
+        values = {"question": strip(question), "target": found["target"], "source": source}
+        pieces: list[Column] = []
+        rest = PLAN
+        while "{" in rest:
+            text, _, tail = rest.partition("{")
+            name, _, rest = tail.partition("}")
+            pieces += [F.lit(text), values[name]]
+        return F.when(found.isNull(), question).otherwise(F.concat(*pieces, F.lit(rest)))
+
+    return let(intent, planned)  # the patterns of an intent are tried once
 
 
 def classify_question(planned: Column, name: str | None = None, institution: Sequence[str] = (),
