@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from lorewell.functions.dates import published_time
 from lorewell.functions.text import clean_lines, fold_blanks
 from lorewell.functions.urls import base_of, is_detail_page, normalize_url, resolve_against
-from lorewell.scale import let
+from lorewell.scale import in_pieces, let
 
 # Where pages keep their text, title and date, and what is thrown away first.
 CONTENT_SELECTORS = (
@@ -137,7 +137,7 @@ def _read(html: str) -> dict:
 
 @F.pandas_udf(RAW)
 def read_markup(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    for batch in in_pieces(batches):
         yield pd.DataFrame([_read(html or "") for html in batch], columns=[
             "titles", "og_title", "title_tag", "metas", "pieces", "selected", "links"])
 
