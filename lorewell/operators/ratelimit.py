@@ -138,9 +138,11 @@ def token_bucket(requests: DataFrame, period: int = MINUTE, slice_micros: int |
         "fixed array<boolean>, constant array<long>")
     starts = summaries.repartition("bucket_key").sortWithinPartitions("bucket_key", "slice").mapInPandas(
         _starts, "bucket_key string, slice long, start long")
+    # By a hash of the join's columns: Spark leaves out a repartition by the columns themselves, and then may split large partitions
+    # of the join, so that several tasks would replay one slice.
     return (
         sliced.join(starts, ["bucket_key", "slice"])
-        .repartition("bucket_key", "slice")
+        .repartition(F.xxhash64("bucket_key", "slice"))
         .sortWithinPartitions("bucket_key", "slice", "micros", "request_id")
         .mapInPandas(_replay(period), f"request_id {requests.schema['request_id'].dataType.simpleString()}, allowed boolean"))
 

@@ -61,6 +61,24 @@ def test_token_bucket_slices(spark):
     assert 0 < sum(got.values()) < len(rows)
 
 
+def test_slices_stay_whole_when_a_join_is_split(spark):
+    """A join whose large partitions Spark splits: the slices are still replayed by one task each."""
+    random.seed(9)
+    rows = [(i, f"k{i % 3}", random.randrange(20_000), 3) for i in range(2000)]
+    df = spark.createDataFrame(rows, "request_id long, bucket_key string, micros long, capacity int").repartition(8)
+    split = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    try:
+        for name, value in split.items():
+            spark.conf.set(name, value)
+        got = {r.request_id: r.allowed for r in ratelimit.token_bucket(df, 1000, 5000).collect()}
+    finally:
+        for name in split:
+            spark.conf.unset(name)
+    assert got == bucket_by_hand(rows, 1000)
+
+
 def test_third_request_is_denied(spark):
     base = "2024-01-01 00:00:0"
     rows = [(i, f"{base}{i}", p, "1.1.1.1", s) for i, (p, s) in enumerate([
