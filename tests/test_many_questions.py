@@ -45,6 +45,50 @@ def test_many_questions_merge_nothing(spark, vectors):
     assert "Window" not in plan_of(found) and "Union" not in plan_of(found)  # one reading, no candidates of many tasks to merge
 
 
+def test_both_modes_are_merged_where_they_are_found(spark, vectors, monkeypatch):
+    asked = asked_of(vectors)
+    want = R.merged_candidates(asked, vectors, 7)  # a few questions: merged behind the search
+    got = R.merged_candidates(asked, vectors, 7, max_query_bytes=48 * 20)
+    assert "Aggregate" in plan_of(want) and "Aggregate" not in plan_of(got)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    twice = vectors.union(vectors.limit(5))  # an id that stands twice is still one row of a question
+    rows = [(r.query_id, r.chunk_key) for r in R.merged_candidates(asked, twice, 7, max_query_bytes=48 * 20).collect()]
+    assert len(rows) == len(set(rows))
+    # Rows are ordered alike with and without packed numbers.
+    rng = np.random.default_rng(3)
+    held, groups, places = rng.integers(-2, 3, (900, 5)).astype(float), rng.integers(0, 4, 900), np.arange(900)
+    ids, found = pa.array(places), []
+    for bits in (0, 63):
+        monkeypatch.setattr(R, "KEY_BITS", bits)
+        block = R.Block(held[:50], groups[:50], 9, (False, True))
+        block.read(R.Rows(held, groups, places))
+        found.append([b.to_pylist() for b in block.emit(ids, ids, ["q", "i", "d", "g"])])
+    assert found[0] == found[1]
+
+
+def test_rows_without_a_direction_hide_no_others():
+    held = np.random.default_rng(4).standard_normal((500, 4))
+    held[20:480, 0] = np.inf
+    block = R.Block(held[:5], None, 50, (False,))
+    block.read(R.Rows(held, None, np.arange(500)))
+    ids = pa.array(np.arange(500))
+    rows = [r for b in block.emit(ids, ids, ["q", "i", "d", "g"]) for r in b.to_pylist()]
+    assert len(rows) == 5 * 40 and {r["i"] for r in rows} <= {*range(20), *range(480, 500)}
+
+
+def test_visits_are_searched_alike_both_ways(monkeypatch):
+    rng = np.random.default_rng(6)
+    held, groups = rng.integers(-2, 3, (800, 6)).astype(float), rng.integers(0, 40, 800)
+    asked = np.argsort(rng.random((60, 40)), axis=1)[:, :30]
+    ids, found = pa.array(np.arange(800)), []
+    for share in (0, 10 ** 9):  # group by group, and all groups at once
+        monkeypatch.setattr(R, "VISITED_SHARE", share)
+        block = R.Block(held[:60], asked, 12, (True,))
+        block.read(R.Rows(held, groups, np.arange(800)))
+        found.append([r for b in block.emit(ids, ids, ["q", "i", "d", "g"]) for r in b.to_pylist()])
+    assert found[0] == found[1] and len(found[0]) == 60 * 12
+
+
 def test_nearest_of_a_block_leave_in_small_batches():
     vectors = np.random.default_rng(2).standard_normal((1500, 4))
     ids, places = R.by_id(pa.array([f"{i:064d}" for i in range(1500)]))
