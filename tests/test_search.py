@@ -67,6 +67,25 @@ def test_hits_far_behind_in_a_text_count(spark):
     assert whole == 1.0 and limited == pytest.approx(0.71, abs=1e-9)
 
 
+def test_texts_and_words_are_not_ordered(spark, index, monkeypatch):
+    """Candidates are bounded and ranked as numbers; texts only meet them in passing, and of the answers only the prompts read them."""
+    from lorewell.operators import retrieve as R
+    from lorewell.plans import search
+
+    seen, kept, cut = {}, [], search.cut_lineage
+    for name in ("drop_hopeless", "hybrid_rerank"):
+        def watched(rows, *rest, name=name, real=getattr(R, name), **more):
+            seen[name] = set(rows.columns)
+            return real(rows, *rest, **more)
+        monkeypatch.setattr(R, name, watched)
+    questions = understand(spark.createDataFrame(QUESTIONS, "query_id int, question string"))
+    results = search_job(questions, index, 10, hash_embedding(64))
+    wide = {"content", "searchable", "filename", "__planned", "__names", "__words", "__markers", "__goal"}
+    assert seen.keys() == {"drop_hopeless", "hybrid_rerank"} and not wide & (seen["drop_hopeless"] | seen["hybrid_rerank"])
+    monkeypatch.setattr(search, "cut_lineage", lambda df: kept.append(df.columns) or cut(df))
+    assert answer_job(questions, results).count() == len(QUESTIONS) and "content" not in kept[0]
+
+
 def test_stored_text_gives_the_same(spark, index):
     from lorewell.functions.text import nfkc_lower
     from lorewell.operators.retrieve import search_text
