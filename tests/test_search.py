@@ -86,6 +86,52 @@ def test_texts_and_words_are_not_ordered(spark, index, monkeypatch):
     assert answer_job(questions, results).count() == len(QUESTIONS) and "content" not in kept[0]
 
 
+def test_candidates_of_many_questions_are_read_once(spark, index, monkeypatch):
+    """They go from the search into their bounds and are not stored before; those of a few questions choose the index rows to read."""
+    from functools import reduce
+
+    from lorewell.plans import search
+
+    cut, stored = search.cut_lineage, reduce(lambda a, b: a.union(b), [index.withColumn("chunk_key", F.concat(
+        F.lit(str(n)), F.col("chunk_key"))) for n in range(5)])
+    questions = understand(spark.createDataFrame(QUESTIONS, "query_id int, question string"))
+    kept, found = [], {}
+    monkeypatch.setattr(search, "cut_lineage", lambda df: kept.append(df.columns) or cut(df))
+    for name, asked in (("many", questions), ("few", questions.where("query_id = 1"))):
+        kept.clear()
+        found[name] = search_job(asked, stored, 10, hash_embedding(64)).where("query_id = 1").select("rank", "chunk_key", "score").collect()
+        assert any("distance" in c and "filename_bonus" not in c for c in kept) == (name == "few")
+    assert len(found["few"]) == 10 and sorted(found["few"]) == sorted(found["many"])
+
+
+def test_pairs_of_a_file_name_give_its_bonus(spark):
+    from lorewell.functions.tokens import gap_closed_bigrams
+    from lorewell.operators import retrieve as R
+
+    rows = [("图书 馆开放时间", "图书馆简介"), ("图书馆", "a"), ("图书馆", None), (None, "图书馆"), (None, "a"), ("转专业转专业", "转专业"), ("abc", ""),
+            ("一二三四五六七八", "一二三四五六七八"), ("图馆", "图书馆"), ("\U00020000\U00020001图书", "\U00020000\U00020001图书")]
+    df = spark.createDataFrame(rows, "question string, filename string")
+    for symbol in (R.HAN_COMMON, r"[\x{20000}-\x{2ffff}]", "[a-e]"):
+        names = gap_closed_bigrams(F.col("question"), symbol)
+        mine = R.filename_bonus_of_pairs(names, R.filename_pairs(F.col("filename"), symbol))
+        assert df.where(~mine.eqNullSafe(R.filename_bonus_of(names, F.col("filename")))).count() == 0
+
+
+def test_hopeless_rows_are_found_in_one_window(spark):
+    import io
+    from contextlib import redirect_stdout
+
+    from lorewell.operators.retrieve import drop_hopeless
+
+    rows = [(1, "a", 0.9, 0.9), (1, "b", 0.5, 0.5), (1, "c", 0.4, 0.5), (1, "d", 0.4, 0.49), (2, "e", 0.1, 0.1)]
+    kept = drop_hopeless(spark.createDataFrame(rows, "query_id int, chunk_key string, floor double, ceiling double"), 2)
+    assert sorted(map(tuple, kept.collect())) == [(1, "a"), (1, "b"), (1, "c"), (2, "e")]
+    out = io.StringIO()
+    with redirect_stdout(out):
+        kept.explain("formatted")
+    assert out.getvalue().count("Window (") == 2  # once in the tree, once in the list
+
+
 def test_stored_text_gives_the_same(spark, index):
     from lorewell.functions.text import nfkc_lower
     from lorewell.operators.retrieve import search_text
