@@ -45,6 +45,20 @@ def test_many_questions_merge_nothing(spark, vectors):
     assert "Window" not in plan_of(found) and "Union" not in plan_of(found)  # one reading, no candidates of many tasks to merge
 
 
+def test_merged_candidates_read_the_index_once(spark, vectors, monkeypatch):
+    from lorewell.registry.core import QUERIES
+    from lorewell.registry.index_and_search import merge_candidates
+
+    asked, read, real = asked_of(vectors), [], R.vector_candidates
+    apart = R.merge_candidates(R.vector_topk_filtered(asked, vectors, 7), R.vector_topk(asked, vectors, 7), identity="chunk_key")
+    at_once = R.merged_candidates(asked, vectors, 7, max_query_bytes=48 * 20)
+    assert sorted(map(tuple, at_once.select(apart.columns).collect())) == sorted(map(tuple, apart.collect()))
+    monkeypatch.setattr(R, "vector_candidates", lambda queries, index, k, modes, *rest, **more: read.append(modes) or real(
+        queries, index, k, modes, *rest, **more))
+    assert "merge_candidates" in QUERIES and merge_candidates(spark, "/root/testdata/sf0.001").columns == ["query_id", "chunk_key", "distance", "preferred"]
+    assert read == [(False, True)]
+
+
 def test_both_modes_are_merged_where_they_are_found(spark, vectors, monkeypatch):
     asked = asked_of(vectors)
     want = R.merged_candidates(asked, vectors, 7)  # a few questions: merged behind the search
