@@ -132,6 +132,18 @@ def test_hopeless_rows_are_found_in_one_window(spark):
     assert out.getvalue().count("Window (") == 2  # once in the tree, once in the list
 
 
+def test_plain_texts_go_only_where_a_target_is_looked_for(spark, index, monkeypatch):
+    from lorewell.operators import retrieve as R
+    from lorewell.plans import search
+
+    seen, real = [], R.hybrid_rerank
+    monkeypatch.setattr(R, "hybrid_rerank", lambda rows, *rest, **more: seen.append(rows) or real(rows, *rest, **more))
+    questions = understand(spark.createDataFrame(QUESTIONS, "query_id int, question string"))
+    search.search_job(questions, index, 10, hash_embedding(64)).count()
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "THEN content" in plan and seen[0].where("target_bonus > 0").count() > 0
+
+
 def test_stored_text_gives_the_same(spark, index):
     from lorewell.functions.text import nfkc_lower
     from lorewell.operators.retrieve import search_text
