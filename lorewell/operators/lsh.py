@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorewell.operators.retrieve import Block, Rows, by_id, index_in_blocks, unit, vector_matrix
+from lorewell.operators.retrieve import Block, Rows, by_id, index_to_queries, unit, vector_matrix
 from lorewell.scale import cut_lineage, rows_of_keys, top_per_key
 
 BITS_RANGE = (2, 16)
@@ -130,7 +130,7 @@ def vector_topk_lsh(queries: DataFrame, index: DataFrame, k: int, bits: int, pro
     asking, size = asked.agg(F.count("*"), F.max(F.size(query_vector))).first()
     if asking * min(probes, 1 << bits) * (size or 0) * 8 > max(VISIT_BYTES, index.where(F.size(vector) > 0).count() * (size or 0) * 8):
         visited = rows_of_keys(index.where(F.size(vector) > 0), _visited(asked, query_vector, bits, probes), "bucket")
-        found = index_in_blocks(cut_lineage(asked), visited, k, (True,), query_id, query_vector, index_id, vector, "bucket",
+        found = index_to_queries(cut_lineage(asked), visited, k, (True,), query_id, query_vector, index_id, vector, "bucket",
                                 visits=lambda vectors: probe_order(vectors, bits, probes))
         return top_per_key(found.drop("grouped"), [query_id], [F.col("distance"), F.col(index_id)], k)
     visits = cut_lineage(_probes(queries, query_id, query_vector, bits, probes))

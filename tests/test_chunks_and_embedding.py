@@ -142,3 +142,20 @@ def test_numbering_over_slices(spark):
     rows = C.number_chunks(df, slice_pages=3).orderBy("chunk_index").collect()
     expected = [c["text"] for _, _, cs in pages for c in cs]
     assert [r.content for r in rows] == expected and [r.chunk_index for r in rows] == list(range(len(expected)))
+
+
+def test_hash_embedding_takes_the_tokens_of_hash_tokens(spark):
+    """Texts are cut in Python for it; the vectors are those of the column function's tokens."""
+    import hashlib
+
+    texts = [None, "", " . ", "A1 选x课 通", "\u212aELVIN \u0130STANBUL ß ﬁ É\x00b1", "㐀鿿\U00020000䷀", "转专业 " * 40, *(f"w{i} the THE {i % 7}" for i in range(300))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        tokens.hash_tokens(F.col("t")).alias("tokens"), hash_embedding(4096)(F.col("t")).alias("v"), "t").collect()
+    for row in rows:
+        vector = np.zeros(4096)
+        for token in row.tokens or []:
+            number = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big")
+            vector[number % 4096] += 1.0 if number % 2 else -1.0
+        norm = np.sqrt((vector * vector).sum())
+        assert row.v == (vector / norm if norm else vector).astype(np.float32).tolist()
+        assert tokens.hash_tokens_of(row.t or "") == (row.tokens or [])

@@ -107,3 +107,26 @@ def test_buckets_are_visited_without_copies_of_the_questions(spark, vectors, mon
     assert "CoGroup" not in plan_of(got)
     rows = lambda df: sorted((r.query_id, r.chunk_key, r.distance, r["rank"]) for r in df.collect())
     assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_a_large_index_is_read_where_it_is_stored(spark, vectors, monkeypatch, twice):
+    """No block of it passes the driver and no candidates of several blocks are merged, whatever its size."""
+    asked, index = asked_of(vectors), vectors.union(vectors.limit(5)) if twice else vectors
+    want = R.merged_candidates(asked, index, 7, max_query_bytes=48 * 20)
+    monkeypatch.setattr(R, "INDEX_BYTES", 48 * 150)
+    monkeypatch.setattr(R, "PACKED_ROWS", 20)
+    monkeypatch.setattr(R, "_scan_queries", lambda *_: pytest.fail("the index was sent as one block"))
+    noted = index.withColumn("note", F.concat(F.lit("n"), F.col("chunk_key")))
+    got = R.merged_candidates(asked, noted, 7, max_query_bytes=48 * 20, along=["note"])
+    assert ("note" in got.columns) == (not twice) and "Window" not in plan_of(got)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    if not twice:
+        assert got.where("note = concat('n', chunk_key)").count() == want.count()
+
+
+def test_a_large_index_has_vectors_of_one_length(spark, monkeypatch):
+    monkeypatch.setattr(R, "INDEX_BYTES", 8)
+    rows = spark.createDataFrame([(i, [1.0] * (2 + i % 2), "a") for i in range(40)], "chunk_key long, vector array<float>, category string")
+    with pytest.raises(Exception, match="vectors of different lengths"):
+        R.vector_topk(asked_of(rows), rows, 3, max_query_bytes=1).collect()

@@ -160,3 +160,48 @@ def test_answers(spark, index):
     assert rows[2].category == "ACADEMIC" and rows[2].answerable and "转专业目标：软件" not in rows[2].prompt
     assert rows[0].confidence > 0 and 0 < len(rows[0].sources) <= 5 and rows[0].prompt.endswith("当前问题：\n选课办法是什么")
     assert not rows[9].answerable and rows[9].confidence == 0 and rows[9].sources == [] and "暂无相关信息" in rows[9].fallback
+
+
+def test_texts_are_read_for_questions_that_look_for_something(spark, index, monkeypatch):
+    from lorewell.plans import search
+
+    read, real = [], search.rows_of_keys
+    monkeypatch.setattr(search, "rows_of_keys", lambda table, keys, key, *rest: read.append((table.columns, keys)) or real(table, keys, key, *rest))
+    twice = index.union(index.limit(3))  # a key that stands twice is a candidate of every question as often
+    asked = understand(spark.createDataFrame(QUESTIONS + [(9, "zzz")], "query_id int, question string"))
+    for stored in (index, twice):
+        read.clear()
+        found = search.search_job(asked, stored, 10, hash_embedding(64)).collect()
+        texts = [keys for columns, keys in read if "content" in columns and "page" not in columns]
+        assert {r.query_id for r in texts[0].select("query_id").distinct().collect()} == {0, 1, 2, 4}
+        assert {r.query_id for r in found} == {0, 1, 2, 3, 4, 9}
+
+
+def test_short_columns_may_come_with_the_candidates(spark, index, monkeypatch):
+    """Those of a large index do, so its rows are not looked for a second time; ranks and scores stay."""
+    from lorewell.operators import retrieve as R
+    from lorewell.plans import search
+
+    asked = understand(spark.createDataFrame(QUESTIONS, "query_id int, question string"))
+    want = search_job(asked, index, 10, hash_embedding(64)).select("query_id", "rank", "chunk_key", "score").collect()
+    monkeypatch.setattr(R, "INDEX_BYTES", 64 * 8 * 10)
+    monkeypatch.setattr(search, "candidates", lambda queries, rows, k: R.merged_candidates(
+        queries, rows, R.candidate_count(k), along=list(search.SHORT), max_query_bytes=1))
+    monkeypatch.setattr(search, "join_short", lambda *_: pytest.fail("short columns were joined"))
+    got = search_job(asked, index, 10, hash_embedding(64), retrieve=search.candidates).select("query_id", "rank", "chunk_key", "score").collect()
+    assert sorted(got) == sorted(want)
+
+
+def test_answer_job_reads_a_stored_index(spark, monkeypatch):
+    import os
+
+    from lorewell.plans import search
+    from lorewell.registry.index_and_search import answer_job as registered
+
+    folder = os.environ.get("LOREWELL_TEST_SF", "/root/testdata/sf0.001")
+    if not os.path.isdir(folder):
+        pytest.skip("test tables are not here")
+    seen = []
+    monkeypatch.setattr(search, "search_job", lambda questions, rows, **more: seen.append(rows) or search_job(questions, rows, **more))
+    assert registered(spark, folder).columns == ["query_id", "category", "answerable", "confidence", "sources"]
+    assert seen[0].inputFiles() and all(f.endswith(".parquet") for f in seen[0].inputFiles())  # by columns, not whole rows
