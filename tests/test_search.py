@@ -144,6 +144,16 @@ def test_plain_texts_go_only_where_a_target_is_looked_for(spark, index, monkeypa
     assert "THEN content" in plan and seen[0].where("target_bonus > 0").count() > 0
 
 
+def test_names_go_with_plain_texts(spark, index, monkeypatch):
+    from lorewell.operators import retrieve as R
+    from lorewell.plans import search
+
+    seen, real = [], R.hybrid_rerank
+    monkeypatch.setattr(R, "hybrid_rerank", lambda rows, *rest, **more: seen.append(rows) or real(rows, *rest, **more))
+    search.search_job(understand(spark.createDataFrame(QUESTIONS, "query_id int, question string")), index, 10, hash_embedding(64)).count()
+    assert "THEN filename" in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_stored_text_gives_the_same(spark, index):
     from lorewell.functions.text import nfkc_lower
     from lorewell.operators.retrieve import search_text
